@@ -1,9 +1,13 @@
 """The queries of this subpackage, by name, and DuckDB SQL for those that SQL can express."""
 
-from quirebook.llm import simhash
+from quirebook.llm import bpe, decontam, simhash
 
 QUERIES = {
+    "op1_bpe": bpe.query,
+    "op2_decontam": decontam.query,
     "op8_simhash": simhash.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontam": decontam.SQL,
+}
