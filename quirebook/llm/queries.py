@@ -1,13 +1,18 @@
 """The queries of this subpackage, by name, and DuckDB SQL for those that SQL can express."""
 
-from quirebook.llm import bpe, decontam, simhash
+from quirebook.llm import bpe, chat, decontam, quality, simhash, urlfilter
 
 QUERIES = {
     "op1_bpe": bpe.query,
     "op2_decontam": decontam.query,
+    "op6_quality": quality.query,
+    "op7_chat": chat.query,
     "op8_simhash": simhash.query,
+    "op9_urlfilter": urlfilter.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontam": decontam.SQL,
+    "op6_quality": quality.SQL,
+    "op7_chat": chat.SQL,
 }

@@ -30,12 +30,16 @@ FEATURES, GRAMS = 1 << 13, (3, 4, 5)
 #: What the built-in labelled URLs are made of.
 BLOCKED = "casino poker betting slots viagra pills adult porn escort xxx jackpot replica warez torrent crack loan".split()
 ALLOWED = "news library school museum science recipes weather history garden music travel health docs blog wiki forum".split()
+#: Harmless names without a meaning, two syllables each.
+SYLLABLES = "ter ion men la re th ing con der pa no st".split()
 SHAPES = ("https://www.{w}.example.com/", "http://{w}-online.example.net/a/{n}", "https://m.site{n}.example.org/{w}/page", "http://blog.example.com/{w}-{n}.html", "https://{w}{n}.example.org/index?x={n}", "http://the{w}.example.net/en/{n}")
 
 
 def labelled_urls() -> list[tuple[str, int]]:
     """(url, label): 1 for URLs to block."""
-    return [(shape.format(w=w, n=7 * i + 3), label) for label, names in ((1, BLOCKED), (0, ALLOWED)) for w in names for i, shape in enumerate(SHAPES)]
+    named = [(w, shape, label) for label, names in ((1, BLOCKED), (0, ALLOWED)) for w in names for shape in SHAPES]
+    plain = [(a + b, SHAPES[(i + j) % len(SHAPES)], 0) for i, a in enumerate(SYLLABLES) for j, b in enumerate(SYLLABLES)]
+    return [(shape.format(w=w, n=37 * i % 9973), label) for i, (w, shape, label) in enumerate(named + plain)]
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -48,7 +52,11 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def grams(host: Column, path: Column) -> Column:
     """Character n-grams of host and path, with their ends marked."""
     text = F.concat(F.lit("^"), host, F.lit("|"), path, F.lit("$"))
-    return F.concat(*(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i, n=n: F.substr(text, i, F.lit(n))) for n in GRAMS))
+
+    def of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))
+
+    return F.concat(*map(of, GRAMS))
 
 
 def train(labelled: DataFrame) -> PipelineModel:
@@ -58,7 +66,7 @@ def train(labelled: DataFrame) -> PipelineModel:
         raise ValueError(f"the labelled table may have {MOST_LABELLED} rows")
     host, path = host_and_path(F.col("url"))
     hashing = HashingTF(binary=True, numFeatures=FEATURES, inputCol="grams", outputCol="features")
-    fit = LogisticRegression(maxIter=40, regParam=0.001, labelCol="label", featuresCol="features")
+    fit = LogisticRegression(maxIter=40, regParam=0.001, standardization=False, labelCol="label", featuresCol="features")
     return Pipeline(stages=[hashing, fit]).fit(rows.select(F.col("label").cast("double").alias("label"), grams(host, path).alias("grams")))
 
 
