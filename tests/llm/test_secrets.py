@@ -1,0 +1,70 @@
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from quirebook.llm import secrets
+
+
+def brute(text):
+    """The base patterns, letter by letter as stated."""
+    text, out = text or "", []
+    letters = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
+    names = "|".join(map(letters, ("password", "passwd", "secret", "token"))) + "|" + letters("api") + "_?" + letters("key")
+    out += [(m.start(), 0, m.end()) for m in re.finditer(rf"""({names})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(out)
+
+
+def test_base_patterns_against_brute_force():
+    rng = random.Random(8)
+    parts = ["password", "PassWd", "secret", "ToKen", "api_key", "APIKEY", "=", ":", " ", '"', "'", "abc123", "x", "ſecret", "toKen", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "deadbeef", "é🎉", "\n", "==", "AKIAAKIA"]
+    for _ in range(5000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        assert secrets.base_spans(text) == brute(text), text
+
+
+@pytest.mark.parametrize("text, found", [
+    ("db_pwd = 'hunter2hunter9'", ["hunter2hunter9"]),
+    ('K = "q8Zr2LmX0vTb"\nother = 1\nclient_credential = K', ["q8Zr2LmX0vTb"]),
+    ('A = "q8Zr2LmX0vTb"\nB = A\nauth_pass: ${B}', ["q8Zr2LmX0vTb"]),
+    ('signing_key = "q8Zr2" + "LmX0vTb9"', ['q8Zr2" + "LmX0vTb9']),
+    ("<dbPwd>q8Zr2LmX0vTb</dbPwd>", ["q8Zr2LmX0vTb"]),
+    ("postgres://app:q8Zr2LmX0vTb@db/x", ["q8Zr2LmX0vTb"]),
+    ("run --auth-pass=q8Zr2LmX0vTb now", ["q8Zr2LmX0vTb"]),
+    ('pwd: "changeme"', []), ('title = "q8Zr2LmX0vTb"', []), ("Note: the key: value idea", []), ("pwd = ${ENV_PWD}", []), ("", []), (None, []),
+])
+def test_lexing(text, found):
+    base, spans = secrets.scan(text)
+    assert not base and [text[a:b] for a, k, b in spans] == found
+
+
+def test_base_spans_stay_and_are_not_repeated():
+    base, spans = secrets.scan('api_key = "q8Zr2LmX0vTb"')
+    assert base == spans and len(base) == 1
+
+
+def test_long_and_repetitive_texts_take_linear_time():
+    for text in ("a" * 200_000, "password" * 20_000, "x=" * 50_000, '"' * 50_000, "a.b-" * 50_000, "<a>" * 30_000, "k = " + "'a' + " * 20_000, "://a:" * 20_000):
+        secrets.scan(text)
+
+
+def test_defined_cases(spark):
+    docs = spark.createDataFrame([(1, "token = abcdef1"), (1, "token = abcdef1"), (2, None), (None, "x")], "doc_id long, text string").withColumn("spans", F.lit(1))
+    rows = secrets.find(docs).collect()
+    assert len(rows) == 4 and sum(r.n_assign for r in rows) == 2
+    assert secrets.find(docs.limit(0)).count() == 0
+
+
+def test_query_against_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = secrets.query(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        told = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in brute(texts[r.doc_id]))
+        assert r.base_sha256 == hashlib.sha256(told.encode()).hexdigest()
+        assert set(filter(None, told.split(","))) <= set(r.spans.split(","))
