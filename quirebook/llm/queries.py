@@ -1,12 +1,13 @@
 """The queries of this subpackage, by name, and DuckDB SQL for those that SQL can express."""
 
-from quirebook.llm import bpe, chat, decontam, langid, quality, secrets, simhash, urlfilter
+from quirebook.llm import bpe, chat, decontam, langid, lm, quality, secrets, simhash, urlfilter
 
 QUERIES = {
     "op1_bpe": bpe.query,
     "op2_decontam": decontam.query,
     "op3_secrets": secrets.query,
     "op4_langid": langid.query,
+    "op5_lm": lm.query,
     "op6_quality": quality.query,
     "op7_chat": chat.query,
     "op8_simhash": simhash.query,
