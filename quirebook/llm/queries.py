@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and DuckDB SQL for those that SQL can express."""
 
-from quirebook.llm import bpe, chat, decontam, langid, lm, quality, secrets, simhash, urlfilter
+from quirebook.llm import bpe, chat, decontam, langid, lm, pii, quality, secrets, simhash, urlfilter
 
 QUERIES = {
     "op1_bpe": bpe.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_chat": chat.query,
     "op8_simhash": simhash.query,
     "op9_urlfilter": urlfilter.query,
+    "op10_pii": pii.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
