@@ -179,7 +179,8 @@ def status_tone(indexing: Column, error: Column, configured: Column, thinking: C
 
 def tool_path(args: Column) -> Column:
     """The string at $.path of JSON arguments, else null."""
-    return F.try_variant_get(F.try_parse_json(args), "$.path", "string")
+    value = F.try_variant_get(F.try_parse_json(args), "$.path", "variant")
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(F.try_parse_json(args), "$.path", "string"))
 
 
 def parse_args(args: Column) -> Column:

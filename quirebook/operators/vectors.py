@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quirebook.operators.lexical import top
 
@@ -75,7 +76,7 @@ def knn(queries: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     1; scores are rounded to nine digits, equal ones go by key."""
     types = {"q": queries.schema["q"].dataType.simpleString(), "key": items.schema["key"].dataType.simpleString()}
     schema = f"q {types['q']}, key {types['key']}, score double"
-    found = None
+    q_type, found = to_arrow_type(queries.schema["q"].dataType), None
     for ids, matrix in _blocks(queries):
         shared = items.sparkSession.sparkContext.broadcast((ids, matrix))
 
@@ -90,10 +91,13 @@ def knn(queries: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
                 x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
                 scores = np.round(q @ x.T, DIGITS)
                 keys = np.argsort(np.argsort(np.array(batch.column(0).to_pylist()), kind="stable"), kind="stable")
-                # the keys' order breaks ties
-                best = np.stack([np.lexsort((keys, -row))[:k] for row in scores])
+                n = min(k, batch.num_rows)
+                best = np.empty((len(q_ids), n), np.int64)
+                for i, row in enumerate(scores):  # the n best and their equals, of which the keys' order decides
+                    near = np.flatnonzero(row >= np.partition(row, len(row) - n)[len(row) - n])
+                    best[i] = near[np.lexsort((keys[near], -row[near]))[:n]]
                 at = pa.array(best.ravel())
-                qs = pa.array([q_ids[i] for i in range(len(q_ids)) for _ in range(best.shape[1])])
+                qs = pa.array([q_ids[i] for i in range(len(q_ids)) for _ in range(best.shape[1])], q_type)
                 yield pa.RecordBatch.from_arrays([qs, batch.column(0).take(at), pa.array(np.take_along_axis(scores, best, 1).ravel())], ["q", "key", "score"])
 
         part = items.select("key", "vector").mapInArrow(run, schema)
