@@ -5,7 +5,7 @@ corpus. Corpus size and mean length come from one aggregation; both are single n
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirebook.functions import text as T
@@ -19,20 +19,61 @@ def term_statistics(docs: DataFrame) -> DataFrame:
     return each.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
-    """(q, key, score, rank): the k best documents (key, content) of each query (q, text), ranked from 1, equal scores
-    by key. A query's repeated words count once."""
-    terms = queries.select("q", F.explode(F.array_distinct(T.words(F.col("text")))).alias("term"))
+def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(term, key, len, tf) of docs (key, content): of all words, or of the words in terms (term)."""
     words = docs.select("key", T.words(F.col("content")).alias("words"))
-    total = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("words")).alias("avg_len"))
-    asked = terms.select("term").distinct()
-    postings = words.select("key", F.size("words").alias("len"), F.explode("words").alias("term")).join(asked, "term").groupBy("term", "key", "len").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    each = words.select("key", F.size("words").alias("len"), F.explode("words").alias("term"))
+    if terms is not None:
+        each = each.join(terms.select("term").distinct(), "term")
+    return each.groupBy("term", "key", "len").agg(F.count("*").alias("tf"))
+
+
+def corpus(docs: DataFrame) -> DataFrame:
+    """One row (n_docs, avg_len)."""
+    return docs.select(F.size(T.words(F.col("content"))).alias("len")).agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(q, term): a query's repeated words count once."""
+    return queries.select("q", F.explode(F.array_distinct(T.words(F.col("text")))).alias("term"))
+
+
+def scored(terms: DataFrame, found: DataFrame, total: DataFrame, k: int) -> DataFrame:
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
-    weights = postings.join(df, "term").join(F.broadcast(total)).select("term", "key", (idf * F.col("tf") * (K1 + 1) / norm).alias("w"))
-    scores = terms.join(weights, "term").groupBy("q", "key").agg(F.round(F.sum("w"), 6).alias("score"))
-    return top(scores, k)
+    weights = found.join(df, "term").join(F.broadcast(total)).select("term", "key", (idf * F.col("tf") * (K1 + 1) / norm).alias("w"))
+    return top(terms.join(weights, "term").groupBy("q", "key").agg(F.round(F.sum("w"), 6).alias("score")), k)
+
+
+def bm25(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
+    """(q, key, score, rank): the k best documents (key, content) of each query (q, text), ranked from 1, equal scores
+    by key, straight from the texts."""
+    terms = query_terms(queries)
+    return scored(terms, postings(docs, terms), corpus(docs), k)
+
+
+class Index:
+    """Postings as a Parquet table, partitioned by a hash of the term: a search reads the partitions of its terms."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("term"), F.lit(self.buckets))
+
+    def build(self, docs: DataFrame) -> Index:
+        made = postings(docs).withColumn("bucket", self._bucket())
+        made.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
+        corpus(docs).write.mode("overwrite").parquet(f"{self.path}/corpus")
+        return self
+
+    def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        terms = query_terms(queries)
+        needed = [r[0] for r in terms.select(self._bucket()).distinct().collect()]  # `buckets` numbers at most
+        found = self.spark.read.parquet(f"{self.path}/postings").where(F.col("bucket").isin(needed)).drop("bucket")
+        found = found.join(terms.select("term").distinct(), "term", "left_semi")
+        return scored(terms, found, self.spark.read.parquet(f"{self.path}/corpus"), k)
 
 
 def top(scores: DataFrame, k: int) -> DataFrame:

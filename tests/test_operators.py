@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quirebook.operators import agent, chunking, fusion, grep, mutation, search, sessions, tokenizer, vault, vectors
+from quirebook.operators import agent, chunking, fusion, grep, lexical, mutation, search, sessions, tokenizer, vault, vectors
 
 
 def ranked(spark, lists):
@@ -195,3 +195,12 @@ def test_agent():
     assert agent.hooks_deny([lambda n, a: 1 / 0, lambda n, a: "no", lambda n, a: "later"], "grep", {}) == "no"
     gate = agent.Gate(settings={"x": "deny"})
     assert not gate.allows("x", {}) and gate.allows("x", {}) is False and agent.Gate(trust=True).allows("x", {})
+
+
+def test_index_gives_what_the_texts_give(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("key"), F.col("text").alias("content"))
+    queries = spark.createDataFrame([(1, "the of thing"), (2, "zzz"), (3, "la de que")], "q int, text string")
+    index = lexical.Index(spark, str(tmp_path / "i"), buckets=5).build(docs)
+    assert sorted(map(tuple, index.search(queries).collect())) == sorted(map(tuple, lexical.bm25(queries, docs).collect()))
+    assert index.search(queries.where("q = 2")).count() == 0
