@@ -101,7 +101,8 @@ def host_rates(marked: DataFrame) -> DataFrame:
 def verdicts(marked: DataFrame, rates: DataFrame) -> DataFrame:
     """marked (row, quality) with host_rate and kept."""
     soft = F.when(F.col("host_rate") > SUSPECT, 1).otherwise(2)
-    kept = ~F.col("quality.base_failed") & (F.col("quality.n_soft") < soft) & (F.col("host_rate") <= BAD)
+    # one expression over both sides: no part of it can be pushed below the join, where it would measure the text again
+    kept = F.when(F.col("host_rate") > BAD, False).otherwise(~F.col("quality.base_failed") & (F.col("quality.n_soft") < soft))
     joined = marked.join(rates.select("host", F.col("rate").alias("host_rate")), F.col("quality.host") == F.col("host"), "left")
     return joined.withColumn("kept", kept).drop("host")
 
