@@ -34,13 +34,14 @@ SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pas
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|changeme|change_me|your[-_ ].*|example.*|placeholder.*|none|null|nil|true|false|undefined|todo|test|password|secret|token|<.*>|\$\{.*\}|%.*%|\{\{.*\}\})$")
 THRESHOLD = 0.45
 
-_STRING = r""""(?:[^"\\\n]|\\.){1,4096}"|'(?:[^'\\\n]|\\.){1,4096}'|`(?:[^`\\\n]|\\.){1,4096}`"""
-_NAME = r"[A-Za-z_$][A-Za-z0-9_.$-]{0,63}"
+#: Lengths are unbounded; possessive repeats keep the scan linear.
+_STRING = r""""(?:[^"\\\n]|\\.)++"|'(?:[^'\\\n]|\\.)++'|`(?:[^`\\\n]|\\.)++`"""
+_NAME = r"[A-Za-z_$][A-Za-z0-9_.$-]*+"
 #: A bare value: a reference or an unquoted literal.
-_BARE = r"""[^\s"'`;,(){}\[\]<>#]{1,4096}"""
+_BARE = r"""[^\s"'`;,(){}\[\]<>#]++"""
 _PAIR = re.compile(rf"""(?<![A-Za-z0-9_.$-])(?:--)?["']?({_NAME})["']?[ \t]*(?::=|=>|==?|:(?!//))[ \t]*((?:{_STRING}|\$\{{{_NAME}\}}|{_BARE})(?:[ \t]*\+[ \t]*(?:{_STRING}|{_NAME}))*)""")
-_XML = re.compile(rf"<({_NAME})>([^<>\n]{{1,4096}})</\1>")
-_URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{0,20}://[^\s:/@]{1,256}:([^\s:/@]{1,256})@")
+_XML = re.compile(rf"<({_NAME})>([^<>\n]++)</\1>")
+_URL = re.compile(r"(?<=[A-Za-z0-9+.-])://[^\s:/@]*+:([^\s:/@]++)@")
 _PART = re.compile(rf"{_STRING}|\$\{{{_NAME}\}}|[^\s+]+")
 _REFERENCE = re.compile(rf"\$?\{{?({_NAME})\}}?$")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -65,7 +66,7 @@ def sensitivity(name: str) -> float:
 
 def strength(literal: str) -> float:
     """From 0 to 1: bits in the literal by its own distribution of characters, 32 of them being enough."""
-    if len(literal) < 6 or PLACEHOLDER.match(literal) or " " in literal.strip():
+    if len(literal) < 6 or PLACEHOLDER.match(literal):
         return 0.0
     n = len(literal)
     bits = -sum(c * math.log2(c / n) for c in Counter(literal).values())
@@ -110,7 +111,7 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     """Base spans and all spans, as (start, number of kind, end) in order."""
     text = text or ""
     base = base_spans(text)
-    more = [(a, 3, b) for a, b in literal_spans(text) if not any(s < b and a < e for s, _, e in base)]
+    more = [(a, 3, b) for a, b in literal_spans(text) if not any(s <= a and b <= e for s, _, e in base)]
     return base, sorted(base + more)
 
 
