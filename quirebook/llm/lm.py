@@ -1,234 +1,319 @@
 """N-gram language model with deleted interpolation.
 
-Counting. Words of all training texts are counted exactly: each task sums in a table of bounded size before the
-shuffle. The most frequent words, HEAD at most, are broadcast; all others meet their counts in a shuffle join.
-
-Model. Words fall into CLASSES classes: the most frequent words are each their own class, other head words share a
-class with those of like frequency, and all the rest, seen or unseen, share the last. The probability of a word after
-another is P(class | previous class) P(word | class). The first factor mixes the maximum-likelihood estimates of the
-class bigram, the class unigram and the uniform distribution, with weights for each bucket of the context's frequency
-(powers of two); expectation-maximisation learns the weights on counts that are held out of the estimates (the
-training texts of one fold), after which the fold's counts join the estimates. Within the last class, words are
-smoothed by one, the unseen word counting as one type, so that probabilities sum to one.
+Model. The probability of a word after another mixes the maximum-likelihood estimates of the word bigram and of the
+word, and the uniform distribution over all known words and one unknown. The weights of the mixture depend on a bucket
+of the context's frequency (powers of two). Expectation-maximisation learns them on counts that are held out of the
+estimates (the training texts of one fold), after which the fold's counts join the estimates. For that, a held-out
+token is put into a cell by its bucket and its two estimates in steps of 1/4 of a doubling; cells are what is summed.
+A context or word without counts leaves its share to the coarser estimate, so that probabilities sum to one.
+
+Counting. Every word and every bigram of the corpus is counted, however rare. Words are told apart by 62 bits of
+XXH64, bigrams by 62 bits of a hash of theirs. A task packs its texts into chunks of CHUNK tokens. A chunk *asks* once
+for each of its distinct keys, which also carries the key's count in the chunk; keys are sorted, so that a range of the
+key space takes about six bytes a key. All asks of a range meet in one group, which sums them and *replies* to each
+chunk in the order of its keys. So hot words cost a key a chunk, and no text and no table of bigrams is shuffled or
+broadcast. Replies meet their chunk (its words' hashes and its tokens as numbers) in a second shuffle, where texts are
+scored.
+
+Chunks are cut anew from docs for asking and for scoring, so docs have to be read alike each time (from files, say);
+a chunk whose keys don't match its replies raises. CHUNK bounds a task's memory, unless one text is longer.
 
 A text's tokens are its words and one end, which also is the first word's context. Defined cases: a null text has the
-end only; without training texts every token is unseen and no token is known; repeated rows are scored alike; equal
-counts are ranked by the word; an empty table gives no rows.
+end only; without training texts every token is unseen and no token is known; repeated rows are scored alike; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirebook.llm.common import Scratch, crc_mod, read
 
 #: The token that ends a text. No word holds a space.
-END = " "
-CLASSES, SINGLE, HEAD = 512, 470, 250_000
-#: Words that a task counts before it sends its table on.
+END = b" "
+CHUNK = 4_000_000
+#: Bytes of text whose keys make one range of the key space.
+RANGE_BYTES = 16_000_000
+#: Words whose hashes a task remembers.
 TABLE = 400_000
-EM_ROUNDS = 30
+EM_ROUNDS, BUCKETS, STEPS = 30, 64, 4
+ROW = "chunk long, part int, x binary, y binary, z binary, sign long"
+_LOW, _WORD, _PAIR = np.uint64(3), np.uint64(1), np.uint64(2)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def word_counts(training: DataFrame) -> DataFrame:
-    """(word, n) over all tokens of training (text, ...)."""
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers as compressed planes of bytes."""
+    values = np.ascontiguousarray(values, "<u8")
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + zstandard.compress(planes.tobytes(), 1)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<u8").ravel()
+
+
+class Hashes(dict):
+    """Words to hashes; remembers TABLE of them."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= TABLE:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word, 5)
+        return found
+
+
+class Chunk:
+    """Tokens of consecutive texts, as numbers into `known`, the distinct words' hashes by frequency."""
+
+    def __init__(self, known: np.ndarray, tokens: np.ndarray):
+        self.known, self.tokens = known, tokens
+        self.before = np.roll(tokens, 1)  # the first text's context, too, is an end
+        single = known & ~_LOW | _WORD
+        pairs = (known[self.before] * _MIX + known[tokens]) & ~_LOW | _PAIR
+        distinct, self.pair = np.unique(pairs, return_inverse=True)
+        keys = np.concatenate([single, distinct])
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
+        self.sign = int(np.bitwise_xor.reduce(self.keys).view(np.int64)) if len(keys) else 0
+
+    @staticmethod
+    def of(hashes: np.ndarray) -> Chunk:
+        known, tokens, n = np.unique(hashes, return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        return Chunk(known[order], rank[tokens])
+
+    def counts(self, weights: np.ndarray) -> np.ndarray:
+        """Sums of the tokens' weights for each key, in the order of keys."""
+        pairs = len(self.order) - len(self.known)
+        return np.concatenate([np.bincount(self.tokens, weights, len(self.known)), np.bincount(self.pair, weights, pairs)])[self.order]
+
+    def spread(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each token: counts of its context, of its bigram, of its word."""
+        back = np.empty(len(counts), np.float64)
+        back[self.order] = counts
+        single, pairs = back[: len(self.known)], back[len(self.known) :]
+        return single[self.before], pairs[self.pair], single[self.tokens]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Chunk, list, np.ndarray, np.ndarray]]:
+    """(number, chunk, ids, sizes, training) for batches (doc_id, text, training, held); held-out texts make chunks of
+    their own, numbered alike where only they are read."""
+    hashes, number = Hashes(), [0, 0]
+    open_: list[tuple[list, list, list]] = [([], [], []), ([], [], [])]
+    size = [0, 0]
+
+    def closed(held: int):
+        ids, parts, training = open_[held]
+        tokens = np.concatenate([np.frombuffer(p, np.uint64) for p in parts])
+        sizes = np.array([len(p) // 8 for p in parts])
+        made = (TaskContext.get().partitionId() << 32 | number[held] << 1 | held, Chunk.of(tokens), ids, sizes, np.array(training))
+        open_[held], size[held] = ([], [], []), 0
+        number[held] += 1
+        return made
+
+    for batch in batches:
+        for row, (text, training, held) in enumerate(zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+            tokens = words(text.as_py())
+            packed = np.fromiter(map(hashes.__getitem__, (*tokens, END)), np.uint64, len(tokens) + 1).tobytes()
+            for kept, value in zip(open_[held], (batch.column(0).slice(row, 1), packed, training)):
+                kept.append(value)
+            size[held] += len(tokens) + 1
+            if size[held] >= CHUNK:
+                yield closed(held)
+    for held in (0, 1):
+        if size[held]:
+            yield closed(held)
+
+
+def _rows(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), types)], names)
+
+
+_NAMES, _TYPES = ["chunk", "part", "x", "y", "z", "sign"], [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+
+
+def asks(docs: DataFrame, parts: int) -> DataFrame:
+    """For each chunk and range of keys: the keys (as differences), their counts, and those in the held-out fold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sent() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(table.keys(), pa.binary()).cast(pa.string()), pa.array(table.values(), pa.int64())], ["word", "n"])
+        for number, chunk, _, sizes, training in _chunks(batches):
+            n = chunk.counts(np.repeat(training, sizes).astype(np.float64)).astype(np.uint64)
+            held = n * np.uint64(number & 1)
+            part = ((chunk.keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            edges = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+            filled = np.flatnonzero(np.diff(edges))
+            for some in np.array_split(filled, len(filled) // 200 + 1):
+                rows = []
+                for p in some.tolist():
+                    at = slice(edges[p], edges[p + 1])
+                    keys = chunk.keys[at]
+                    rows.append((number, p, pack(np.diff(keys, prepend=np.uint64(0))), pack(n[at]), pack(held[at]), 0))
+                yield _rows(rows, _NAMES, _TYPES)
+
+    return docs.mapInArrow(run, ROW)
+
+
+def replies(asked: DataFrame) -> DataFrame:
+    """The rows of asked with the counts of the whole corpus in the place of the chunk's, and sums over the range's
+    words in one row of each range: types, tokens, held-out tokens."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys = [np.cumsum(unpack(x), dtype=np.uint64) for x in table["x"].to_pylist()]
+        ends = np.cumsum([0, *map(len, keys)])
+        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+        n, held = (np.bincount(at, np.concatenate([unpack(v) for v in table[c].to_pylist()])) for c in ("y", "z"))
+        word = distinct & _LOW == _WORD
+        rows = []
+        for i, (chunk, part) in enumerate(zip(table["chunk"].to_pylist(), table["part"].to_pylist())):
+            mine = at[ends[i] : ends[i + 1]]
+            first = i == 0
+            sums = (int((n[word] > 0).sum()), int(n[word].sum()), int(held[word].sum())) if first else (0, 0, 0)
+            rows.append((chunk, part, pack(n[mine]), pack(held[mine]), b"", int(np.bitwise_xor.reduce(keys[i]).view(np.int64)), *sums))
+        return pa.Table.from_batches([_rows(rows, [*_NAMES, "types", "tokens", "held"], [*_TYPES, *[pa.int64()] * 3])])
+
+    return asked.groupBy("part").applyInArrow(run, f"{ROW}, types long, tokens long, held long")
+
+
+def _own(docs: DataFrame) -> DataFrame:
+    """Each chunk's own row: its documents' ids and sizes, its words' hashes, its tokens. part is -1."""
 
-        table: Counter[bytes] = Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                table.update(words(text.as_py()))
-                if len(table) >= TABLE:
-                    yield sent()
-                    table.clear()
-            table[END.encode()] += batch.num_rows
-        if table:
-            yield sent()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, chunk, ids, sizes, _ in _chunks(batches):
+            column = pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(sizes, pa.int64())], ["doc_id", "size"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, column.schema) as out:
+                out.write_batch(column)
+            yield _rows([(number, -1, sink.getvalue().to_pybytes(), pack(chunk.known), pack(chunk.tokens), chunk.sign)], _NAMES, _TYPES)
 
-    sums = training.select("text").mapInArrow(run, "word string, n long")
-    return sums.groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, ROW)
 
 
-@dataclass
-class Vocabulary:
-    """Head words with their counts, ranked; and the training set's token count and number of types."""
+def _met(table: pa.Table) -> tuple[pa.Table, Chunk, np.ndarray, np.ndarray]:
+    """A chunk's documents, the chunk, and its keys' counts and held-out counts, from its own row and its replies."""
+    rows = sorted(zip(*(table[c].to_pylist() for c in ("part", "x", "y", "z", "sign"))))
+    own, answered = rows[0], rows[1:]
+    if own[0] != -1:
+        raise RuntimeError("docs are not read alike each time: write them to files first")
+    chunk = Chunk(unpack(own[2]), unpack(own[3]).astype(np.int64))
+    n, held = (np.concatenate([unpack(r[i]) for r in answered]).astype(np.float64) for i in (1, 2))
+    if own[4] != np.bitwise_xor.reduce([r[4] for r in answered]) or len(n) != len(chunk.keys):
+        raise RuntimeError("docs are not read alike each time: write them to files first")
+    return pa.ipc.open_stream(own[1]).read_all(), chunk, n, held
 
-    head: list[bytes]
-    counts: np.ndarray
-    tokens: int
-    types: int
 
-    def __post_init__(self):
-        self.rank = {w: i for i, w in enumerate(self.head)}
-        self.classes = np.full(len(self.head) + 1, CLASSES - 1, np.int32)  # the last is that of all other words
-        shared = np.minimum(np.log2(np.maximum(self.counts, 1)).astype(np.int32), CLASSES - 2 - SINGLE)
-        self.classes[:-1] = np.where(np.arange(len(self.head)) < SINGLE, np.arange(len(self.head)), SINGLE + shared)
-        masses = np.bincount(self.classes[:-1], self.counts, CLASSES)
-        self.tail_tokens, self.tail_types = self.tokens - int(self.counts.sum()), self.types - len(self.head)
-        within = np.log10(np.maximum(self.counts, 1) / np.maximum(masses[self.classes[:-1]], 1))
-        #: log10 P(word | class) of head words; for another word its own log10(c + 1) comes on top.
-        self.within = np.append(within, -np.log10(self.tail_tokens + self.tail_types + 1))
-        self.known = np.append(self.counts > 0, False)
-        self.log_counts = np.append(np.log10(self.counts + 1.0), 0.0)
-
-    def ranks(self, tokens: list[bytes]) -> np.ndarray:
-        """Ranks of the tokens and of the end; that of a word beyond the head is the number of head words."""
-        get, other = self.rank.get, len(self.head)
-        return np.fromiter((*(get(t, other) for t in tokens), get(END.encode(), other)), np.int64, len(tokens) + 1)
-
-    def steps(self, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Context and class of each token."""
-        now = self.classes[ranks]
-        return np.concatenate([now[-1:], now[:-1]]), now
-
-
-def vocabulary(counts: DataFrame) -> Vocabulary:
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("types")).first()
-    # a histogram of counts in steps of 1/32 of a doubling tells which words fit into HEAD, without ranking all words
-    # in one task
-    step = F.floor(F.log2(F.col("n").cast("double")) * 32)
-    fits, least = 0, None
-    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).toLocalIterator():
-        if (fits := fits + r["words"]) > HEAD:
-            break
-        least = r["step"]
-    top = counts.where((F.col("word") == END) | (step >= F.lit(least)))
-    table = top.toArrow()  # HEAD + 1 rows at most
-    rows = sorted(zip(table["word"].to_pylist(), table["n"].to_pylist()), key=lambda r: (-r[1], r[0]))
-    return Vocabulary([w.encode("utf-8", "surrogatepass") for w, _ in rows], np.array([n for _, n in rows], np.int64), total["tokens"], total["types"])
-
-
-def class_bigrams(training: DataFrame, shared, fold: int = 3) -> DataFrame:
-    """(context, class, n, held): counts of class bigrams in and out of the held-out fold."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: Vocabulary = shared.value
-        sums = np.zeros((2, CLASSES * CLASSES), np.int64)
-        for batch in batches:
-            for text, held in zip(batch.column(0), batch.column(1).to_pylist()):
-                context, now = known.steps(known.ranks(words(text.as_py())))
-                np.add.at(sums[int(held)], context.astype(np.int64) * CLASSES + now, 1)
-        cells = np.flatnonzero(sums.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(cells // CLASSES, pa.int32()), pa.array(cells % CLASSES, pa.int32()), pa.array(sums[0, cells]), pa.array(sums[1, cells])], ["context", "class", "n", "held"])
-
-    sent = training.select("text", (crc_mod("doc_id", 7) == fold).alias("held")).mapInArrow(run, "context int, class int, n long, held long")
-    return sent.groupBy("context", "class").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
-
-
-def mixture(estimates: np.ndarray, held: np.ndarray, rounds: int = EM_ROUNDS) -> np.ndarray:
-    """Weights (bucket of the context's frequency, component) by expectation-maximisation on held-out counts."""
-    bucket = buckets(estimates)
-    parts = components(estimates)
-    weights = np.full((64, 3), 1 / 3)
-    context, now = np.nonzero(held)
-    n, b = held[context, now], bucket[context]
-    p = np.stack([part[context, now] if part.ndim == 2 else part[now] for part in parts])
-    for _ in range(rounds):
-        shares = weights[b].T * p
-        shares *= n / shares.sum(axis=0)
-        sums = np.stack([np.bincount(b, s, 64) for s in shares], axis=1)
-        total = sums.sum(axis=1, keepdims=True)
-        weights = np.where(total > 0, sums / np.maximum(total, 1e-300), weights)
-    # a class may be unseen in the estimates of any context, so the uniform part keeps a little everywhere
-    return (weights + 1e-6) / (weights + 1e-6).sum(axis=1, keepdims=True)
+def bucket(context: np.ndarray) -> np.ndarray:
+    return np.ceil(np.log2(context + 1.0)).astype(np.int64)
 
 
-def buckets(estimates: np.ndarray) -> np.ndarray:
-    return np.ceil(np.log2(estimates.sum(axis=1) + 1.0)).astype(np.int64)
+def estimates(context: np.ndarray, pair: np.ndarray, word: np.ndarray, tokens: float, types: float) -> np.ndarray:
+    """The three estimates of each token (columns): bigram, word, uniform."""
+    uniform = np.full(len(word), 1 / (types + 1))
+    single = word / tokens if tokens else uniform
+    return np.stack([np.where(context > 0, pair / np.maximum(context, 1), single), single, uniform], axis=1)
 
 
-def components(estimates: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximum-likelihood bigram and unigram estimates, and the uniform distribution, over classes. Where nothing is
-    counted, the coarser estimate stands in, so that each is a distribution."""
-    uniform = np.full(CLASSES, 1 / CLASSES)
-    sums = estimates.sum(axis=0)
-    unigram = sums / sums.sum() if sums.any() else uniform
-    rows = estimates.sum(axis=1, keepdims=True)
-    return np.where(rows > 0, estimates / np.maximum(rows, 1), unigram), unigram, uniform
+def _steps(p: np.ndarray) -> np.ndarray:
+    """Minus the logarithm to base 2 in whole steps; -1 for zero."""
+    return np.where(p > 0, np.rint(-STEPS * np.log2(np.maximum(p, 1e-300))), -1).astype(np.int64)
 
 
-def log_table(estimates: np.ndarray, held: np.ndarray) -> np.ndarray:
-    """log10 P(class | context)."""
-    weights = mixture(estimates, held)
-    whole = estimates + held
-    w = weights[buckets(whole)]
-    bigram, unigram, uniform = components(whole)
-    return np.log10(w[:, :1] * bigram + w[:, 1:2] * unigram + w[:, 2:] * uniform)
-
+def mixture(cells: np.ndarray, types: float, rounds: int = EM_ROUNDS) -> np.ndarray:
+    """Weights (bucket, estimate) by expectation-maximisation over cells (bucket, steps of the bigram's estimate, of
+    the word's, count). A bucket's weights start from, and are smoothed by one token of, those of all."""
+    weights = np.full((BUCKETS, 3), 1 / 3)
+    if not len(cells):
+        return weights
+    at, n = cells[:, 0].astype(np.int64), cells[:, 3].astype(np.float64)
+    p = np.stack([np.where(cells[:, i] >= 0, 2.0 ** (-cells[:, i] / STEPS), 0.0) for i in (1, 2)] + [np.full(len(n), 1 / (types + 1))], axis=1)
+    for _ in range(rounds):
+        shares = weights[at] * p
+        shares *= (n / shares.sum(axis=1))[:, None]
+        whole = shares.sum(axis=0) / n.sum()
+        sums = np.stack([np.bincount(at, s, BUCKETS) for s in shares.T], axis=1) + whole
+        weights = sums / sums.sum(axis=1, keepdims=True)
+    # a word may be unseen after any context, so the uniform part keeps a little everywhere
+    return (weights + 1e-6) / (weights + 1e-6).sum(axis=1, keepdims=True)
 
-def train(training: DataFrame, scratch: Scratch) -> tuple[DataFrame, Vocabulary, np.ndarray]:
-    """Word counts (a table), the head of the vocabulary, and log10 P(class | context)."""
-    counts = scratch.write("words", word_counts(training))
-    known = vocabulary(counts)
-    table = class_bigrams(training, training.sparkSession.sparkContext.broadcast(known)).toArrow()  # CLASSES^2 rows at most
-    sums = np.zeros((2, CLASSES, CLASSES))
-    at = table["context"].to_numpy(), table["class"].to_numpy()
-    sums[0][at], sums[1][at] = table["n"].to_numpy(), table["held"].to_numpy()
-    return counts, known, log_table(*sums)
 
+@dataclass
+class Model:
+    """Replies to the chunks of docs (a table), sizes of the training set, and the weights."""
 
-def score(docs: DataFrame, counts: DataFrame, known: Vocabulary, table: np.ndarray) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row of docs (doc_id, text, ...).
+    replies: DataFrame
+    tokens: int
+    types: int
+    weights: np.ndarray
+
+
+def _marked(docs: DataFrame, training: Column, held: Column) -> DataFrame:
+    return docs.select("doc_id", "text", training.alias("training"), (training & held).alias("held"))
+
+
+def train(docs: DataFrame, training: Column, held: Column, scratch: Scratch) -> Model:
+    """Counts over the rows of docs where training, asked for by all rows; weights from the rows where held, too."""
+    marked = _marked(docs, training, held)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    answered = scratch.write("replies", replies(asks(marked, size // RANGE_BYTES + 1)))
+    sums = answered.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("types", "tokens", "held"))).first()
+    types, tokens, n_held = map(int, sums)
+    answered = answered.drop("types", "tokens", "held")
+
+    def run(table: pa.Table) -> pa.Table:
+        _, chunk, n, held = _met(table)
+        parts = chunk.spread(n - held)
+        p = estimates(*parts, tokens - n_held, types)
+        cells, counts = np.unique(np.stack([bucket(parts[0]), _steps(p[:, 0]), _steps(p[:, 1])]), axis=1, return_counts=True)
+        return pa.Table.from_arrays([*map(pa.array, cells), pa.array(counts)], ["bucket", "pair", "single", "n"])
+
+    both = _own(marked.where("held")).unionByName(answered.where("chunk % 2 = 1"))
+    cells = both.groupBy("chunk").applyInArrow(run, "bucket long, pair long, single long, n long")
+    cells = cells.groupBy("bucket", "pair", "single").agg(F.sum("n").alias("n"))
+    table = cells.toArrow()  # cells of a grid: 64 buckets, and up to some hundred steps of either estimate
+    return Model(answered, tokens, types, mixture(np.array([c.to_numpy() for c in table.columns]).T.reshape(-1, 4), types))
+
+
+def score(docs: DataFrame, training: Column, held: Column, model: Model) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row of docs, which the model was trained on
+    with the same training and held."""
+    tokens, types, weights = model.tokens, model.types, model.weights
+
+    def run(table: pa.Table) -> pa.Table:
+        found, chunk, n, _ = _met(table)
+        context, pair, word = chunk.spread(n)
+        p = (weights[bucket(context)] * estimates(context, pair, word, tokens, types)).sum(axis=1)
+        size = found["size"].to_numpy()
+        starts = np.cumsum(size) - size
+        sums = [np.add.reduceat(x, starts) for x in ((word > 0).astype(np.int64), np.log10(word + 1) - np.log10(tokens + types + 1), np.log10(p))]
+        return pa.table({"doc_id": found["doc_id"], "n_tokens": size, "n_known": sums[0], "train_tokens": np.full(len(size), tokens), "base_score": sums[1], "score": sums[2]})
 
-    One pass makes, for each text, a row of sums over its head words and a row for each other word; the latter meet
-    their counts in a join on the word, and a text's rows are summed. Rows that are alike share their sums.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast((known, table))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "h", "word", "times", "n_tokens", "n_known", "counts", "model"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, logs = shared.value
-        for batch in batches:
-            for first in range(0, batch.num_rows, 1000):
-                part = batch.slice(first, 1000)
-                rows, out = [], [[] for _ in names[2:]]
-                for i, (text, h) in enumerate(zip(part.column(2), part.column(1).to_pylist())):
-                    tokens = words(text.as_py())
-                    ranks = v.ranks(tokens)
-                    model = float(logs[v.steps(ranks)].sum() + v.within[ranks].sum())
-                    # the text's own row joins nothing, and its key is spread like the words
-                    made = [(f" {h:x}", 0, len(ranks), int(v.known[ranks].sum()), float(v.log_counts[ranks].sum()), model)]
-                    rest = Counter(tokens[j] for j in np.flatnonzero(ranks[:-1] == len(v.head)).tolist())
-                    made += [(w.decode("utf-8", "surrogatepass"), n, 0, 0, 0.0, 0.0) for w, n in rest.items()]
-                    rows += [i] * len(made)
-                    for column, values in zip(out, zip(*made)):
-                        column += values
-                at = pa.array(rows, pa.int64())
-                types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *map(pa.array, out, types)], names)
-
-    sent = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, f"doc_id {kind}, h long, word string, times long, n_tokens long, n_known long, counts double, model double")
-    met = sent.join(counts, "word", "left")
-    c = F.coalesce("n", F.lit(0))
-    more = F.col("times") * F.log10(c + F.lit(1.0))
-    sums = met.groupBy("doc_id", "h").agg(
-        F.count_if(F.col("times") == 0).cast("int").alias("copies"), F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(c > 0, F.col("times")).otherwise(0)).alias("n_known"), F.sum(F.col("counts") + more).alias("counts"), F.sum(F.col("model") + more).alias("model"),
-    )
-    each = [(F.col(x) / F.col("copies")).cast("long").alias(x) for x in ("n_tokens", "n_known")]
-    base = F.col("counts") / F.col("copies") - each[0] * float(np.log10(known.tokens + known.types + 1))
-    found = sums.select("doc_id", *each, F.lit(known.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("model") / F.col("copies")).alias("score"), F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy"))
-    return found.drop("copy")
+    both = _own(_marked(docs, training, held)).unionByName(model.replies)
+    return both.groupBy("chunk").applyInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5_lm: see the README for its columns."""
-    docs = read(spark, sf_dir, "documents")
-    fold = crc_mod("doc_id", 7)
-    found = score(docs, *train(docs.where(fold != 2), Scratch(spark)))
+    docs, fold = read(spark, sf_dir, "documents"), crc_mod("doc_id", 7)
+    model = train(docs, fold != 2, fold == 3, Scratch(spark))
+    found = score(docs, fold != 2, fold == 3, model)
     return found.select("doc_id", (fold == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

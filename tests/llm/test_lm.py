@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quirebook.llm import lm
@@ -13,57 +14,114 @@ def tokens(text):
     return (text or "").encode().lower().split() + [b" "]
 
 
-def brute(rows):
-    mod = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7
-    c = Counter(t for d, x in rows if mod(d) != 2 for t in tokens(x))
-    n, v = sum(c.values()), len(c)
-    return {d: (mod(d) == 2, len(tokens(x)), sum(c[t] > 0 for t in tokens(x)), n, sum(math.log10((c[t] + 1) / (n + v + 1)) for t in tokens(x))) for d, x in rows}
+def mod(d):
+    return zlib.crc32(("" if d is None else str(d)).encode()) % 7
 
 
-def test_base_against_brute_force(spark, sf, monkeypatch):
+class Brute:
+    """The same model over plain counters."""
+
+    def __init__(self, rows, training, held):
+        self.full, self.held = (Counter(), Counter()), (Counter(), Counter())
+        for d, text in rows:
+            if training(d):
+                self.add(self.full, text)
+                if held(d):
+                    self.add(self.held, text)
+        self.n, self.v = sum(self.full[0].values()), len(self.full[0])
+        cells = Counter()
+        for d, text in rows:
+            if training(d) and held(d):
+                for a, b in self.steps(text):
+                    c = [self.full[i][x] - self.held[i][x] for i, x in ((0, a), (1, (a, b)), (0, b))]
+                    p = self.parts(*c, self.n - sum(self.held[0].values()))
+                    cells[(math.ceil(math.log2(c[0] + 1)), *(round(-lm.STEPS * math.log2(x)) if x else -1 for x in p[:2]))] += 1
+        self.weights = lm.mixture(np.array([(*k, n) for k, n in cells.items()]).reshape(-1, 4), self.v)
+
+    @staticmethod
+    def steps(text):
+        t = tokens(text)
+        return list(zip([b" ", *t], t))
+
+    def add(self, counts, text):
+        for a, b in self.steps(text):
+            counts[0][b] += 1
+            counts[1][a, b] += 1
+
+    def parts(self, context, pair, word, n):
+        uniform = 1 / (self.v + 1)
+        single = word / n if n else uniform
+        return pair / context if context else single, single, uniform
+
+    def p(self, a, b):
+        context = self.full[0][a]
+        w = self.weights[math.ceil(math.log2(context + 1))]
+        return sum(x * y for x, y in zip(w, self.parts(context, self.full[1][a, b], self.full[0][b], self.n)))
+
+    def row(self, text):
+        t = tokens(text)
+        base = sum(math.log10((self.full[0][x] + 1) / (self.n + self.v + 1)) for x in t)
+        return len(t), sum(self.full[0][x] > 0 for x in t), self.n, base, sum(math.log10(self.p(a, b)) for a, b in self.steps(text))
+
+
+def same(got, want):
+    return tuple(got[:3]) == want[:3] and all(math.isclose(a, b, rel_tol=1e-7, abs_tol=1e-9) for a, b in zip(got[3:], want[3:]))
+
+
+def test_query_against_brute_force(spark, sf, monkeypatch):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    want = brute(rows)
-    for head in (lm.HEAD, 300):  # all words broadcast, or most of them joined
-        monkeypatch.setattr(lm, "HEAD", head)
+    brute = Brute(rows, lambda d: mod(d) != 2, lambda d: mod(d) == 3)
+    texts = dict(rows)
+    for chunk, size in ((lm.CHUNK, lm.RANGE_BYTES), (3000, 20_000)):  # one chunk, or many that meet in many ranges
+        monkeypatch.setattr(lm, "CHUNK", chunk)
+        monkeypatch.setattr(lm, "RANGE_BYTES", size)
         got = lm.query(spark, sf).collect()
-        assert len(got) == len(rows)
+        assert sorted(r.doc_id for r in got) == sorted(texts)
         for r in got:
-            w = want[r.doc_id]
-            assert tuple(r)[1:5] == w[:4] and math.isclose(r.base_score, w[4], rel_tol=1e-9)
-        held = [r for r in got if r.held_out]
-        assert sum(r.score for r in held) > sum(r.base_score for r in held)  # the model beats its base
+            assert r.held_out == (mod(r.doc_id) == 2) and same(r[2:], brute.row(texts[r.doc_id]))
+    held = [r for r in got if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held) + 100  # the model beats its base
+
+
+def test_probabilities_sum_to_one():
+    rows = [(i, " ".join(f"w{(i * j) % 13}" for j in range(i % 9))) for i in range(200)]
+    brute = Brute(rows, lambda d: True, lambda d: d % 5 == 0)
+    for a in (b" ", b"w1", b"w12", b"never"):
+        assert math.isclose(sum(brute.p(a, b) for b in brute.full[0]) + brute.p(a, b"unseen"), 1)
 
 
-def test_weights_are_learned_and_the_table_is_a_distribution():
+def test_weights_are_learned():
+    good = np.array([(10, 4, 40, 900), (10, -1, 40, 100), (3, -1, 20, 500), (3, 2, 20, 1)])
+    weights = lm.mixture(good, 1000)
+    assert weights[10, 0] > 0.85 and weights[3, 0] < 0.1 and np.allclose(weights.sum(axis=1), 1)
+    assert np.allclose(lm.mixture(np.empty((0, 4)), 10), 1 / 3)
+
+
+def test_packing_is_reversible():
     rng = np.random.default_rng(1)
-    estimates = rng.poisson(0.02, (lm.CLASSES, lm.CLASSES)).astype(float)
-    estimates[5], estimates[6] = np.arange(lm.CLASSES), 10 * np.arange(lm.CLASSES)[::-1]
-    held = np.zeros_like(estimates)
-    held[5] = np.arange(lm.CLASSES) // 2
-    assert np.allclose((10 ** lm.log_table(estimates, held)).sum(axis=1), 1)
-    weights = lm.mixture(estimates, held)
-    assert weights[lm.buckets(estimates)[5], 0] > 0.9
-    shuffled = rng.permutation(held[5])
-    held[5] = shuffled
-    assert lm.mixture(estimates, held)[lm.buckets(estimates)[5], 0] < 0.9
-    zero = np.zeros_like(estimates)
-    assert np.allclose((10 ** lm.log_table(zero, zero)).sum(axis=1), 1)
-
-
-def test_words_within_classes_sum_to_one():
-    v = lm.Vocabulary([b"%d" % i for i in range(900)], np.arange(900, 0, -1) * 3, 2_000_000, 1500)
-    sums = np.bincount(v.classes[:-1], 10 ** v.within[:-1], lm.CLASSES)
-    used = np.unique(v.classes[:-1])
-    assert np.allclose(sums[used], 1) and lm.CLASSES - 1 not in used
+    for values in ([], [0], [1 << 63, 5, (1 << 64) - 1], rng.integers(0, 1 << 40, 1000), rng.integers(0, 3, 1000)):
+        values = np.array(values, np.uint64)
+        assert (lm.unpack(lm.pack(values)) == values).all()
 
 
 def test_defined_cases(spark):
-    rows = [(1, "A b c"), (1, "A b c"), (2, None), (3, ""), (4, "zzz " * 3000), (None, "a b")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("word", F.lit("clash")).withColumn("n", F.lit(1))
-    got = sorted(map(tuple, lm.score(docs, *lm.train(docs, Scratch(spark))).collect()), key=str)
-    assert len(got) == 6 and [r[1] for r in got if r[0] == 1] == [4, 4] and {r[1] for r in got if r[0] in (2, 3)} == {1}
-    assert len({r for r in got if r[0] == 1}) == 1
+    rows = [(1, "A b c"), (1, "A b c"), (2, None), (3, ""), (4, "zzz " * 30_000), (None, "a b"), (5, "b a\x00 É")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("word", F.lit("clash")).withColumn("chunk", F.lit(1))
+    for training, held in ((F.lit(True), F.col("doc_id").eqNullSafe(4)), (F.col("text") == "A b c", F.lit(False)), (F.lit(True), F.lit(True)), (F.lit(False), F.lit(True))):
+        training = F.coalesce(training, F.lit(False))
+        got = lm.score(docs, training, held, lm.train(docs, training, held, Scratch(spark))).collect()
+        chosen = {(r[0], r[1]): (r.t, r.h) for r in docs.select("doc_id", "text", training.alias("t"), held.alias("h")).collect()}
+        brute = Brute([((d, t), t) for d, t in rows], lambda d: chosen[d][0], lambda d: chosen[d][1])
+        want = sorted(((d, *brute.row(t)) for d, t in rows), key=str)
+        assert len(got) == len(want)
+        for g, w in zip(sorted(map(tuple, got), key=str), want):
+            assert g[0] == w[0] and same(g[1:], w[1:])
     none = docs.limit(0)
-    blind = lm.score(docs, *lm.train(none, Scratch(spark))).collect()
-    assert {r.n_known for r in blind} == {0} and {r.train_tokens for r in blind} == {0} and all(r.base_score == 0 for r in blind)
-    assert lm.score(none, *lm.train(none, Scratch(spark))).count() == 0
+    assert lm.score(none, F.lit(True), F.lit(True), lm.train(none, F.lit(True), F.lit(True), Scratch(spark))).count() == 0
+
+
+def test_docs_read_otherwise_raise(spark):
+    a, b = (spark.createDataFrame([(1, t)], "doc_id long, text string") for t in ("a b c", "a b d"))
+    model = lm.train(a, F.lit(True), F.lit(False), Scratch(spark))
+    with pytest.raises(Exception, match="not read alike"):
+        lm.score(b, F.lit(True), F.lit(False), model).collect()
