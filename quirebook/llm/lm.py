@@ -40,7 +40,7 @@ from quirebook.llm.common import Scratch, crc_mod, read
 
 #: The token that ends a text. No word holds a space.
 END = b" "
-CHUNK = 4_000_000
+CHUNK = 1_500_000
 #: Bytes of text whose keys make one range of the key space.
 RANGE_BYTES = 16_000_000
 #: Words whose hashes a task remembers.
