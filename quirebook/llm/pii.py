@@ -9,7 +9,7 @@ A logistic regression trained on those estimates, weighted by count, is the span
 coefficients, it becomes part of the plan. Texts are never shuffled, written or sent to Python.
 
 A match's place is the length of what splitting at the pattern leaves before it, so spans are in code points, end
-exclusive. Patterns are possessive and tied to the start of a run of their characters (or the last match's end), which
+exclusive. Lengths are summed by blocks, so that a text may hold very many matches. Patterns are possessive and tied to the start of a run of their characters (or the last match's end), which
 finds the same matches in time linear in the text.
 
 Defined cases: a null text is an empty one; repeated rows are scanned alike; where there is no candidate to learn from,
@@ -19,7 +19,8 @@ a span of a further kind counts if two more labelers vote for it than against; a
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -36,15 +37,16 @@ FOUND = "array<struct<kind:int,start:int,end:int,votes:array<int>>>"
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
-    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    # with the number of digits, so that tables of other numbers make no matches
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])",
+    "phone": r"\+[0-9](?:[\x20().-]*+[0-9]){8,14}+(?![\x20().-]*+[0-9])",
 }
 #: Of the further kinds, in the order in which they are tried.
 MORE = {
     "ssn": r"(?<![0-9A-Za-z])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])",
     "local": r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
-    "name": r"(?<![\p{L}])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.?\x20\p{Lu}\p{Ll}{1,30}(?:\x20\p{Lu}\p{Ll}{1,30})?",
+    "name": r"(?<![\p{L}])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.?\x20\p{Lu}\p{Ll}++(?:\x20\p{Lu}\p{Ll}++)?",
 }
 #: Fixed lists: top-level domains, country codes of IBANs, given names, words before personal data and before other numbers.
 DOMAINS = "com org net edu gov io de fr es uk eu info biz".split()
@@ -52,21 +54,57 @@ COUNTRIES = "AT BE CH DE DK ES FI FR GB IE IT LU NL NO PL PT SE".split()
 GIVEN = "Anna Maria Peter Paul Hans Thomas Michael Sarah Laura Jean Pierre Marie Jose Carmen Juan Carlos Elena John James Mary Robert Linda David Julia".split()
 BEFORE = r"(?:e-?mail|mail to|contact|tel|phone|fax|mobile|call|ssn|social security|tax id|iban|account|konto|card|visa|credit|name|dear|address|ip)[^\p{L}\p{N}]{0,4}(?:\p{L}{1,8}[^\p{L}\p{N}]{0,3})?$"
 OTHER = r"(?:order|invoice|isbn|version|item|lot|serial|part|page|chapter|section|figure|no\.?|nr\.?)[^\p{L}\p{N}]{0,4}$"
-EM_ROUNDS = 25
+EM_ROUNDS, BLOCK = 25, 256
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """What combine makes of the values up to each one. A step of an aggregation copies what it has gathered, so the
+    values are gathered in blocks of about the root of their number, and then what stands before each block."""
+    nothing = F.filter(F.array(zero), lambda x: F.lit(False))
+
+    def gathered(items: Column, step: Callable[[Column, Column], Column]) -> Column:
+        start = F.struct(zero.alias("at"), nothing.alias("out"))
+        return F.aggregate(items, start, lambda s, x: let(step(s["at"], x), lambda at: F.struct(at.alias("at"), F.concat(s["out"], F.array(at)).alias("out"))), lambda s: s["out"])
+
+    def of(all_: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(all_))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), (F.size(all_) - 1).cast("int"), width), lambda i: gathered(F.slice(all_, i + 1, width), combine))
+
+        def shifted(made: Column) -> Column:
+            ends = gathered(made, lambda at, block: combine(at, F.element_at(block, -1)))
+            return F.flatten(F.transform(made, lambda block, i: let(F.when(i > 0, F.get(ends, i - 1)).otherwise(zero), lambda at: F.transform(block, lambda v: combine(at, v)))))
+
+        return F.when(F.size(all_) > 0, let(blocks, shifted)).otherwise(nothing)
+
+    return let(values, of)
 
 
 def matches(text: Column, pattern: str) -> Column:
     """All matches as (start, end, m), from the pieces between them."""
-    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0), lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,m:string>>").alias("out"))
 
-    def step(s: Column, p: Column) -> Column:
-        start = s["at"] + F.length(p["gap"])
-        end = start + F.length(p["m"])
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), p["m"].alias("m")))
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(p["m"].isNull(), s["out"]).otherwise(F.concat(s["out"], one)).alias("out"))
+    def of(found: Column) -> Column:
+        pieces = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        ends = running(F.zip_with(pieces, found, lambda gap, m: F.length(gap) + F.length(m)), lambda a, b: a + b, F.lit(0))
+        return F.zip_with(ends, found, lambda end, m: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("m")))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), 0), of)
+
+
+def blocks(text: Column) -> Column:
+    """text in blocks of BLOCK characters, as the way to a place in a string grows with the place."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), 0)
+
+
+def cut(parts: Column, start: Column, end: Column) -> Column:
+    """The characters of a text in blocks from start to end."""
+    first = F.floor(start / BLOCK).cast("int")
+    n = F.greatest(F.floor((end - 1) / BLOCK).cast("int"), first) - first + 1
+
+    def piece(part: Column, i: Column) -> Column:
+        from_ = F.greatest(start - (first + i) * BLOCK, F.lit(0))
+        return F.substr(part, from_ + 1, F.least(end - (first + i) * BLOCK, F.lit(BLOCK)) - from_)
 
-    return F.aggregate(pairs, zero, step, lambda s: s["out"])
+    return F.array_join(F.transform(F.slice(parts, first + 1, n), piece), "")
 
 
 def digits(m: Column) -> Column:
@@ -95,13 +133,12 @@ def mod97(iban: Column) -> Column:
 
 def _valid(kind: str, m: Column) -> Column:
     """Whether a match of a base kind counts."""
-    n = F.length(digits(m))
     if kind == "ip":
         part = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
         return m.rlike(rf"^{part}(?:\.{part}){{3}}$")
     if kind == "card":
-        return F.when((n >= 13) & (n <= 19), luhn(digits(m))).otherwise(False)
-    return (n >= 9) & (n <= 15) if kind == "phone" else F.lit(True)
+        return luhn(digits(m))
+    return F.lit(True)
 
 
 def _vote(yes: Column, no: Column | None = None) -> Column:
@@ -109,7 +146,7 @@ def _vote(yes: Column, no: Column | None = None) -> Column:
     return F.when(yes, 1).when(~yes if no is None else no, -1).otherwise(0)
 
 
-def _votes(kind: str, text: Column, x: Column) -> Column:
+def _votes(kind: str, parts: Column, x: Column) -> Column:
     m = x["m"]
     any_of = lambda words: "(?:" + "|".join(words) + ")"
     none = F.lit(0)
@@ -123,38 +160,56 @@ def _votes(kind: str, text: Column, x: Column) -> Column:
         "iban": (_vote(m.rlike(r"^[A-Z]{2}[0-9]{2}(?:[0-9A-Z]+|(?: [0-9A-Z]{4})+(?: [0-9A-Z]{1,3})?)$")), _vote(mod97(m)), _vote(m.rlike(rf"^{any_of(COUNTRIES)}"))),
         "name": (none, _vote(m.rlike(r"\p{Ll}{2,}$")), _vote(m.rlike(rf"\b{any_of(GIVEN)}\b"), F.lit(False))),
     }[kind]
-    from_ = F.greatest(x["start"] - 40, F.lit(0))
-    before = F.lower(F.substr(text, from_ + 1, x["start"] - from_))
-    sides = F.concat(F.substr(text, F.greatest(x["start"], F.lit(1)), F.least(x["start"], F.lit(1))), F.lit(" "), F.substr(text, x["end"] + 1, F.lit(1)))
+    before = F.lower(cut(parts, F.greatest(x["start"] - 40, F.lit(0)), x["start"]))
+    sides = F.concat(cut(parts, F.greatest(x["start"] - 1, F.lit(0)), x["start"]), F.lit(" "), cut(parts, x["end"], x["end"] + 1))
     return F.array(regex, structure, gazetteer, _vote(before.rlike(BEFORE), before.rlike(OTHER)), _vote(~sides.rlike(r"[\p{L}\p{N}_/@=]")))
 
 
+def apart(taken: Column, others: Column) -> Column:
+    """Those of others that touch no span of taken. All are put in order once: before a span lies the furthest end of
+    taken spans, after it their nearest start."""
+    mark = lambda c, i: F.struct(c["start"].alias("start"), c["end"].alias("end"), i.alias("other"))
+    marks = F.array_sort(F.concat(F.transform(taken, lambda c: mark(c, F.lit(-1))), F.transform(others, mark)))
+    far = (1 << 31) - 1
+
+    def of(m: Column) -> Column:
+        before = running(F.transform(m, lambda c: F.when(c["other"] < 0, c["end"]).otherwise(0)), F.greatest, F.lit(0))
+        after = F.reverse(running(F.reverse(F.transform(m, lambda c: F.when(c["other"] < 0, c["start"]).otherwise(far))), F.least, F.lit(far)))
+        sides = F.arrays_zip(m.alias("m"), before.alias("before"), after.alias("after"))
+        free = F.filter(sides, lambda c: (c["m"]["other"] >= 0) & (c["before"] <= c["m"]["start"]) & (c["after"] >= c["m"]["end"]))
+        return F.transform(free, lambda c: F.get(others, c["m"]["other"]))
+
+    return let(marks, of)
+
+
 def candidates(text: Column) -> Column:
     """All candidates of a text: base kinds in order, each by start, then the others that touch no base span."""
     nothing = F.array().cast(FOUND)
 
-    def made(kind: str, x: Column) -> Column:
-        return F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), _votes(kind, text, x).alias("votes"))
+    def made(kind: str, parts: Column, x: Column) -> Column:
+        return F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), _votes(kind, parts, x).alias("votes"))
+
+    def voted(found: Column, of: Callable[[Column, Column], Column]) -> Column:
+        """Only where something is found is the text cut."""
+        return let(found, lambda f: F.when(F.size(f) > 0, let(blocks(text), lambda parts: F.transform(f, lambda x: of(parts, x)))).otherwise(nothing))
 
     def of(kind: str) -> Column:
-        found = F.filter(matches(text, PATTERNS[kind]), lambda x: _valid(kind, x["m"]))
-        return F.transform(found, lambda x: made(kind, x))
+        return voted(F.filter(matches(text, PATTERNS[kind]), lambda x: _valid(kind, x["m"])), lambda parts, x: made(kind, parts, x))
 
     gates = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9][\x20-]?[0-9]"), "phone": text.rlike(r"\+[0-9]")}
     base = F.concat(*(F.when(gates[k], of(k)).otherwise(nothing) for k in BASE))
     every = "|".join(f"(?:{p})" for p in MORE.values())
 
-    def more(x: Column) -> Column:
-        rest = made("name", x)
+    def more(parts: Column, x: Column) -> Column:
+        rest = made("name", parts, x)
         for kind in ("iban", "local", "ssn"):
             # within a match the text around is gone, so look-arounds hold by themselves
-            rest = F.when(x["m"].rlike(f"^(?:{MORE[kind]})$"), made(kind, x)).otherwise(rest)
+            rest = F.when(x["m"].rlike(f"^(?:{MORE[kind]})$"), made(kind, parts, x)).otherwise(rest)
         return rest
 
     def both(found: Column) -> Column:
-        apart = F.filter(matches(text, every), lambda x: ~F.exists(found, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
         order = lambda c: F.struct(c["kind"], c["start"], c["end"], c["votes"])
-        return F.concat(found, F.array_sort(F.transform(F.transform(apart, more), order)).cast(FOUND))
+        return let(matches(text, every), lambda rest: F.concat(found, F.array_sort(F.transform(voted(apart(found, rest), more), order)).cast(FOUND)))
 
     return let(base, lambda found: F.when(text.rlike(every), both(found)).otherwise(found))
 
@@ -183,8 +238,7 @@ def expectation_maximisation(patterns: Sequence[tuple[int, tuple[int, ...], int]
 def train(docs: DataFrame) -> list[float]:
     """Coefficients of the span classifier, learned from all candidates of docs (text, ...): an intercept, one for each
     labeler's vote and one for each kind."""
-    text = F.coalesce("text", F.lit(""))
-    found = docs.select(F.explode(candidates(text)).alias("c"))
+    found = docs.select("text").select(F.explode(_of_text(docs.sparkSession.sparkContext.applicationId)).alias("c"))
     counts = found.groupBy("c.kind", "c.votes").agg(F.count("*").alias("n")).collect()  # len(KINDS) * 3^5 rows at most
     patterns = sorted((r["kind"], tuple(r["votes"]), r["n"]) for r in counts)
     if not patterns:
@@ -200,15 +254,21 @@ def train(docs: DataFrame) -> list[float]:
     return [model.intercept, *map(float, model.coefficients)]
 
 
-def spans(text: Column, model: list[float]) -> Column:
-    """The candidates that count: all of base kinds, and those that the classifier takes."""
+@lru_cache(4)
+def _of_text(application: str) -> Column:
+    """The candidates of the column text. The expression is large, so it is put together once for a session."""
+    return candidates(F.coalesce("text", F.lit("")))
+
+
+def spans(spark: SparkSession, model: list[float]) -> Column:
+    """The candidates of the column text that count: all of base kinds, and those that the classifier takes."""
     bias, votes, kinds = model[0], model[1 : 1 + len(LABELERS)], model[1 + len(LABELERS) :]
 
     def taken(c: Column) -> Column:
         score = sum((F.get(c["votes"], F.lit(i)) * w for i, w in enumerate(votes)), F.lit(bias)) + F.element_at(F.array(*map(F.lit, kinds)), c["kind"] + 1)
         return (c["kind"] < len(BASE)) | (score >= 0)
 
-    return F.filter(candidates(F.coalesce(text, F.lit(""))), taken)
+    return F.filter(_of_text(spark.sparkContext.applicationId), taken)
 
 
 def told(found: Column) -> Column:
@@ -216,28 +276,35 @@ def told(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda c: F.concat_ws(":", F.element_at(names, c["kind"] + 1), c["start"], c["end"])), ",")
 
 
+def merged(found: Column) -> Column:
+    """Spans (start, end, kind) in order; those that overlap are one, of the first one's kind."""
+
+    def firsts(s: Column, ends: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["start"] >= F.get(ends, i - 1)))
+        one = lambda f, i, at: F.struct(F.get(s, i)["start"].alias("start"), F.get(ends, F.coalesce(F.get(f, at + 1), F.size(s)) - 1).alias("end"), F.get(s, i)["kind"].alias("kind"))
+        return let(first, lambda f: F.transform(f, lambda i, at: one(f, i, at)))
+
+    ordered = F.array_sort(F.transform(found, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))))
+    of = lambda s: let(running(F.transform(s, lambda c: c["end"]), F.greatest, F.lit(0)), lambda ends: firsts(s, ends))
+    return let(ordered, lambda s: F.when(F.size(s) > 0, of(s)).otherwise(F.array().cast("array<struct<start:int,end:int,kind:int>>")))
+
+
 def redact(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
     """docs with each span of personal data (spans that overlap count as one) replaced by its kind in brackets, and
     n_chars, if there, set anew. Other rows and columns stay as they are."""
     model = model or train(docs)
-    text = F.coalesce("text", F.lit(""))
-    ordered = lambda found: F.array_sort(F.transform(found, lambda c: F.struct(c["start"], c["end"], c["kind"])))
-    kind = "array<struct<start:int,end:int,kind:int>>"
-
-    def join(out: Column, c: Column) -> Column:
-        last = F.try_element_at(out, F.lit(-1))
-        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], c["end"]).alias("end"), last["kind"].alias("kind"))
-        return F.when((F.size(out) > 0) & (c["start"] < last["end"]), F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(wider))).otherwise(F.concat(out, F.array(c)))
+    text = F.coalesce("row.text", F.lit(""))
 
-    def rebuilt(s: Column) -> Column:
+    def rebuilt(s: Column, parts: Column) -> Column:
         names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-        end = lambda i: F.when(i > 1, F.try_element_at(s, i - 1)["end"]).otherwise(0)
-        parts = F.transform(F.sequence(F.lit(1), F.size(s)), lambda i: F.concat(F.substr(text, end(i) + 1, F.try_element_at(s, i)["start"] - end(i)), F.element_at(names, F.try_element_at(s, i)["kind"] + 1)))
-        return F.concat(F.array_join(parts, ""), F.substr(text, F.try_element_at(s, F.lit(-1))["end"] + 1))
-
-    merged = let(spans(F.col("text"), model), lambda found: F.aggregate(ordered(found).cast(kind), F.array().cast(kind), join))
-    clean = let(merged, lambda s: F.when(F.size(s) > 0, rebuilt(s)).otherwise(F.col("text")))
-    wrapped = docs.select(F.struct("*").alias("row"), clean.alias("clean"))
+        before = lambda x, i: cut(parts, F.when(i > 0, F.get(s, i - 1)["end"]).otherwise(0), x["start"])
+        pieces = F.transform(s, lambda x, i: F.concat(before(x, i), F.element_at(names, x["kind"] + 1)))
+        return F.concat(F.array_join(pieces, ""), cut(parts, F.element_at(s, -1)["end"], F.length(text)))
+
+    # in two steps, as one alone nests deeper than the analyser goes
+    wrapped = docs.select(F.struct("*").alias("row"), spans(docs.sparkSession, model).alias("found"))
+    clean = let(merged(F.col("found")), lambda s: F.when(F.size(s) > 0, let(blocks(text), lambda parts: rebuilt(s, parts))).otherwise(F.col("row.text")))
+    wrapped = wrapped.select("row", clean.alias("clean"))
     new = {"text": F.col("clean"), "n_chars": F.length("clean").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     return wrapped.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
@@ -246,7 +313,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10_pii: see the README for its columns."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs)
-    found = docs.select("doc_id", let(spans(F.col("text"), model), lambda s: F.struct(s.alias("spans"), F.filter(s, lambda c: c["kind"] < len(BASE)).alias("base"))).alias("f"))
+    found = docs.select("doc_id", let(spans(spark, model), lambda s: F.struct(s.alias("spans"), F.filter(s, lambda c: c["kind"] < len(BASE)).alias("base"))).alias("f"))
     counts = [F.size(F.filter("f.base", _is(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(BASE)]
     return found.select("doc_id", *counts, F.sha2(told(F.col("f.base")), 256).alias("base_sha256"), told(F.col("f.spans")).alias("spans"))
 
