@@ -8,7 +8,7 @@ the weight of the longest such chain, found in one sweep over the merge list in
 twice that much, merges the buffer, and emits the tokens that are stable; the rest of a word then encodes on its own.
 Words that fit into the buffer (nearly all) are encoded at once and remembered in a table of bounded size.
 
-Decoding feeds token ids one at a time: as the tokenizer's own decode does when its file names no decoder (token
+Decoding feeds token ids in pieces: as the tokenizer's own decode does when its file names no decoder (token
 strings joined by spaces), or to text, through an incremental UTF-8 decoder that carries a character split over tokens
 and replaces what is malformed.
 
@@ -22,7 +22,7 @@ import codecs
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,8 @@ _CHUNK = regex.compile(f"[^{SPACE}]+")
 #: Fixed by the tokenizer file: how a chunk without white space falls into words.
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")
 _NONE = 1 << 60
+#: Ids that a decoder is fed at once.
+PIECE = 8192
 
 
 def default_path() -> str:
@@ -183,32 +185,46 @@ class Encoder(dict):
 
 
 class Decoder:
-    """Token ids in, text out, a piece for each token. pieces: as the tokenizer's own decode, the token strings joined
-    by spaces. Otherwise text: bytes become characters as soon as they are complete, a word end becomes a space."""
+    """Token ids in, in pieces of any length, text out; what is held between pieces is at most an open character.
+    pieces: as the tokenizer's own decode, the token strings joined by spaces. Otherwise text: bytes become characters
+    as soon as they are complete, a word end becomes a space."""
 
     def __init__(self, merges: MergeList, pieces: bool = False):
         self.merges, self.pieces, self.first = merges, pieces, True
         self.bytes = codecs.getincrementaldecoder("utf-8")(errors="replace")
         self.of = {s: b for b, s in enumerate(byte_symbols())}
 
-    def feed(self, ids: Iterable[int]) -> Iterator[str]:
-        for i in ids:
-            token = self.merges.strings[i]
-            if self.pieces:
-                yield token if self.first else " " + token
-                self.first = False
-            elif i in self.merges.special.values():
-                yield self.bytes.decode(b"", True) + token
-                self.bytes.reset()
-            else:
-                ends = bool(self.merges.end) and token.endswith(self.merges.end)
-                token = token[: -len(self.merges.end)] if ends else token
-                yield self.bytes.decode(bytes(map(self.of.__getitem__, token))) + (" " if ends else "")
+    def feed(self, ids: Sequence[int]) -> str:
+        if self.pieces:
+            text = " ".join(map(self.merges.strings.__getitem__, ids))
+            text, self.first = (text if self.first or not len(ids) else " " + text), self.first and not len(ids)
+            return text
+        return "".join(map(self._text, ids))
+
+    def _text(self, i: int) -> str:
+        token = self.merges.strings[i]
+        if i in self.merges.special.values():
+            text = self.bytes.decode(b"", True) + token
+            self.bytes.reset()
+            return text
+        ends = bool(self.merges.end) and token.endswith(self.merges.end)
+        token = token[: -len(self.merges.end)] if ends else token
+        return self.bytes.decode(bytes(map(self.of.__getitem__, token))) + (" " if ends else "")
 
     def finish(self) -> str:
         return "" if self.pieces else self.bytes.decode(b"", True)
 
 
+def decoded_digest(merges: MergeList, packed: bytes) -> str:
+    """The digest of what packed ids decode to, PIECE ids at a time."""
+    decoder, digest = Decoder(merges, pieces=True), hashlib.sha256()
+    ids = np.frombuffer(packed, "<u4")
+    for at in range(0, len(ids), PIECE):
+        digest.update(decoder.feed(ids[at : at + PIECE].tolist()).encode())
+    digest.update(decoder.finish().encode())
+    return digest.hexdigest()
+
+
 def _loaded(df: DataFrame, path: str | None):
     """The tokenizer file's text, for all executors: a file of fixed size, read on the driver."""
     with open(path or default_path(), encoding="utf-8") as f:
@@ -224,7 +240,6 @@ def encode(docs: DataFrame, path: str | None = None, ids: bool = True, digests:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = MergeList(json.loads(config.value))
         encoder = Encoder(merges)
-        strings = [merges.strings[i].encode() for i in range(len(merges.strings))]
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
                 part = batch.slice(first, 512)
@@ -236,8 +251,7 @@ def encode(docs: DataFrame, path: str | None = None, ids: bool = True, digests:
                     columns["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
                 if digests:
                     columns["ids_sha256"] = pa.array([hashlib.sha256(p).hexdigest() for p in found])
-                    texts = (b" ".join(map(strings.__getitem__, np.frombuffer(p, "<u4").tolist())) for p in found)
-                    columns["decoded_sha256"] = pa.array([hashlib.sha256(t).hexdigest() for t in texts])
+                    columns["decoded_sha256"] = pa.array([decoded_digest(merges, p) for p in found])
                 yield pa.RecordBatch.from_pydict(columns)
 
     schema = f"doc_id {kind}, n_tokens long" + ", ids array<int>" * ids + ", ids_sha256 string, decoded_sha256 string" * digests
@@ -255,7 +269,7 @@ def decode(encoded: DataFrame, path: str | None = None, pieces: bool = False) ->
             texts = []
             for row in batch.column(1):
                 decoder = Decoder(merges, pieces)
-                texts.append("".join(decoder.feed(row.as_py() or ())) + decoder.finish())
+                texts.append(decoder.feed(row.as_py() or ()) + decoder.finish())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")

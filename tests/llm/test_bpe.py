@@ -38,7 +38,8 @@ def test_ids_and_decoding_match_the_library(merges, library):
         packed = encoder.packed(text)
         assert list(struct.unpack(f"<{len(packed) // 4}I", packed)) == want, text
         decoder = bpe.Decoder(merges, pieces=True)
-        assert "".join(decoder.feed(want)) + decoder.finish() == library.decode(want, skip_special_tokens=False)
+        cut = len(want) // 3
+        assert decoder.feed(want[:cut]) + decoder.feed(want[cut:]) + decoder.finish() == library.decode(want, skip_special_tokens=False)
 
 
 def test_transducer_holds_a_bounded_buffer_and_emits_only_stable_tokens(merges):
@@ -59,10 +60,10 @@ def test_text_decoding_restores_words_and_characters_split_over_tokens(merges):
     text = "naïve 漢字 🎉 ünder"
     ids = [x for (x,) in struct.iter_unpack("<I", encoder.packed(text))]
     decoder = bpe.Decoder(merges)
-    assert "".join(decoder.feed(ids)) + decoder.finish() == "naïve 漢字 🎉 ünder "
+    assert "".join(decoder.feed([i]) for i in ids) + decoder.finish() == "naïve 漢字 🎉 ünder "
     half = [merges.inner["é".encode()[0]]]
     decoder = bpe.Decoder(merges)
-    assert "".join(decoder.feed(half)) + decoder.finish() == "�"
+    assert decoder.feed(half) + decoder.finish() == "�"
 
 
 def test_defined_cases(spark):
