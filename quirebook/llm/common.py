@@ -14,10 +14,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where a session (as in tests) has none, a temporary one is set."""
+    """The folder named by spark.checkpoint.dir; where a local session (as in tests) has none, a temporary one is set."""
     context = spark.sparkContext
     path = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="quirebook-")
         context.setCheckpointDir(path)
     elif not context.getCheckpointDir():
