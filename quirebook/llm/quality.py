@@ -4,8 +4,8 @@ Each text is measured and held against rules. Failures are counted by host (the
 failure rate is shrunk towards the mean of all hosts with a beta prior fitted to the hosts' rates by the method of
 moments, so that a host with few documents isn't judged by them alone. Host verdicts are joined back: a document that
 fails a base rule goes anywhere; one that fails a soft rule goes on a suspect host, and one that fails two goes on any
-host; on a host that is bad nearly throughout, every document goes. A host's counts are summed before the shuffle, so
-a host with a third of all rows costs a few rows.
+host; on a host that is bad nearly throughout, every document goes. A host's counts are summed before the shuffle, and
+its verdict is broadcast, so no task gets the rows of a host with a third of them.
 
 Defined cases: a null text has no words (and so fails); documents of null source share one nameless host; repeated
 rows are judged alike; an empty table gives no rows.
@@ -25,6 +25,8 @@ WINDOW = 8
 SUSPECT, BAD = 0.1, 0.9
 #: Strength of the prior where the hosts' rates don't spread, in documents.
 STRENGTH = 100.0
+#: Hosts whose rates are broadcast: some megabytes.
+BROADCAST = 100_000
 
 
 def _repeat_words(words: Column, width: int = WINDOW) -> Column:
@@ -91,6 +93,7 @@ def host_rates(marked: DataFrame) -> DataFrame:
     """(host, n_docs, n_failed, rate): the shrunk failure rate of each host of marked (quality)."""
     failed = F.col("quality.base_failed") | (F.col("quality.n_soft") > 0)
     hosts = marked.groupBy(F.col("quality.host").alias("host")).agg(F.count("*").alias("n_docs"), F.count_if(failed).alias("n_failed"))
+    hosts = Scratch(marked.sparkSession).write("hosts", hosts)
     raw = F.col("n_failed") / F.col("n_docs")
     prior = hosts.agg(F.avg(raw).alias("mean"), F.var_samp(raw).alias("var")).first()  # one row of two numbers
     mean, var = prior["mean"] or 0.0, prior["var"] or 0.0
@@ -99,20 +102,30 @@ def host_rates(marked: DataFrame) -> DataFrame:
 
 
 def verdicts(marked: DataFrame, rates: DataFrame) -> DataFrame:
-    """marked (row, quality) with host_rate and kept."""
+    """marked (row, quality) with host_rate and kept.
+
+    Up to BROADCAST hosts are broadcast. Of more, those with over 1 / BROADCAST of all documents, of which there are
+    fewer than BROADCAST, are broadcast, and only documents of the others, each a small group, are shuffled."""
     soft = F.when(F.col("host_rate") > SUSPECT, 1).otherwise(2)
     # one expression over both sides: no part of it can be pushed below the join, where it would measure the text again
     kept = F.when(F.col("host_rate") > BAD, False).otherwise(~F.col("quality.base_failed") & (F.col("quality.n_soft") < soft))
-    joined = marked.join(rates.select("host", F.col("rate").alias("host_rate")), F.col("quality.host") == F.col("host"), "left")
-    return joined.withColumn("kept", kept).drop("host")
+    sums = rates.agg(F.count("*").alias("hosts"), F.coalesce(F.sum("n_docs"), F.lit(0)).alias("docs")).first()
+    named = rates.select("host", "n_docs", F.col("rate").alias("host_rate"))
+    if sums["hosts"] <= BROADCAST:
+        joined = marked.join(F.broadcast(named), F.col("quality.host") == F.col("host"), "left")
+    else:
+        hot = F.col("n_docs") * BROADCAST > sums["docs"]
+        first = marked.join(F.broadcast(named.where(hot)), F.col("quality.host") == F.col("host"), "left")
+        rest = first.where("host is null").select("row", "quality").join(named.where(~hot), F.col("quality.host") == F.col("host"), "left")
+        joined = first.where("host is not null").unionByName(rest)
+    return joined.withColumn("kept", kept).drop("host", "n_docs")
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep. The texts are measured twice, which is cheaper than to shuffle or write
-    them between the count of the hosts and the verdicts."""
-    rates = host_rates(ruled(docs.select("text", "source")))
-    rates = Scratch(docs.sparkSession).write("hosts", rates)
-    return verdicts(ruled(docs), rates).where("kept").select("row.*")
+    """The rows of docs that the rules keep. The measured rows are written once, which is cheaper than to measure the
+    texts for the hosts' counts and again for the verdicts."""
+    marked = Scratch(docs.sparkSession).write("measured", ruled(docs))
+    return verdicts(marked, host_rates(marked)).where("kept").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

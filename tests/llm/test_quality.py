@@ -62,3 +62,9 @@ def test_query_against_sql(spark, sf):
     want = sorted(con.execute(quality.SQL).fetchall())
     assert sorted(map(tuple, quality.query(spark, sf).collect())) == want
     assert {r[-1] for r in want} == {True, False}
+
+
+def test_many_hosts_are_judged_like_few(spark, sf, monkeypatch):
+    want = sorted(map(tuple, quality.query(spark, sf).collect()))
+    monkeypatch.setattr(quality, "BROADCAST", 5)
+    assert sorted(map(tuple, quality.query(spark, sf).collect())) == want
