@@ -1,15 +1,15 @@
 """Benchmark decontamination on a distributed positional inverted index.
 
-The index is partitioned by document: each task turns its documents, some megabytes at a time, into a shard of posting
-lists (test term -> sorted positions of its occurrences, numbered through the shard). A test phrase is answered inside
-every shard by intersecting the posting lists of its terms, each shifted by the term's offset in the phrase, from the
-shard's rarest term on; a phrase with a term that the shard lacks is dropped before any list is touched. Proximity
-queries slide a window over the merged lists around the rarest term. As a document's postings all lie in one shard,
-no posting is shuffled, a hot term has a list in each shard instead of one long list, and a lost executor costs its
-tasks only.
+The index is a written table, partitioned by document: a row is a shard, the posting lists of some megabytes of
+documents: all their terms, and for each the sorted places of its occurrences, numbered through the shard. A test phrase
+is answered inside every shard by intersecting the posting lists of its terms, each shifted by the term's offset in the
+phrase, from the shard's rarest term on; a phrase with a term that the shard lacks is dropped before any list is
+touched. Proximity keeps the places of the rarest term that have every other term near, and slides a window around
+those. As a document's postings all lie in one shard, no posting is shuffled, a hot term has a list in each shard
+instead of one long list, and a lost executor costs its tasks only.
 
-The test set is broadcast in blocks of at most BLOCK_BYTES of item text: one block in the usual case; a larger set
-takes one pass over the documents for each block, and the passes are merged.
+The test set is broadcast in blocks of at most BLOCK_BYTES of item text. One block is the usual case; of a larger set,
+each block is read, broadcast, answered from the index into a table of hits, and released before the next.
 
 Defined cases: a null text has no words; items with a null id or text, or without words, match nothing; repeated items
 and rows count as given; an empty test set marks nothing.
@@ -17,15 +17,16 @@ and rows count as given; an empty test set marks nothing.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirebook.llm.common import read
+from quirebook.llm.common import Scratch, pack, read, unpack
 
 WINDOW = 10
 BLOCK_BYTES = 8_000_000
@@ -33,6 +34,10 @@ SHARD_BYTES = 6_000_000
 #: A-Z become a-z; of ASCII only letters and digits stay, and all other characters belong to words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 SPANS = "array<struct<start:int,end:int>>"
+#: Places between two documents of a shard: no phrase or proximity match is longer.
+GAP = 64
+#: Words that a proximity match of a window may take.
+SLOP = 20
 
 
 def words(text: str | None) -> list[bytes]:
@@ -58,22 +63,50 @@ class Phrases:
 
 
 class Shard:
-    """Posting lists of some documents for the terms of a vocabulary."""
+    """Posting lists of some documents: sorted terms, and for each its places."""
 
-    def __init__(self, texts: list[str | None], vocabulary: dict[bytes, int], gap: int):
-        parts, self.sizes, lookup = [], [], vocabulary.get
-        hole = np.full(gap, -1, np.int32)
+    def __init__(self, terms: list[bytes], counts: np.ndarray, positions: np.ndarray, sizes: np.ndarray):
+        self.terms, self.counts, self.positions, self.sizes = terms, counts, positions, sizes
+        self.starts = np.cumsum([0, *(n + GAP for n in sizes)])  # a gap keeps matches inside their document
+        self.first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+
+    @staticmethod
+    def of(texts: list[str | None]) -> Shard:
+        table: dict[bytes, int] = {}
+        parts, places, at = [], [], 0
         for text in texts:
-            tokens = words(text)
-            self.sizes.append(len(tokens))
-            parts += [np.fromiter(map(lookup, tokens, repeat(-1)), np.int32, len(tokens)), hole]
-        self.starts = np.cumsum([0, *(n + gap for n in self.sizes)])  # a gap keeps phrases inside their document
-        ids = np.concatenate(parts) if parts else np.empty(0, np.int32)
-        places = np.flatnonzero(ids >= 0)
-        found = ids[places]
-        self.positions = places[np.argsort(found, kind="stable")]
-        self.counts = np.bincount(found, minlength=len(vocabulary))
-        self.first = np.concatenate([[0], np.cumsum(self.counts)])
+            ids = [table.setdefault(w, len(table)) for w in words(text)]
+            parts.append(np.array(ids, np.int64))
+            places.append(np.arange(at, at + len(ids)))
+            at += len(ids) + GAP
+        ids = np.concatenate(parts)
+        terms = sorted(table)
+        rank = np.empty(len(terms), np.int64)
+        rank[[table[t] for t in terms]] = np.arange(len(terms))
+        ids = rank[ids]
+        order = np.argsort(ids, kind="stable")
+        return Shard(terms, np.bincount(ids, minlength=len(terms)), np.concatenate(places)[order], np.array([len(p) for p in parts]))
+
+    def stored(self) -> tuple[bytes, ...]:
+        steps = np.diff(self.positions, prepend=0)
+        starts = self.first[:-1]
+        steps[starts] = self.positions[starts]  # each list starts anew
+        return pack(self.sizes), zstandard.compress(b" ".join(self.terms), 1), pack(self.counts), pack(steps)
+
+    @staticmethod
+    def read(sizes: bytes, terms: bytes, counts: bytes, steps: bytes) -> Shard:
+        counts, steps = unpack(counts).astype(np.int64), unpack(steps).astype(np.int64)
+        sums = np.cumsum(steps)
+        starts = np.cumsum(counts) - counts
+        return Shard(zstandard.decompress(terms).split(), counts, sums - np.repeat((sums - steps)[starts], counts), unpack(sizes).astype(np.int64))
+
+    def numbers(self, vocabulary: dict[bytes, int]) -> np.ndarray:
+        """The shard's numbers of a vocabulary's terms; -1 for those it lacks, and in the last place."""
+        out = np.full(len(vocabulary) + 1, -1, np.int64)
+        for i, t in enumerate(self.terms):
+            if (k := vocabulary.get(t)) is not None:
+                out[k] = i
+        return out
 
     def postings(self, term: int) -> np.ndarray:
         return self.positions[self.first[term] : self.first[term + 1]]
@@ -90,45 +123,65 @@ class Shard:
                 break
         return at
 
-    def near(self, terms: list[int], slop: int) -> list[tuple[int, int]]:
-        """Shortest spans (first, last position) of at most slop words that hold all of terms."""
-        wanted = sorted(set(terms), key=lambda t: self.counts[t])
-        pivot, near = self.postings(wanted[0]), []
+    def near(self, terms: np.ndarray, slop: int) -> list[tuple[int, int]]:
+        """Shortest spans (first, last place) of at most slop words that hold all of terms."""
+        wanted = sorted(set(terms.tolist()), key=lambda t: self.counts[t])
+        at = self.postings(wanted[0])
+        for t in wanted[1:]:
+            listed = self.postings(t)
+            at = at[np.searchsorted(listed, at + slop) > np.searchsorted(listed, at - slop + 1)]
+            if not len(at):
+                return []
+        places = []
         for t in wanted:
             listed = self.postings(t)
-            i = np.searchsorted(pivot, listed)
-            behind, ahead = listed - pivot[np.maximum(i - 1, 0)], pivot[np.minimum(i, len(pivot) - 1)] - listed
-            near += [(int(p), t) for p in listed[(np.abs(behind) < slop) | (np.abs(ahead) < slop)]]
+            a, b = np.searchsorted(listed, at - slop + 1), np.searchsorted(listed, at + slop)
+            places += [(int(p), t) for p in np.unique(np.concatenate([listed[i:j] for i, j in zip(a, b)]))]
         spans, last = [], {}
-        for p, t in sorted(near):
+        for p, t in sorted(places):
             last[t] = p
             if len(last) == len(wanted) and p - (a := min(last.values())) < slop:
-                if spans and spans[-1][0] == a:
-                    continue
-                spans.append((a, p))
+                if not spans or spans[-1][0] != a:
+                    spans.append((a, p))
         return spans
 
     def document(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, at, side="right") - 1
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str | None]]]:
-    """Keys and texts of consecutive rows with some megabytes of text."""
+def _shards(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Consecutive rows with some megabytes of text, and their texts."""
     for batch in batches:
         first, texts, size = 0, [], 0
-        for row, text in enumerate(batch.column(1), 1):
-            texts.append(text.as_py())
+        for row, value in enumerate(batch.column(text), 1):
+            texts.append(value.as_py())
             size += len(texts[-1] or "")
             if size >= SHARD_BYTES or row == batch.num_rows:
-                yield batch.column(0).slice(first, len(texts)), texts
+                yield batch.slice(first, len(texts)), texts
                 first, texts, size = row, [], 0
 
 
-def _merged(starts: np.ndarray, ends: np.ndarray) -> list[dict]:
+STORED = ["sizes", "terms", "counts", "steps"]
+
+
+def index(docs: DataFrame) -> DataFrame:
+    """Shards (shard, ids, sizes, terms, counts, steps) of docs (doc_id, text, ...), to be written as a table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, (rows, texts) in enumerate(_shards(batches)):
+            ids, sink = rows.select(["doc_id"]), pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, ids.schema) as out:
+                out.write_batch(ids)
+            values = TaskContext.get().partitionId() << 32 | number, sink.getvalue().to_pybytes(), *Shard.of(texts).stored()
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in values], ["shard", "ids", *STORED])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"shard long, ids binary, {', '.join(f'{c} binary' for c in STORED)}")
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[dict]:
     """Disjoint spans, in order, of the union."""
-    order = np.argsort(starts, kind="stable")
     out: list[dict] = []
-    for a, b in zip(starts[order].tolist(), ends[order].tolist()):
+    for a, b in sorted(spans):
         if out and a <= out[-1]["end"]:
             out[-1]["end"] = max(out[-1]["end"], b)
         else:
@@ -136,92 +189,140 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> list[dict]:
     return out
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[str, str]]]:
-    """The test set's items, in blocks of about block_bytes. Each block is read on its own."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // block_bytes) or 1
-    for b in range(n):
-        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).toLocalIterator()]
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
 
 
-def _one_block(docs: DataFrame, items: list[tuple[str, str]], width: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(Phrases(items, width))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_words long, spans {SPANS}, items array<string>"
-    fields = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+def _n_blocks(items: DataFrame, block_bytes: int) -> int:
+    return -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes) or 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases: Phrases = shared.value
-        for keys, texts in _shards(batches):
-            shard = Shard(texts, phrases.vocabulary, width)
-            held = np.append(shard.counts > 0, True)  # -1, beyond a short phrase, counts as held
-            spans: dict[int, list] = {}
-            items: dict[int, set[str]] = {}
-            for row in np.flatnonzero(held[phrases.terms].all(axis=1)):
-                n = phrases.lengths[row]
-                at = shard.phrase(phrases.terms[row, :n])
-                for d, p in zip(shard.document(at).tolist(), at.tolist()):
-                    spans.setdefault(d, []).append((p - shard.starts[d], p - shard.starts[d] + n))
-                    items.setdefault(d, set()).update(phrases.items[row])
-            out = [_merged(*map(np.array, zip(*spans[d]))) if d in spans else [] for d in range(len(keys))]
-            yield pa.RecordBatch.from_arrays(
-                [keys, pa.array(shard.sizes, pa.int64()), pa.array(out, fields), pa.array([sorted(items.get(d, ())) for d in range(len(keys))], pa.list_(pa.string()))],
-                ["doc_id", "n_words", "spans", "items"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
-
-
-def phrase_matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, n_words, spans, items) for each row of docs: the disjoint word spans [start, end) covered by
+
+def _block(items: DataFrame, i: int, n: int) -> list[tuple[str, str]]:
+    return [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).toLocalIterator()]
+
+
+def _found(shard: Shard, phrases: Phrases, slop: int) -> dict[int, tuple[list, set, set]]:
+    """By document of the shard: spans of phrases, their items, and with slop also the items of phrases that are near."""
+    numbers = shard.numbers(phrases.vocabulary)
+    local = numbers[phrases.terms]
+    out: dict[int, tuple[list, set, set]] = {}
+    for row in np.flatnonzero(((local >= 0) | (phrases.terms < 0)).all(axis=1)):
+        n = phrases.lengths[row]
+        terms = local[row, :n]
+        at = shard.phrase(terms)
+        for d, p in zip(shard.document(at).tolist(), at.tolist()):
+            spans, items, _ = out.setdefault(d, ([], set(), set()))
+            spans.append((int(p - shard.starts[d]), int(p - shard.starts[d] + n)))
+            items.update(phrases.items[row])
+        if slop:
+            near = np.array([a for a, _ in shard.near(terms, max(slop, n))], np.int64)
+            for d in shard.document(near).tolist():
+                out.setdefault(d, ([], set(), set()))[2].update(phrases.items[row])
+    return out
+
+
+_FOUND = pa.schema([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string())), ("near", pa.list_(pa.string()))])
+
+
+def _answers(ids: pa.Table, sizes: list[int], hits: dict[int, tuple[list, set, set]]) -> pa.RecordBatch:
+    rows = [hits.get(d, ([], (), ())) for d in range(len(sizes))]
+    columns = [sizes, [_merged(r[0]) for r in rows], [sorted(r[1]) for r in rows], [sorted(r[2]) for r in rows]]
+    return pa.RecordBatch.from_arrays([ids.column("doc_id").combine_chunks(), *(pa.array(c, f.type) for c, f in zip(columns, _FOUND))], ["doc_id", *_FOUND.names])
+
+
+def search(shards: DataFrame, kind: str, benchmark: DataFrame, scratch: Scratch, width: int = WINDOW, block_bytes: int = BLOCK_BYTES, slop: int = 0) -> DataFrame:
+    """phrase_matches from a written index whose doc_id has the type kind."""
+    if not 0 < width <= GAP or not 0 <= slop <= GAP:
+        raise ValueError(f"matches have {GAP} words at most")
+    items = _items(benchmark)
+    n, context = _n_blocks(items, block_bytes), shards.sparkSession.sparkContext
+    schema = f"doc_id {kind}, n_words long, spans {SPANS}, items array<string>, near array<string>"
+
+    def answered(shared, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    shard = Shard.read(*(row[c] for c in STORED))
+                    hits = _found(shard, shared.value, slop)
+                    if whole:
+                        yield _answers(pa.ipc.open_stream(row["ids"]).read_all(), shard.sizes.tolist(), hits)
+                    elif hits:
+                        flat = [(row["shard"], d, [{"start": a, "end": b} for a, b in s], sorted(i), sorted(m)) for d, (s, i, m) in hits.items()]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*flat), [pa.int64(), pa.int64(), *_FOUND.types[1:]])], ["shard", "row", "spans", "items", "near"])
+
+        return run
+
+    if n == 1:
+        return shards.mapInArrow(answered(context.broadcast(Phrases(_block(items, 0, 1), width)), True), schema)
+    parts = f"shard long, row long, spans {SPANS}, items array<string>, near array<string>"
+    tables = []
+    for i in range(n):
+        shared = context.broadcast(Phrases(_block(items, i, n), width))
+        tables.append(scratch.write(f"hits{i}", shards.mapInArrow(answered(shared, False), parts)))
+        shared.destroy()
+    own = shards.select("shard", F.lit(-1).cast("long").alias("row"), F.lit(None).cast(SPANS).alias("spans"), F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("array<string>").alias("near"), "ids", "sizes")
+    both = own
+    for t in tables:
+        both = both.unionByName(t, allowMissingColumns=True)
+
+    def merged(table: pa.Table) -> pa.Table:
+        hits: dict[int, tuple[list, set, set]] = {}
+        for r in table.to_pylist():
+            if r["row"] < 0:
+                ids, sizes = pa.ipc.open_stream(r["ids"]).read_all(), unpack(r["sizes"]).tolist()
+                continue
+            spans, found, near = hits.setdefault(r["row"], ([], set(), set()))
+            spans += [(x["start"], x["end"]) for x in r["spans"]]
+            found.update(r["items"])
+            near.update(r["near"])
+        return pa.Table.from_batches([_answers(ids, sizes, hits)])
+
+    return both.groupBy("shard").applyInArrow(merged, schema)
+
+
+def phrase_matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES, slop: int = 0) -> DataFrame:
+    """(doc_id, n_words, spans, items, near) for each row of docs: the disjoint word spans [start, end) covered by
     occurrences of a window of width consecutive item words (of the whole item, if it has fewer), and the ids of the
-    items with such a window, sorted."""
-    blocks = [b for b in _blocks(benchmark, block_bytes)] if block_bytes else []
-    if len(blocks) == 1:
-        return _one_block(docs, blocks[0], width)
-    marked = docs.select("doc_id", "text")
-    passes = [_one_block(marked.select(F.struct("doc_id", F.xxhash64("text").alias("h"), F.lit(i).alias("pass")).alias("doc_id"), "text"), b, width) for i, b in enumerate(blocks)]
-    every = passes[0]
-    for p in passes[1:]:
-        every = every.unionByName(p)
-    joined = F.aggregate(
-        F.array_sort(F.flatten(F.collect_list("spans"))), F.array().cast(SPANS),
-        lambda out, s: F.when((F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["end"] >= s["start"]),
-            F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.try_element_at(out, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(out, F.lit(-1))["end"], s["end"]).alias("end")))))
-        .otherwise(F.concat(out, F.array(s))),
-    )
-    grouped = every.groupBy(F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.h").alias("h")).agg(
-        F.count_if(F.col("doc_id.pass") == 0).alias("copies"), F.max("n_words").alias("n_words"), joined.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
-    )
-    return grouped.select("doc_id", "n_words", "spans", "items", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("col")
-
-
-def proximity_matches(docs: DataFrame, queries: DataFrame, slop: int = 20) -> DataFrame:
+    items with such a window, sorted; with slop also the ids of items with a window whose words all lie, in any order,
+    within slop words."""
+    scratch = Scratch(docs.sparkSession)
+    return search(scratch.write("index", index(docs)), docs.schema["doc_id"].dataType.simpleString(), benchmark, scratch, width, block_bytes, slop)
+
+
+def proximity_matches(docs: DataFrame, queries: DataFrame, slop: int = SLOP, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, start, end): the shortest word spans [start, end) of at most slop words that hold every word
-    of a query (item_id, text), in any order. The queries are bounded like one block of a test set."""
-    (items,) = list(_blocks(queries, 1 << 62))
-    if sum(len(t) for _, t in items) > BLOCK_BYTES:
-        raise ValueError("too many queries for one pass")
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    of a query (item_id, text), in any order."""
+    if not 0 < slop <= GAP:
+        raise ValueError(f"matches have {GAP} words at most")
+    scratch, context = Scratch(docs.sparkSession), docs.sparkSession.sparkContext
+    shards, items = scratch.write("index", index(docs)), _items(queries)
     kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = [(item, set(words(text))) for item, text in shared.value]
-        vocabulary = {w: i for i, w in enumerate(sorted(set().union(*(q for _, q in asked))))} if asked else {}
-        for keys, texts in _shards(batches):
-            shard, out = Shard(texts, vocabulary, slop), []
-            for item, query in asked:
-                terms = [vocabulary[w] for w in query]
-                if terms and all(shard.counts[t] for t in terms):
-                    for a, b in shard.near(terms, slop):
-                        d = int(shard.document(np.array([a]))[0])
-                        out.append((d, item, int(a - shard.starts[d]), int(b - shard.starts[d]) + 1))
-            rows, *columns = list(zip(*out)) or [[]] * 4
-            columns = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows, pa.int64())), *columns], ["doc_id", "item_id", "start", "end"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, item_id string, start int, end int")
+    n, out = _n_blocks(items, block_bytes), None
+    for b in range(n):
+        shared = context.broadcast(_block(items, b, n))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            asked = [(item, sorted(set(words(text)))) for item, text in shared.value]
+            vocabulary = {w: i for i, w in enumerate(sorted(set().union(*(q for _, q in asked))))}
+            for batch in batches:
+                for row in batch.to_pylist():
+                    shard, found = Shard.read(*(row[c] for c in STORED)), []
+                    numbers = shard.numbers(vocabulary)
+                    for item, query in asked:
+                        terms = numbers[[vocabulary[w] for w in query]] if query else np.array([-1])
+                        if (terms >= 0).all():
+                            for a, z in shard.near(terms, slop):
+                                d = int(shard.document(np.array([a]))[0])
+                                found.append((d, item, int(a - shard.starts[d]), int(z - shard.starts[d]) + 1))
+                    rows, *columns = list(zip(*found)) or [[]] * 4
+                    columns = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32()))]
+                    ids = pa.ipc.open_stream(row["ids"]).read_all().column("doc_id").combine_chunks()
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), *columns], ["doc_id", "item_id", "start", "end"])
+
+        made = scratch.write(f"near{b}", shards.mapInArrow(run, f"doc_id {kind}, item_id string, start int, end int"))
+        shared.destroy()
+        out = made if out is None else out.unionByName(made)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,11 +332,31 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """docs without the rows that hold a window of the test set. Rows without an id are judged like any other."""
-    numbered = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("doc_id"), "text")
-    hit = phrase_matches(numbered, benchmark, width).where("size(spans) > 0").select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.h").alias("_h")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
+def near_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_items, n_near, near_sha256): documents against the proximity of the test set's windows."""
+    found = phrase_matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), slop=SLOP)
+    return found.select("doc_id", F.size("items").cast("long").alias("n_items"), F.size("near").cast("long").alias("n_near"), F.sha2(F.array_join("near", ","), 256).alias("near_sha256"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs without the rows that hold a window of the test set. Rows are judged where they are read, against posting
+    lists made on the way; of a larger test set, what a block leaves is written before the next."""
+    items, scratch, context = _items(benchmark), Scratch(docs.sparkSession), docs.sparkSession.sparkContext
+    n = _n_blocks(items, block_bytes)
+    for b in range(n):
+        shared = context.broadcast(Phrases(_block(items, b, n), width))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for rows, texts in _shards(batches):
+                hits = _found(Shard.of(texts), shared.value, 0)
+                yield rows.filter(pa.array([d not in hits for d in range(len(texts))], pa.bool_()))
+
+        kept = docs.mapInArrow(run, docs.schema)
+        if n > 1:
+            kept = scratch.write(f"kept{b}", kept)
+            shared.destroy()
+        docs = kept
+    return docs
 
 
 #: The query's rows in DuckDB SQL.

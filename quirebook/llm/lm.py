@@ -31,12 +31,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirebook.llm.common import Scratch, crc_mod, read
+from quirebook.llm.common import Scratch, crc_mod, pack, read, unpack
 
 #: The token that ends a text. No word holds a space.
 END = b" "
@@ -55,21 +54,6 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Whole numbers as compressed planes of bytes."""
-    values = np.ascontiguousarray(values, "<u8")
-    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
-    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width].T)
-    return bytes([width]) + zstandard.compress(planes.tobytes(), 1)
-
-
-def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data[1:]), np.uint8).reshape(data[0], -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, : data[0]] = planes.T
-    return out.view("<u8").ravel()
-
-
 class Hashes(dict):
     """Words to hashes; remembers TABLE of them."""
 

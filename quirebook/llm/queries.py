@@ -5,6 +5,7 @@ from quirebook.llm import bpe, chat, decontam, langid, lm, pii, quality, secrets
 QUERIES = {
     "op1_bpe": bpe.query,
     "op2_decontam": decontam.query,
+    "decontam_near": decontam.near_query,
     "op3_secrets": secrets.query,
     "op4_langid": langid.query,
     "op5_lm": lm.query,

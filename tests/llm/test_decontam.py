@@ -51,15 +51,16 @@ def test_phrases_against_brute_force_in_one_block_and_in_many(spark):
     want = sorted(brute(docs, [(i, t) for i, t in items if i is not None and t is not None]), key=str)
     assert rows(decontam.phrase_matches(d, b), spark) == want
     assert rows(decontam.phrase_matches(d, b, block_bytes=120), spark) == want
-    kept = decontam.clean(d, b)
-    assert kept.columns == d.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((w[0] for w in want if not w[5]), key=str)
+    for size in (decontam.BLOCK_BYTES, 120):
+        kept = decontam.clean(d, b, block_bytes=size)
+        assert kept.dtypes == d.dtypes
+        assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((w[0] for w in want if not w[5]), key=str)
 
 
 def test_empty_tables(spark):
     d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
-    assert [tuple(r) for r in decontam.phrase_matches(d, none).collect()] == [(1, 2, [], [])]
+    assert [tuple(r) for r in decontam.phrase_matches(d, none).collect()] == [(1, 2, [], [], [])]
     assert decontam.phrase_matches(d.limit(0), none).count() == 0
 
 
@@ -71,6 +72,39 @@ def test_proximity(spark):
     assert sorted(r[0] for r in decontam.proximity_matches(d, q, slop=6).collect()) == [2]
 
 
+def test_near_windows_against_brute_force(spark):
+    docs, items = cases()
+    items = [(i, t) for i, t in items if i is not None and t is not None]
+    fold = lambda t: [w for w in "".join(c.lower() if "A" <= c <= "Z" else c if c > "\x7f" or c.isalnum() else " " for c in t or "").split(" ") if w]
+    want = []
+    for d, t in docs:
+        w, near = fold(t), set()
+        for item, text in items:
+            x = fold(text)
+            for i in range(max(1, len(x) - 9) if x else 0):
+                window = set(x[i : i + 10])
+                slop = max(12, len(x[i : i + 10]))
+                if any(window <= set(w[k : k + slop]) for k in range(len(w))):
+                    near.add(str(item))
+        want.append((d, sorted(near)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    for size in (decontam.BLOCK_BYTES, 120):
+        got = [(r.doc_id, r.near) for r in decontam.phrase_matches(d, b, block_bytes=size, slop=12).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_an_index_is_read_again(spark, tmp_path):
+    docs, items = cases()
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    decontam.index(d).write.parquet(f"{tmp_path}/index")
+    stored = spark.read.parquet(f"{tmp_path}/index")
+    for some in (items[:5], items[5:]):
+        b = spark.createDataFrame(some, "item_id long, text string")
+        got = decontam.search(stored, "bigint", b, decontam.Scratch(spark))
+        assert rows(got, spark) == sorted(brute(docs, [(i, t) for i, t in some if i is not None and t is not None]), key=str)
+
+
 def test_query_against_sql(spark, sf):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):

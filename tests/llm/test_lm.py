@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirebook.llm import lm
-from quirebook.llm.common import Scratch
+from quirebook.llm.common import Scratch, pack, unpack
 
 
 def tokens(text):
@@ -101,7 +101,7 @@ def test_packing_is_reversible():
     rng = np.random.default_rng(1)
     for values in ([], [0], [1 << 63, 5, (1 << 64) - 1], rng.integers(0, 1 << 40, 1000), rng.integers(0, 3, 1000)):
         values = np.array(values, np.uint64)
-        assert (lm.unpack(lm.pack(values)) == values).all()
+        assert (unpack(pack(values)) == values).all()
 
 
 def test_defined_cases(spark):
