@@ -4,9 +4,10 @@ A rule names a host, which stands for its subdomains too, and the start of a pat
 longest decides. Where none fits, a logistic regression on the hashed character n-grams of host and path decides. It is
 trained from a small labelled URL table, whose size is checked; its coefficients (FEATURES numbers) are part of the plan.
 
-A rule table of up to MOST_RULES rows becomes one expression; a larger one is joined on the URL's host suffixes.
+Rules given as tuples become one expression; a rule table is joined on the URL's host suffixes, however small. Both
+choose alike: of rules of one length the first by rule, then by host, and block before allow.
 
-Defined cases: a null URL and one without :// have an empty host and path, which no rule fits; repeated rows are judged
+Defined cases: a rule without host, path or verdict fits nothing; a null URL and one without :// have an empty host and path, which no rule fits; repeated rows are judged
 alike; an empty table gives no rows.
 """
 
@@ -25,21 +26,32 @@ from quirebook.llm.common import read
 
 #: (host, path, verdict): the rules of the query.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
-MOST_RULES, MOST_LABELLED = 500, 100_000
+MOST_LABELLED, SALTS, VARIANTS = 100_000, 16, 3
 FEATURES, GRAMS = 1 << 13, (3, 4, 5)
 #: What the built-in labelled URLs are made of.
-BLOCKED = "casino poker betting slots viagra pills adult porn escort xxx jackpot replica warez torrent crack loan".split()
-ALLOWED = "news library school museum science recipes weather history garden music travel health docs blog wiki forum".split()
-#: Harmless names without a meaning, two syllables each.
+BLOCKED = "casino poker betting bets slots jackpot roulette viagra pills pharma adult porn escort xxx replica warez torrent crack keygen loan".split()
+ALLOWED = "news library school museum science recipes weather history garden music travel health docs blog wiki forum sports books maps jobs".split()
+#: What stands beside such a word in a host: before or after it, with or without a hyphen.
+BESIDE = "best free win online my top shop world city club net daily".split()
+#: Harmless names without a meaning are made of two syllables.
 SYLLABLES = "ter ion men la re th ing con der pa no st".split()
-SHAPES = ("https://www.{w}.example.com/", "http://{w}-online.example.net/a/{n}", "https://m.site{n}.example.org/{w}/page", "http://blog.example.com/{w}-{n}.html", "https://{w}{n}.example.org/index?x={n}", "http://the{w}.example.net/en/{n}")
+SHAPES = (
+    "https://www.{w}.example.com/", "http://{w}-{b}.example.net/a/{n}", "https://m.{b}{w}.example.org/{w}/page", "http://blog.example.com/{w}-{n}.html", "https://{w}{b}.example.org/index?x={n}",
+    "http://the{w}.example.net/en/{n}", "https://www.{b}-{w}.example.com/fr/{n}#top", "http://{b}.example.org/{b}/{w}", "https://{w}.{b}.example.net/{n}/", "http://m.{w}{n}.example.com/{b}/{n}?page={n}",
+)
 
 
-def labelled_urls() -> list[tuple[str, int]]:
-    """(url, label): 1 for URLs to block."""
-    named = [(w, shape, label) for label, names in ((1, BLOCKED), (0, ALLOWED)) for w in names for shape in SHAPES]
-    plain = [(a + b, SHAPES[(i + j) % len(SHAPES)], 0) for i, a in enumerate(SYLLABLES) for j, b in enumerate(SYLLABLES)]
-    return [(shape.format(w=w, n=37 * i % 9973), label) for i, (w, shape, label) in enumerate(named + plain)]
+def labelled_urls() -> list[tuple[str, int, str, str]]:
+    """(url, label, word, shape): label 1 for URLs to block. Each word stands in every shape, beside VARIANTS words;
+    the syllables' names, too, beside one."""
+    words = [(w, 1, VARIANTS) for w in BLOCKED] + [(w, 0, VARIANTS) for w in ALLOWED] + [(a + b, 0, 1) for a in SYLLABLES for b in SYLLABLES]
+    out = []
+    for i, (w, label, variants) in enumerate(words):
+        for j, shape in enumerate(SHAPES):
+            for k in range(variants):
+                beside = BESIDE[(5 * i + 3 * j + 4 * k) % len(BESIDE)]
+                out.append((shape.format(w=w, b=beside, n=(37 * i + 101 * j + 997 * k) % 9973), label, w, shape))
+    return out
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -70,24 +82,32 @@ def train(labelled: DataFrame) -> PipelineModel:
     return Pipeline(stages=[hashing, fit]).fit(rows.select(F.col("label").cast("double").alias("label"), grams(host, path).alias("grams")))
 
 
+def _order(host: str, path: str, verdict: str) -> tuple:
+    return -len(host + path), host + path, host, verdict == "allow"
+
+
 def _longest(rules: Iterable[tuple[str, str, str]], host: Column, path: Column) -> Column:
     """The longest fitting rule as a struct (rule, verdict), else null. Longer rules are tried first."""
-    ordered = sorted(rules, key=lambda r: (-len(r[0] + r[1]), r))
+    ordered = sorted((r for r in rules if None not in r), key=lambda r: _order(*r))
     fits = [((host == h) | host.endswith("." + h)) & path.startswith(p) for h, p, _ in ordered]
     found = [F.struct(F.lit(h + p).alias("rule"), F.lit(v).alias("verdict")) for h, p, v in ordered]
     return F.coalesce(*(F.when(f, s) for f, s in zip(fits, found)), F.lit(None).cast("struct<rule:string,verdict:string>"))
 
 
 def _joined(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """rows (key, host, path) with `found`: rules (host, path, verdict) joined on every suffix of the host."""
+    """rows (host, path, ...) with `found`: rules (host, path, verdict) joined on every suffix of the distinct hosts
+    and paths, which are joined back with salts, as one URL may have very many rows."""
+    keys = rows.select("host", "path").distinct()
     parts = F.split("host", r"\.")
     suffix = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    sent = rows.select("*", F.explode(suffix).alias("suffix"))
-    rules = rules.select(F.col("host").alias("suffix"), F.col("path").alias("start"), "verdict")
+    sent = keys.select("*", F.explode(suffix).alias("suffix"))
+    rules = rules.select(F.col("host").alias("suffix"), F.col("path").alias("start"), "verdict").dropna()
     hit = sent.join(rules, "suffix").where(F.col("path").startswith(F.col("start")))
     rule = F.concat("suffix", "start")
-    best = hit.groupBy("key").agg(F.max_by(F.struct(rule.alias("rule"), "verdict"), F.struct(F.length(rule), rule)).alias("found"))
-    return rows.join(best, "key", "left")
+    best = hit.groupBy("host", "path").agg(F.min_by(F.struct(rule.alias("rule"), "verdict"), F.struct(-F.length(rule), rule, "suffix", F.col("verdict") == "allow")).alias("found"))
+    best = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return salted.join(best, ["host", "path", "salt"], "left").drop("salt")
 
 
 def judge(pages: DataFrame, rules: DataFrame | Iterable[tuple[str, str, str]], model: PipelineModel) -> DataFrame:
@@ -95,16 +115,9 @@ def judge(pages: DataFrame, rules: DataFrame | Iterable[tuple[str, str, str]], m
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.struct("*").alias("row"), host.alias("host"), path.alias("path"))
     if isinstance(rules, DataFrame):
-        few = [tuple(r) for r in rules.select("host", "path", "verdict").limit(MOST_RULES + 1).collect()]
-    else:
-        few = list(rules)
-    if len(few) <= MOST_RULES:
-        rows = rows.withColumn("found", _longest(few, F.col("host"), F.col("path")))
-    elif isinstance(rules, DataFrame):
-        distinct = rows.select(F.struct("host", "path").alias("key"), "host", "path").distinct()
-        rows = rows.join(_joined(distinct, rules).select("host", "path", "found"), ["host", "path"])
+        rows = _joined(rows, rules)
     else:
-        raise ValueError(f"more than {MOST_RULES} rules go into a DataFrame")
+        rows = rows.withColumn("found", _longest(rules, F.col("host"), F.col("path")))
     scored = model.transform(rows.withColumn("grams", grams(F.col("host"), F.col("path"))))
     verdict = F.coalesce(F.col("found.verdict"), F.when(F.col("prediction") == 1, "block").otherwise("allow"))
     return scored.select("row", "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"))
@@ -112,6 +125,6 @@ def judge(pages: DataFrame, rules: DataFrame | Iterable[tuple[str, str, str]], m
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9_urlfilter: see the README for its columns."""
-    model = train(spark.createDataFrame(labelled_urls(), "url string, label int"))
+    model = train(spark.createDataFrame(labelled_urls(), "url string, label int, word string, shape string"))
     found = judge(read(spark, sf_dir, "pages").select("page_id", "url"), RULES, model)
     return found.select("row.page_id", "host", "path", "rule", "verdict")
