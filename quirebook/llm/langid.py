@@ -6,7 +6,8 @@ text is encoded again by a slower, stronger compressor; if the margin stays belo
 Texts and dictionaries are lower-cased first, as shouting would hide what they share.
 
 The sample is the one bounded thing: SAMPLE_DOCS texts a language (of those drawn by a hash of their id), SLICE
-characters from a hashed place of each, DICTIONARY bytes in all. Every text is encoded whole.
+characters from a hashed place of each, DICTIONARY bytes in all, and less where there are more languages than ALL bytes
+have room for, so that the dictionaries' broadcast is bounded. Every text is encoded whole, with every language.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; without labelled texts every text is `und`;
 with one language only, its score is 1; equal sizes go to the language with more labelled texts; repeated rows are
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quirebook.llm.common import crc_mod, read
 
-SAMPLE_DOCS, SLICE, DICTIONARY, MOST_LANGUAGES = 400, 1500, 64_000, 200
+SAMPLE_DOCS, SLICE, DICTIONARY, ALL = 400, 1500, 64_000, 16_000_000
 #: Relative margins: below the first, the stronger level decides; below the second, the answer is rejected.
 NARROW, REJECT = 0.05, 0.01
 FAST, STRONG = 3, 12
@@ -64,9 +65,7 @@ class Languages:
 def learn(labelled: DataFrame) -> tuple[dict[str, bytes], dict[str, int]]:
     """Dictionaries and counts by language, from (doc_id, text, lang); rows without text or lang don't count."""
     rows = labelled.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
-    priors = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(priors) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    priors = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not priors:
         return {}, {}
     drawn = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
@@ -78,7 +77,7 @@ def learn(labelled: DataFrame) -> tuple[dict[str, bytes], dict[str, int]]:
         parts[r["lang"]][r["part"].lower()] = r["drawn"]
     # the longest pieces first when short ones abound; equal ones in the order drawn
     ordered = {name: sorted(p, key=lambda x: (len(x) < 200, p[x], x)) for name, p in parts.items()}
-    return {name: "\n".join(p).encode("utf-8", "surrogatepass")[:DICTIONARY] for name, p in ordered.items()}, priors
+    return {name: "\n".join(p).encode("utf-8", "surrogatepass")[: min(DICTIONARY, ALL // len(priors))] for name, p in ordered.items()}, priors
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], priors: dict[str, int]) -> DataFrame:

@@ -1,5 +1,6 @@
 import zlib
 
+import zstandard
 from pyspark.sql import functions as F
 
 from quirebook.llm import langid
@@ -34,3 +35,39 @@ def test_defined_cases(spark):
     assert langid.learn(docs.where("lang is null")) == ({}, {})
     assert {r.lang_pred for r in langid.identify(docs, {}, {}).collect()} == {"und"}
     assert langid.identify(docs.limit(0), {}, {}).count() == 0
+
+
+def brute(text, dictionaries, priors):
+    """Sizes with each dictionary, at one level and, where the margin is narrow, at the other."""
+    names = sorted(dictionaries, key=lambda n: (-priors[n], n))
+    if not names or not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    for level, narrow in ((3, 0.05), (12, 0)):
+        sizes = {}
+        for n in names:
+            shared = zstandard.ZstdCompressionDict(dictionaries[n], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            sizes[n] = len(zstandard.ZstdCompressor(level=level, dict_data=shared, write_content_size=False, write_dict_id=False).compress(text.lower().encode()))
+        first, second = sorted(names, key=sizes.get)[:2]
+        margin = 1 - sizes[first] / sizes[second]
+        if margin >= narrow:
+            return first, min(1.0, 10 * margin)
+
+
+def test_query_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    dictionaries, priors = langid.learn(docs.where(langid.crc_mod("doc_id", 5) != 0))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    agree = [r.lang_pred == brute(texts[r.doc_id], dictionaries, priors)[0] for r in langid.query(spark, sf).collect()]
+    # a prepared dictionary may lead the compressor to other sizes by some bytes, where margins are narrow
+    assert len(agree) == len(texts) and sum(agree) >= 0.98 * len(agree)
+
+
+def test_hundreds_of_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "ALL", 300 * 200)
+    word = lambda i: "".join(chr(97 + (i * 7 + j * j * 5) % 26) for j in range(6))
+    rows = [(i, " ".join(word(i % 300 * 10 + j) for j in range(10)) + " " + word(i), f"l{i % 300}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    dictionaries, priors = langid.learn(docs)
+    assert len(dictionaries) == 300 and max(map(len, dictionaries.values())) <= 200
+    got = langid.identify(docs.limit(40), dictionaries, priors).collect()
+    assert len(got) == 40 and all(r.lang_pred in priors for r in got)
