@@ -1,11 +1,17 @@
 """Secret scan by assignment-aware lexing.
 
-Three base patterns always count. Beyond them, the text is read as source and configuration syntax: assignments
-(name = literal, name: literal, "name": literal, name := literal, name => literal), options (--name=literal), XML
-elements (<name>literal</name>) and URLs with a password. Literals joined with + are read as one. Names that hold a
-literal are constants; an assignment from a constant (X, $X, ${X}) passes its literal on, through any number of steps.
-A literal is scored by the words of the most sensitive name that it reaches, times its own strength (length, spread of
-characters, not a placeholder); from THRESHOLD on it is reported, unless a base span holds it.
+Three base patterns always count. Beyond them, the text is read as source and configuration syntax, giving pairs of a
+name and a literal: assignments with or without a type (name = literal, name: str = literal, name: literal, "name":
+literal, name := literal, name => literal), options (--name=literal), calls with a name and a default (getenv("NAME",
+literal)), XML elements (<name>literal</name>), indented blocks after name: | or name: >, and strings over several lines
+(triple quotes, backticks). Passwords in URLs and private keys between their BEGIN and END lines are literals of a
+sensitive name by themselves. Literals joined with + are read as one.
+
+Names that hold a literal are constants; an assignment from a constant (X, $X, ${X}, or ${X} inside a string) passes its
+literal on, through any number of steps. A name that is assigned in an indented line below a function's head belongs to
+that function, and is looked up there before it is looked up in the rest of the text. A literal is scored by the words
+of the most sensitive name that it reaches, times its own strength (length, spread of characters, not a placeholder);
+from THRESHOLD on it is reported, unless a base span holds it.
 
 Spans are in code points, end exclusive. Defined cases: a null text is an empty one; repeated rows are scanned alike;
 an empty table gives no rows.
@@ -16,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,15 +42,23 @@ PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|changeme|change_me|your[-_ ].*|
 THRESHOLD = 0.45
 
 #: Lengths are unbounded; possessive repeats keep the scan linear.
-_STRING = r""""(?:[^"\\\n]|\\.)++"|'(?:[^'\\\n]|\\.)++'|`(?:[^`\\\n]|\\.)++`"""
+_TRIPLE = r"""\"{3}(?:[^"\\]|\\.|"(?!""))*+\"{3}|'{3}(?:[^'\\]|\\.|'(?!''))*+'{3}"""
+_STRING = rf"""{_TRIPLE}|"(?:[^"\\\n]|\\.)++"|'(?:[^'\\\n]|\\.)++'|`(?:[^`\\]|\\.)++`"""
 _NAME = r"[A-Za-z_$][A-Za-z0-9_.$-]*+"
+#: A type between a name and its =, as in name: str = or name: Optional[str] =.
+_TYPE = r"(?:[ \t]*+:[ \t]*+[A-Za-z_][A-Za-z0-9_.\[\]|, \t]*+(?==))?"
 #: A bare value: a reference or an unquoted literal.
 _BARE = r"""[^\s"'`;,(){}\[\]<>#]++"""
-_PAIR = re.compile(rf"""(?<![A-Za-z0-9_.$-])(?:--)?["']?({_NAME})["']?[ \t]*(?::=|=>|==?|:(?!//))[ \t]*((?:{_STRING}|\$\{{{_NAME}\}}|{_BARE})(?:[ \t]*\+[ \t]*(?:{_STRING}|{_NAME}))*)""")
+_PAIR = re.compile(rf"""(?s)(?<![A-Za-z0-9_.$-])(?:--)?["']?({_NAME})["']?{_TYPE}[ \t]*(?::=|=>|==?|:(?!//))[ \t]*((?:{_STRING}|\$\{{{_NAME}\}}|{_BARE})(?:[ \t]*\+[ \t]*(?:{_STRING}|{_NAME}))*)""")
+_CALL = re.compile(rf"""(?s)\(\s*+["']({_NAME})["']\s*+,\s*+({_STRING})""")
+_BLOCK = re.compile(rf"""(?m)^([ \t]*+)["']?({_NAME})["']?[ \t]*+:[ \t]*+[|>][+-]?[ \t]*+\n((?:\1[ \t]++[^\n]*+(?:\n|\Z))++)""")
 _XML = re.compile(rf"<({_NAME})>([^<>\n]++)</\1>")
 _URL = re.compile(r"(?<=[A-Za-z0-9+.-])://[^\s:/@]*+:([^\s:/@]++)@")
-_PART = re.compile(rf"{_STRING}|\$\{{{_NAME}\}}|[^\s+]+")
+_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]++ ){0,3}?PRIVATE KEY-----((?:[^-]|-(?!----))*+)-----END (?:[A-Z0-9]++ ){0,3}?PRIVATE KEY-----")
+_FUNCTION = re.compile(r"(?m)^[ \t]*+(?:[a-z]++[ \t]++)*?(?:def|function|func|fn)\b")
+_PART = re.compile(rf"(?s){_STRING}|\$\{{{_NAME}\}}|[^\s+]+")
 _REFERENCE = re.compile(rf"\$?\{{?({_NAME})\}}?$")
+_INSIDE = re.compile(rf"\$\{{({_NAME})\}}")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -73,37 +88,73 @@ def strength(literal: str) -> float:
     return min(1.0, bits / 32)
 
 
+def _scopes(text: str):
+    """The function of a place in text: 0 outside of any, else a number."""
+    heads = [m.start() for m in _FUNCTION.finditer(text)]
+
+    def of(at: int) -> int:
+        line = text.rfind("\n", 0, at) + 1
+        return bisect_right(heads, at) if text[line : line + 1] in (" ", "\t") else 0
+
+    return of if heads else lambda at: 0
+
+
+def _pairs(text: str) -> list[tuple[str, int, str]]:
+    """(name, place of the value, value) of all syntax that pairs them; values as written, or as a string in quotes
+    of its own where the syntax has none."""
+    found = []
+    if "=" in text or ":" in text:
+        found += [(m[1], m.start(2), m[2]) for m in _PAIR.finditer(text)]
+        found += [(m[2], m.start(3), f'"{m[3]}"') for m in _BLOCK.finditer(text)] if "|" in text or ">" in text else []
+    found += [(m[1], m.start(2), m[2]) for m in _CALL.finditer(text)] if "(" in text else []
+    found += [(m[1], m.start(2), f'"{m[2]}"') for m in _XML.finditer(text)] if "</" in text else []
+    return found
+
+
 def literal_spans(text: str) -> list[tuple[int, int]]:
     """Literals that are scored at THRESHOLD or more, by the most sensitive name that they reach."""
-    held: dict[str, list[tuple[int, int, str]]] = {}  # literals of a name
-    refers: dict[str, set[str]] = {}  # names that a name's value is made of
+    held: dict[tuple[int, str], list[tuple[int, int, str]]] = {}  # literals of a name in its scope
+    refers: dict[tuple[int, str], set[tuple[int, str]]] = {}  # names that a name's value is made of
     found = [(0.9, m.span(1), m[1]) for m in _URL.finditer(text)] if "://" in text else []
-    pairs = [(m[1], m.start(2), m[2]) for m in _PAIR.finditer(text)] if "=" in text or ":" in text else []
-    pairs += [(m[1], m.start(2), f'"{m[2]}"') for m in _XML.finditer(text)] if "</" in text else []
-    names = {name for name, _, _ in pairs}
-    for name, at, value in pairs:
-        shift = 1 if text[at : at + 1] != value[:1] else 0  # an XML text stands without the quotes it got here
+    found += [(1.0, m.span(1), m[1]) for m in _PEM.finditer(text)] if "-----BEGIN" in text else []
+    pairs = _pairs(text)
+    scope = _scopes(text) if pairs else None
+    pairs = [((scope(at), name), at, value) for name, at, value in pairs]
+    names = {key for key, _, _ in pairs}
+
+    def refer(key: tuple[int, str], name: str) -> bool:
+        target = (key[0], name) if (key[0], name) in names else (0, name)
+        if name == key[1] or target not in names:
+            return False
+        refers.setdefault(key, set()).add(target)
+        return True
+
+    for key, at, value in pairs:
+        shift = 1 if text[at : at + 1] != value[:1] or value[-1:] != text[at + len(value) - 1 : at + len(value)] else 0  # quotes of our own
+        parts = [(0, len(value), 1)] if shift else [(m.start(), m.end(), next((n for n in (3, 1) if m[0][:n] in ('"' * n, "'" * n, "`") and len(m[0]) >= 2 * n), 0)) for m in _PART.finditer(value)]
         joined, start, end = [], None, None
-        for part in _PART.finditer(value):
-            quoted = part[0][0] in "\"'`"
-            reference = None if quoted else _REFERENCE.match(part[0])
-            if reference and reference[1] in names and reference[1] != name:
-                refers.setdefault(name, set()).add(reference[1])
-            elif quoted or not reference or part[0][0] != "$" and any(map(str.isdigit, part[0])):  # no bare words
-                inner = (part.start() + quoted, part.end() - quoted)
-                joined.append(value[inner[0] : inner[1]])
-                start, end = inner[0] if start is None else start, inner[1]
+        for a, b, quotes in parts:
+            part = value[a:b]
+            reference = None if quotes else _REFERENCE.match(part)
+            if quotes:
+                for inside in _INSIDE.findall(part):
+                    refer(key, inside)
+            if reference and refer(key, reference[1]):
+                continue
+            if quotes or not reference or part[0] != "$" and any(map(str.isdigit, part)):  # no bare words
+                joined.append(value[a + quotes : b - quotes])
+                start, end = a + quotes if start is None else start, b - quotes
         if joined:
-            held.setdefault(name, []).append((at + start - shift, at + end - shift, "".join(joined)))
-    reach = {name: sensitivity(name) for name in held.keys() | refers.keys()}
+            held.setdefault(key, []).append((at + start - shift, at + end - shift, "".join(joined)))
+    reach = {key: sensitivity(key[1]) for key in held.keys() | refers.keys()}
     todo = sorted(refers)
     while todo:  # a sensitive name makes the constants that it is made of sensitive
-        name = todo.pop()
-        for constant in refers.get(name, ()):
-            if constant in reach and reach[constant] < reach[name]:
-                reach[constant] = reach[name]
+        key = todo.pop()
+        for constant in refers.get(key, ()):
+            if constant in reach and reach[constant] < reach[key]:
+                reach[constant] = reach[key]
                 todo.append(constant)
-    found += [(reach[name], (a, b), literal) for name, literals in held.items() if reach[name] for a, b, literal in literals]
+    found += [(reach[key], (a, b), literal) for key, literals in held.items() if reach[key] for a, b, literal in literals]
     return sorted({span for weight, span, literal in found if weight * strength(literal) >= THRESHOLD})
 
 

@@ -1,3 +1,4 @@
+import time
 import hashlib
 import random
 import re
@@ -90,3 +91,35 @@ def test_query_against_brute_force(spark):
         told = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in brute(texts[r.doc_id]))
         assert r.base_sha256 == hashlib.sha256(told.encode()).hexdigest()
         assert set(filter(None, told.split(","))) <= set(r.spans.split(","))
+
+
+RANDOM = "Zk8vQ2xLr0TnB7yWq3Hs"
+
+
+def literals(text):
+    return [text[a:b] for a, b in secrets.literal_spans(text)]
+
+
+def test_syntax():
+    for text in (
+        f'credential: str = "{RANDOM}"', f'credential: Optional[str] = "{RANDOM}"', f'x = os.getenv("DB_CREDENTIAL", "{RANDOM}")', f'credential = """{RANDOM}"""', "credential = " + "'" * 3 + RANDOM + "'" * 3,
+        f"credential: |\n  {RANDOM}\nother: 1\n", f"a:\n  credential: >-\n    {RANDOM}\n", f"credential = `{RANDOM}`", f'K = "{RANDOM}"\ncredential = `x${{K}}`', f'<credential>{RANDOM}</credential>', f'passphrase = "{RANDOM} and {RANDOM}"',
+    ):
+        assert any(RANDOM in x for x in literals(text)), text
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{RANDOM}{RANDOM}\n{RANDOM}\n-----END RSA PRIVATE KEY-----"
+    assert literals("x " + pem + " y") == [f"\n{RANDOM}{RANDOM}\n{RANDOM}\n"]
+    several = f'credential = """{RANDOM}\n{RANDOM}"""\nname = "{RANDOM}"'
+    assert literals(several) == [f"{RANDOM}\n{RANDOM}"]
+
+
+def test_constants_belong_to_their_function():
+    code = f'def a():\n    K = "{RANDOM}"\n    return K\n\ndef b():\n    K = "{RANDOM[::-1]}"\n    credential = K\n'
+    assert literals(code) == [RANDOM[::-1]]
+    assert literals(f'K = "{RANDOM}"\ndef b():\n    credential = K\n') == [RANDOM]
+
+
+def test_long_and_broken_syntax_takes_time_in_proportion():
+    for text in ("a: " * 100_000, '"""' * 50_001, ("'" * 3 + "x") * 50_001, "-----BEGIN PRIVATE KEY-----" * 20_000, "credential: |\n" * 30_000, "def " * 60_000, 'f("a", ' * 40_000, "a: b " * 60_000 + "=", f'credential = "{"xY3" * 100_000}"', "`" * 100_001, "${" * 60_000, "k = a + " * 30_000):
+        began = time.monotonic()
+        secrets.scan(text)
+        assert time.monotonic() - began < 10, text[:20]
