@@ -131,13 +131,17 @@ def intent(answer: Column) -> Column:
     return F.when(F.contains(said, F.lit("rag")), "rag").when(F.contains(said, F.lit("direct")), "direct").otherwise("rag")
 
 
-def error_type(message: Column) -> Column:
-    """Ordered rules on an error's message."""
-    said = F.lower(message)
+def error_type(message: Column, status: Column | None = None, code: Column | None = None) -> Column:
+    """Ordered rules on an error's message, HTTP status and code. The parts of messages are fixed values."""
+    said = F.lower(F.coalesce(message, F.lit("")))
     has = lambda *parts: said.rlike("|".join(map(re.escape, parts)))
+    is_ = lambda n: F.coalesce(status == n, F.lit(False)) if status is not None else F.lit(False)
+    not_ready = F.coalesce(code == "INDEX_NOT_READY", F.lit(False)) if code is not None else F.lit(False)
     return (
-        F.when(has("api key", "apikey", "unauthorized", "401", "403"), "config").when(has("network", "fetch", "timeout", "econn", "enotfound"), "network")
-        .when(has("model", "onnx", "dimension"), "model").when(has("undefined", "null", "typeerror"), "runtime").otherwise("unknown")
+        F.when(not_ready | has("尚未加载", "未就绪"), "model").when(is_(401) | has("apikey", "api key", "unauthorized", "401"), "config")
+        .when(is_(404) | has("404") | (has("model") & has("not found")), "config").when(has("network", "fetch", "econnrefused", "enotfound", "timeout"), "network")
+        .when(has("embedding", "tokenizer", "onnx", "wasm", "模型"), "model").when(is_(400) | has("invalid", "bad request", "400"), "runtime")
+        .when(is_(429) | has("rate limit", "429"), "network").otherwise("unknown")
     )
 
 
@@ -152,10 +156,11 @@ def escape_html(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
-def tool_label(name: Column, argument: Column) -> Column:
-    """A tool's display name, dots as slashes, with an argument of 30 characters at most."""
+def tool_label(name: Column, argument: Column, is_path: Column) -> Column:
+    """A tool's name and its argument: a path as it is, the root as a slash; other text with 30 characters at most."""
+    path = F.when(argument.isin(".", "./"), "/").otherwise(argument)
     short = F.when(F.length(argument) > 30, F.concat(F.substr(argument, F.lit(1), F.lit(30)), F.lit("…"))).otherwise(argument)
-    return F.when(argument.isNull() | (argument == ""), F.replace(name, F.lit("."), F.lit("/"))).otherwise(F.concat(F.replace(name, F.lit("."), F.lit("/")), F.lit(": "), short))
+    return F.when(argument.isNull() | (argument == ""), name).otherwise(F.concat(name, F.lit(" "), F.when(is_path, path).otherwise(short)))
 
 
 def attachment_error(mime: Column, size: Column, ordinal: Column) -> Column:

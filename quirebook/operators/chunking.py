@@ -31,19 +31,19 @@ def overlap_tail(text: str, n: int) -> str:
 def split_long(text: str, size: int, overlap: int) -> Iterator[str]:
     """Pieces that end at a paragraph, else a sentence, else anywhere; never in the first three tenths of `size`. The
     character at the cut belongs to the piece."""
-    while text:
-        if len(text) <= size:
-            yield text
+    at = 0
+    while at < len(text):
+        if len(text) - at <= size:
+            yield text[at:]
             return
-        cut = -1
         for mark in ("\n\n", "。", ". "):
-            cut = text.rfind(mark, 0, size + len(mark))
+            cut = text.rfind(mark, at, at + size + len(mark)) - at
             if cut >= 0.3 * size:
                 break
         else:
             cut = size
-        yield text[: cut + 1]
-        text = text[max(cut + 1 - overlap, 1) :]
+        yield text[at : at + cut + 1]
+        at += max(cut + 1 - overlap, 1)
 
 
 def sections(text: str) -> list[str]:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from quirebook.functions import text as T
 
 K1, B = 1.2, 0.75
+#: Query words that are broadcast, and the parts of a bucket of the index, over which a hot word's postings spread.
+BROADCAST, SPLIT = 500_000, 8
 
 
 def term_statistics(docs: DataFrame) -> DataFrame:
@@ -42,6 +44,8 @@ def scored(terms: DataFrame, found: DataFrame, total: DataFrame, k: int) -> Data
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
+    if terms.limit(BROADCAST + 1).count() <= BROADCAST:  # a word in every document is one key: no shuffle by words
+        terms, df = F.broadcast(terms), F.broadcast(df)
     weights = found.join(df, "term").join(F.broadcast(total)).select("term", "key", (idf * F.col("tf") * (K1 + 1) / norm).alias("w"))
     return top(terms.join(weights, "term").groupBy("q", "key").agg(F.round(F.sum("w"), 6).alias("score")), k)
 
@@ -64,7 +68,7 @@ class Index:
 
     def build(self, docs: DataFrame) -> Index:
         made = postings(docs).withColumn("bucket", self._bucket())
-        made.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
+        made.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(SPLIT))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
         corpus(docs).write.mode("overwrite").parquet(f"{self.path}/corpus")
         return self
 

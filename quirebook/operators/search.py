@@ -26,19 +26,25 @@ def variants(queries: DataFrame, answers: DataFrame) -> DataFrame:
     return met.select("q", F.posexplode(texts).alias("variant", "text"))
 
 
-def multi_query(asked: DataFrame, docs: DataFrame, k: int = 5, overfetch: int = 2) -> DataFrame:
-    """(q, key, rrf_score, places, rank): keyword search for each variant (q, variant, text), twice as deep as asked,
-    fused over variants. All variants of all queries run in one plan; a variant without a hit adds nothing."""
+def multi_query(asked: DataFrame, docs: DataFrame, k: int = 5, overfetch: int = 2, vector_queries: DataFrame | None = None, items: DataFrame | None = None) -> DataFrame:
+    """(q, key, rrf_score, first, places, rank): hybrid search for each variant (q, variant, text) with its vector in
+    vector_queries (q, variant, vector), twice as deep as asked, fused over variants; first is the list and place where
+    a key was seen first, places its lists with their scores. Without vectors, keyword search. All variants of all
+    queries run in one plan; a variant without words or vector (whose embedding failed, say) adds nothing."""
     each = asked.select(F.struct("q", "variant").alias("q"), "text")
-    found = lexical.bm25(each, docs, k * overfetch)
-    lists = found.select(F.col("q.q").alias("q"), F.col("q.variant").alias("list"), (F.col("rank") - 1).alias("pos"), "key", "score")
+    if vector_queries is None:
+        found = lexical.bm25(each, docs, k * overfetch).withColumnRenamed("rank", "index")
+    else:
+        found = hybrid(each, vector_queries.select(F.struct("q", "variant").alias("q"), "vector"), docs, items, k * overfetch, 2 * k * overfetch)
+    lists = found.select(F.col("q.q").alias("q"), F.col("q.variant").alias("list"), (F.col("index") - 1).alias("pos"), "key", "score")
     return fusion.rrf(lists, top=k)
 
 
-def search(queries: DataFrame, docs: DataFrame, k: int = 5, reranker: Callable | None = fusion.lexical_score) -> DataFrame:
+def search(queries: DataFrame, docs: DataFrame, k: int = 5, reranker: Callable | None = fusion.lexical_score, vector_queries: DataFrame | None = None, items: DataFrame | None = None) -> DataFrame:
     """(q, key, score, reranked, index) for queries (q, variant, text); the original variant's text is reranked
-    against the documents' whole texts. Results are keys and scores, never texts."""
-    fused = multi_query(queries, docs, k).select("q", "key", "rrf_score")
+    against the documents' whole texts. Where the reranker gives null, the fused score stays. Results are keys and
+    scores, never texts."""
+    fused = multi_query(queries, docs, k, 2, vector_queries, items).select("q", "key", "rrf_score")
     if reranker is None:
         return fusion.rerank(fused, fused.select("q", "key", F.col("rrf_score").alias("score")).limit(0), k)
     original = queries.where("variant = 0").select("q", "text")

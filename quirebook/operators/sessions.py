@@ -136,3 +136,8 @@ def summary(tool: Column, path: Column) -> Column:
     """One line on a tool call."""
     verb = F.when(tool == "write_note", "write").when(tool == "append_note", "append to").when(tool == "edit_note", "edit").when(tool == "delete_note", "delete").otherwise(tool)
     return F.concat_ws(" ", verb, path)
+
+
+def attachment_sums(attached: DataFrame) -> DataFrame:
+    """(session_id, size, n) of attachments (session_id, size): their size in all, and how many aren't empty."""
+    return attached.groupBy("session_id").agg(F.sum("size").alias("size"), F.count_if(F.col("size") > 0).alias("n"))

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -17,6 +18,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from quirebook.operators.lexical import top
 
 BLOCK = 8_000_000
+#: Scores that a task holds at once.
+TILE = 4_000_000
 DIGITS = 9
 
 
@@ -59,8 +62,9 @@ def mean_pool(states: Column, mask: Column) -> Column:
 
 
 def _blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
+    """Queries with a vector, in blocks; fails if their lengths differ."""
     ids, rows, held = [], [], 0
-    for r in queries.select("q", _d("vector").alias("vector")).toLocalIterator():
+    for r in queries.select("q", _d("vector").alias("vector")).where("vector is not null").toLocalIterator():
         ids.append(r["q"])
         rows.append(r["vector"])
         held += len(r["vector"])
@@ -73,7 +77,8 @@ def _blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
 
 def knn(queries: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     """(q, key, score, rank): the k items (key, vector) of the highest cosine for each query (q, vector), ranked from
-    1; scores are rounded to nine digits, equal ones go by key."""
+    1; scores are rounded to nine digits, equal ones go by key. Null vectors neither ask nor are found; vectors of
+    different lengths fail."""
     types = {"q": queries.schema["q"].dataType.simpleString(), "key": items.schema["key"].dataType.simpleString()}
     schema = f"q {types['q']}, key {types['key']}, score double"
     q_type, found = to_arrow_type(queries.schema["q"].dataType), None
@@ -84,21 +89,25 @@ def knn(queries: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
             q_ids, q = shared.value
             q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
             for batch in batches:
+                batch = batch.filter(batch.column(1).is_valid())
                 if not batch.num_rows:
                     continue
                 vectors = batch.column(1)
+                if pc.any(pc.not_equal(pc.list_value_length(vectors), q.shape[1])).as_py():
+                    raise ValueError("vectors differ in length")
                 x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
                 x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                scores = np.round(q @ x.T, DIGITS)
                 keys = np.argsort(np.argsort(np.array(batch.column(0).to_pylist()), kind="stable"), kind="stable")
                 n = min(k, batch.num_rows)
-                best = np.empty((len(q_ids), n), np.int64)
-                for i, row in enumerate(scores):  # the n best and their equals, of which the keys' order decides
-                    near = np.flatnonzero(row >= np.partition(row, len(row) - n)[len(row) - n])
-                    best[i] = near[np.lexsort((keys[near], -row[near]))[:n]]
-                at = pa.array(best.ravel())
-                qs = pa.array([q_ids[i] for i in range(len(q_ids)) for _ in range(best.shape[1])], q_type)
-                yield pa.RecordBatch.from_arrays([qs, batch.column(0).take(at), pa.array(np.take_along_axis(scores, best, 1).ravel())], ["q", "key", "score"])
+                tile = max(1, TILE // batch.num_rows)
+                for first in range(0, len(q), tile):
+                    scores = np.round(q[first : first + tile] @ x.T, DIGITS)
+                    best = np.empty((len(scores), n), np.int64)
+                    for i, row in enumerate(scores):  # the n best and their equals, of which the keys' order decides
+                        near = np.flatnonzero(row >= np.partition(row, len(row) - n)[len(row) - n])
+                        best[i] = near[np.lexsort((keys[near], -row[near]))[:n]]
+                    qs = pa.array([q_ids[first + i] for i in range(len(scores)) for _ in range(n)], q_type)
+                    yield pa.RecordBatch.from_arrays([qs, batch.column(0).take(pa.array(best.ravel())), pa.array(np.take_along_axis(scores, best, 1).ravel())], ["q", "key", "score"])
 
         part = items.select("key", "vector").mapInArrow(run, schema)
         found = part if found is None else found.unionByName(part)
@@ -111,3 +120,9 @@ def best_chunk(hits: DataFrame) -> DataFrame:
     """Of the hits (q, document, key, score) of each query and document the best; of equal ones the least key."""
     best = F.min_by(F.struct("key", "score"), F.struct(-F.col("score"), F.col("key"))).alias("best")
     return hits.where("document is not null").groupBy("q", "document").agg(best).select("q", "document", "best.key", "best.score")
+
+
+def in_asked_order(answers: DataFrame) -> DataFrame:
+    """(batch, pos, value): the parts (index, value) of each batch's answer in the order of their index, which a
+    service need not keep."""
+    return answers.select("batch", F.posexplode(F.transform(F.array_sort("parts"), lambda p: p["value"])).alias("pos", "value"))

@@ -70,10 +70,9 @@ def bm25_term_stats(spark: SparkSession, d: str) -> DataFrame:
     return lexical.term_statistics(docs(spark, d))
 
 
-@query(f"{S.sql('items')}, one AS (SELECT id AS q, vector FROM items WHERE id = 0),{knn_sql('one', 10)}\nSELECT q, key, score, rank FROM near")
+@query(f"{S.sql('items', 'vector_queries')},{knn_sql('vector_queries', 1)}\nSELECT q, key, score, rank FROM near")
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
-    one = S.items(spark, d).where("id = 0").select(F.col("id").alias("q"), "vector")
-    return vectors.knn(one, item_keys(spark, d), 10)
+    return vectors.knn(S.vector_queries(spark, d), item_keys(spark, d), 1)
 
 
 @query(f"{S.sql('items', 'vector_queries')},{knn_sql('vector_queries', 10)}\nSELECT q, key, score, rank FROM near")
@@ -126,46 +125,72 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def variants(spark: SparkSession, d: str) -> DataFrame:
-    """(q, variant, text): three words of each benchmark item, and two rewrites that move on by a word each."""
+    """(q, variant, text): the queries, and two rewrites that begin a word later each."""
     answer = F.concat_ws("\n", F.concat(F.lit("1. "), F.col("b")), F.concat(F.lit("2. "), F.col("c")))
     b, c = S.text_queries(spark, d, 2).withColumnRenamed("text", "b"), S.text_queries(spark, d, 3).withColumnRenamed("text", "c")
     answers = b.join(c, "q").select("q", answer.alias("answer"))
     return search.variants(S.text_queries(spark, d), answers)
 
 
-MULTI = rf"""WITH moved AS (SELECT item_id, v, array_to_string(regexp_split_to_array(text, '\s+')[v + 1 : v + 3], ' ') AS text FROM benchmark, unnest(range(3)) AS s(v)),
-asked AS (SELECT (item_id, v) AS q, text FROM moved),{bm25_sql('asked', 10)},
-lists AS (SELECT struct_extract(q, 1) AS q, struct_extract(q, 2) AS list, rank - 1 AS pos, key, score FROM ranked),
-fused AS (SELECT q, key, round(sum(1.0::DOUBLE / (60 + pos)), 12) AS rrf_score, min((list, pos)) AS first, max_by(score, list) FILTER (WHERE list = 0) AS s0, max(score) FILTER (WHERE list = 1) AS s1, max(score) FILTER (WHERE list = 2) AS s2 FROM lists GROUP BY q, key),
+def variant_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """(q, variant, vector): each variant's vector is that of an item; the last variant has none."""
+    asked = variants(spark, d).where("variant < 2").select("q", "variant", (F.col("q") + F.col("variant")).alias("key"))
+    return asked.join(item_keys(spark, d), "key").select("q", "variant", "vector")
+
+
+MULTI = rf"""{S.sql('items')}, moved AS (SELECT item_id, v, array_to_string(regexp_split_to_array(text, '\s+')[v + 1 :], ' ') AS text FROM benchmark, unnest(range(3)) AS s(v) WHERE item_id % 100 = 0),
+asked AS (SELECT (item_id, v) AS q, text FROM moved), asked_vectors AS (SELECT (item_id, v) AS q, vector FROM moved JOIN items ON id = item_id + v WHERE v < 2),{bm25_sql('asked', 20)},{knn_sql('asked_vectors', 20)},
+mixed AS (SELECT q, 0 AS list, rank - 1 AS pos, key FROM ranked UNION ALL SELECT q, 1, rank - 1, key FROM near),
+variant_scores AS (SELECT q, key, round(sum(1.0::DOUBLE / (60 + pos)), 12) AS score, min((list, pos)) AS first FROM mixed GROUP BY q, key),
+variant_ranks AS (SELECT q, key, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, first) AS rank FROM variant_scores QUALIFY rank <= 10),
+lists AS (SELECT struct_extract(q, 1) AS q, struct_extract(q, 2) AS list, rank - 1 AS pos, key, score FROM variant_ranks),
+fused AS (SELECT q, key, round(sum(1.0::DOUBLE / (60 + pos)), 12) AS rrf_score, min((list, pos)) AS first, max(score) FILTER (WHERE list = 0) AS s0, max(score) FILTER (WHERE list = 1) AS s1, max(score) FILTER (WHERE list = 2) AS s2 FROM lists GROUP BY q, key),
 top AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY rrf_score DESC, first) AS rank FROM fused QUALIFY rank <= 5)
 """
 
 
+def multi(spark: SparkSession, d: str) -> DataFrame:
+    return search.multi_query(variants(spark, d), docs(spark, d), 5, 2, variant_vectors(spark, d), item_keys(spark, d))
+
+
+def reranked(spark: SparkSession, d: str) -> DataFrame:
+    """Search with a reranker that gives nothing for texts whose length is a multiple of three."""
+    some = lambda asked, content: F.when(F.length(content) % 3 != 0, fusion.lexical_score(asked, content))
+    return search.search(variants(spark, d), docs(spark, d), 5, some, variant_vectors(spark, d), item_keys(spark, d))
+
+
 @query(f"{MULTI} SELECT q, key, rrf_score, rank FROM top")
 def rrf_multi_query(spark: SparkSession, d: str) -> DataFrame:
-    return search.multi_query(variants(spark, d), docs(spark, d), 5).select("q", "key", "rrf_score", "rank")
+    return multi(spark, d).select("q", "key", "rrf_score", "rank")
 
 
 @query(f"{MULTI} SELECT q, key, s0, s1, s2 FROM top")
 def rrf_source_scores(spark: SparkSession, d: str) -> DataFrame:
-    scored = fusion.source_scores(search.multi_query(variants(spark, d), docs(spark, d), 5), 3)
+    scored = fusion.source_scores(multi(spark, d), 3)
     return scored.select("q", "key", *(F.get("source_scores", F.lit(i)).alias(f"s{i}") for i in range(3)))
 
 
+@query(f"{MULTI} SELECT q, key, struct_extract(first, 1)::BIGINT AS list, struct_extract(first, 2)::BIGINT AS pos, lang AS tag FROM top JOIN documents ON doc_id = key")
+def fused_metadata(spark: SparkSession, d: str) -> DataFrame:
+    tags = S.notes(spark, d).select(F.col("doc_id").alias("key"), "tag")
+    return multi(spark, d).join(tags, "key").select("q", "key", F.col("first.list").cast("long").alias("list"), F.col("first.pos").cast("long").alias("pos"), "tag")
+
+
 RERANKED = f"""{MULTI}, asked0 AS (SELECT q, list_distinct(regexp_extract_all(lower(t), '[a-zà-ÿ0-9]+')) AS w FROM (SELECT item_id AS q, text AS t FROM moved WHERE v = 0)),
-rr AS (SELECT top.q, top.key, round(CASE WHEN len(a.w) = 0 THEN 0 ELSE len(list_intersect(a.w, words.w)) / len(a.w) END, 9) AS score FROM top JOIN asked0 a USING (q) JOIN words USING (key)),
-cited AS (SELECT q, key, score, true AS reranked, row_number() OVER (PARTITION BY q ORDER BY score DESC, key) AS index FROM rr)
+rr AS (SELECT top.q, top.key, rrf_score, CASE WHEN length(text) % 3 <> 0 THEN round(CASE WHEN len(a.w) = 0 THEN 0 ELSE len(list_intersect(a.w, words.w)) / len(a.w) END, 9) END AS s
+  FROM top JOIN asked0 a USING (q) JOIN words USING (key) JOIN documents ON doc_id = key),
+cited AS (SELECT q, key, coalesce(s, rrf_score) AS score, s IS NOT NULL AS reranked, row_number() OVER (PARTITION BY q ORDER BY coalesce(s, rrf_score) DESC, key) AS index FROM rr)
 """
 
 
 @query(f"{RERANKED} SELECT q, key, score, reranked, index FROM cited")
 def rerank_merge(spark: SparkSession, d: str) -> DataFrame:
-    return search.search(variants(spark, d), docs(spark, d), 5)
+    return reranked(spark, d)
 
 
 @query(f"{RERANKED} SELECT q, bool_or(reranked) AS any_reranked FROM cited GROUP BY q")
 def any_reranked(spark: SparkSession, d: str) -> DataFrame:
-    return sessions.any_reranked(search.search(variants(spark, d), docs(spark, d), 5))
+    return sessions.any_reranked(reranked(spark, d))
 
 
 @query(f"{S.sql('text_queries')},{bm25_sql('text_queries', 5)}\nSELECT q, key, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, key) AS index FROM ranked")
@@ -403,9 +428,10 @@ def read_note(spark: SparkSession, d: str) -> DataFrame:
     return vault.read_notes(notes, S.links(spark, d)).select("path", "n", F.array_join("backlinks", " ").alias("backlinks"))
 
 
-@query(f"{S.sql('links')} SELECT url AS path FROM pages WHERE url NOT IN (SELECT dst FROM links) AND url NOT IN (SELECT src FROM links)")
+@query(f"{S.sql('links', 'notes')}, every AS (SELECT url AS path FROM pages UNION ALL SELECT path FROM notes) SELECT path FROM every WHERE path NOT IN (SELECT dst FROM links) AND path NOT IN (SELECT src FROM links)")
 def orphans(spark: SparkSession, d: str) -> DataFrame:
-    return vault.orphans(S.table(spark, d, "pages").select(F.col("url").alias("path")), S.links(spark, d))
+    every = S.table(spark, d, "pages").select(F.col("url").alias("path")).unionByName(S.notes(spark, d).select("path"))
+    return vault.orphans(every, S.links(spark, d))
 
 
 @query(f"""{S.sql('links')}, one AS (SELECT DISTINCT src, dst FROM links), every AS (SELECT src, dst, 1 AS s FROM one UNION ALL SELECT a.src, b.dst, 2 FROM one a JOIN one b ON a.dst = b.src)
@@ -602,10 +628,68 @@ def model_context_lookup(spark: SparkSession, d: str) -> DataFrame:
     return sessions.model_context(models, known)
 
 
-@query("""SELECT event_id, CASE WHEN event_type = 'error' THEN 'network' WHEN event_type = 'click' THEN 'config' WHEN event_type = 'view' THEN 'model' ELSE 'unknown' END AS type FROM events""")
+#: (message, status, code, kind of error): every rule, in turn, and what comes before what.
+ERRORS = (
+    ("not yet", None, "INDEX_NOT_READY", "model"), ("索引未就绪", None, None, "model"), ("x", 401, None, "config"), ("No API key", None, None, "config"), ("Unauthorized fetch", None, None, "config"),
+    ("x", 404, None, "config"), ("Model gpt not found", None, None, "config"), ("Failed to fetch", None, None, "network"), ("ECONNREFUSED", 400, None, "network"), ("request TIMEOUT", 429, None, "network"),
+    ("wasm trap", None, None, "model"), ("embedding invalid", None, None, "model"), ("x", 400, None, "runtime"), ("Invalid temperature", None, None, "runtime"), ("x", 429, None, "network"),
+    ("Rate limit hit", None, None, "network"), ("x", 403, None, "unknown"), ("undefined is null", None, None, "unknown"),
+)
+
+
+@query(f"SELECT event_id, [{', '.join(repr(e[3]) for e in ERRORS)}][event_id % {len(ERRORS)} + 1] AS type FROM events")
 def error_classify(spark: SparkSession, d: str) -> DataFrame:
-    message = F.when(F.col("event_type") == "error", "Request TIMEOUT").when(F.col("event_type") == "click", "Invalid API key").when(F.col("event_type") == "view", "wrong dimension").otherwise("odd")
-    return S.table(spark, d, "events").select("event_id", T.error_type(message).alias("type"))
+    cases = F.array(*(F.struct(F.lit(m).alias("message"), F.lit(s).cast("int").alias("status"), F.lit(c).cast("string").alias("code")) for m, s, c, _ in ERRORS))
+    events = S.table(spark, d, "events").select("event_id", F.get(cases, (F.col("event_id") % len(ERRORS)).cast("int")).alias("e"))
+    return events.select("event_id", T.error_type(F.col("e.message"), F.col("e.status"), F.col("e.code")).alias("type"))
+
+
+@query(f"""{S.sql('notes')}, c AS (SELECT doc_id, ['read_note', 'grep', 'list_files'][doc_id % 3 + 1] AS tool, CASE doc_id % 3 WHEN 0 THEN path WHEN 1 THEN left(content, 40) ELSE '.' END AS arg FROM notes)
+SELECT doc_id, tool || CASE WHEN coalesce(arg, '') = '' THEN '' WHEN tool = 'list_files' THEN ' /' WHEN tool = 'grep' AND length(arg) > 30 THEN ' ' || left(arg, 30) || '…' ELSE ' ' || arg END AS label FROM c""")
+def tool_labels(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("doc_id") % 3
+    tool = F.when(n == 0, "read_note").when(n == 1, "grep").otherwise("list_files")
+    argument = F.when(n == 0, F.col("path")).when(n == 1, F.substr("content", F.lit(1), F.lit(40))).otherwise(".")
+    return S.notes(spark, d).select("doc_id", T.tool_label(tool, argument, n != 1).alias("label"))
+
+
+@query("SELECT doc_id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html FROM documents")
+def html_escape(spark: SparkSession, d: str) -> DataFrame:
+    return S.table(spark, d, "documents").select("doc_id", T.escape_html(F.col("text")).alias("html"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars % 101 >= 95 THEN 'danger' WHEN n_chars % 101 >= 80 THEN 'warning' ELSE 'normal' END AS band FROM documents")
+def usage_bands(spark: SparkSession, d: str) -> DataFrame:
+    return S.table(spark, d, "documents").select("doc_id", T.usage_band(F.col("n_chars") % 101).alias("band"))
+
+
+@query("SELECT conv_id AS session_id, sum(length(text))::BIGINT AS size, count(*) FILTER (WHERE length(text) > 0) AS n FROM conversations WHERE role = 'user' GROUP BY conv_id")
+def attachment_sum(spark: SparkSession, d: str) -> DataFrame:
+    attached = S.messages(spark, d).where("role = 'user'").select("session_id", F.length("content").cast("long").alias("size"))
+    return sessions.attachment_sums(attached)
+
+
+@query("SELECT batch, pos, vec_id AS key FROM (SELECT vec_id // 16 AS batch, vec_id % 16 AS pos, vec_id FROM embeddings)")
+def embedding_order(spark: SparkSession, d: str) -> DataFrame:
+    mixed = S.items(spark, d).select(F.floor(F.col("id") / 16).cast("long").alias("batch"), F.struct((F.col("id") % 16).alias("index"), F.col("id").alias("value")).alias("part"))
+    answers = mixed.groupBy("batch").agg(F.collect_list("part").alias("parts"))  # 16 parts at most
+    return vectors.in_asked_order(answers).withColumnRenamed("value", "key")
+
+
+@query("""WITH a AS (SELECT user_id, list_distinct(list(event_type)) AS types FROM events GROUP BY user_id)
+SELECT user_id, array_to_string(list_sort(list_filter(types, lambda x: NOT list_contains(['click', 'view'], x))), ',') AS rest FROM a""")
+def set_difference(spark: SparkSession, d: str) -> DataFrame:
+    types = S.table(spark, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("types"))
+    return types.select("user_id", F.array_join(F.sort_array(F.array_except("types", F.array(F.lit("click"), F.lit("view")))), ",").alias("rest"))
+
+
+@query("""WITH q AS (SELECT event_id AS id, user_id, ts, event_type FROM events WHERE event_id % 2 = 0), r AS (SELECT event_id - 1 AS id, ts, event_type FROM events WHERE event_id % 6 = 1)
+SELECT q.id, CASE WHEN r.id IS NULL THEN 'timeout' WHEN r.ts < q.ts OR r.ts > q.ts + INTERVAL 60 SECONDS THEN 'timeout' ELSE r.event_type END AS answer FROM q LEFT JOIN r USING (id)""")
+def request_response(spark: SparkSession, d: str) -> DataFrame:
+    events = S.table(spark, d, "events")
+    asked = events.where("event_id % 2 = 0").select(F.col("event_id").alias("id"), "ts")
+    answered = events.where("event_id % 6 = 1").select((F.col("event_id") - 1).alias("id"), "ts", F.col("event_type").alias("answer"))
+    return E.answered(asked, answered, 60)
 
 
 @query("""WITH c AS (SELECT event_id, user_id AS session_id, CASE event_type WHEN 'click' THEN 'read_note' WHEN 'view' THEN 'write_note' ELSE 'custom' END AS tool, 'n-' || user_id AS path FROM events)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quirebook.functions import text as T
 
-DEFAULT_IGNORES = (".obsidian/", ".trash/", ".git/", "node_modules/")
+#: Fixed values.
+DEFAULT_IGNORES = (".obsidian/", ".trash/", ".augmented-canvas/", ".obsidian-canvas/", ".obsidian-snippets/")
 
 
 def read_notes(spark: SparkSession, root: str) -> DataFrame:

@@ -41,9 +41,10 @@ def file_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("ts", F.col("event_id").alias("seq"), path.alias("path"), F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("op"))
 
 
-def text_queries(spark: SparkSession, sf_dir: str, first: int = 1, n: int = 3) -> DataFrame:
-    """(q, text): n words of each benchmark item, from the first-th on."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), F.array_join(F.slice(F.split("text", r"\s+"), first, n), " ").alias("text"))
+def text_queries(spark: SparkSession, sf_dir: str, first: int = 1) -> DataFrame:
+    """(q, text): the stated query set, every hundredth benchmark item, from its first-th word on."""
+    words = F.split("text", r"\s+")
+    return table(spark, sf_dir, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("q"), F.array_join(F.slice(words, first, F.size(words)), " ").alias("text"))
 
 
 def vector_queries(spark: SparkSession, sf_dir: str, every: int = 100) -> DataFrame:
@@ -58,7 +59,7 @@ SQL = {
     "links": "links AS (SELECT src, dst, count(*) AS n FROM (SELECT url AS src, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS dst FROM pages) GROUP BY src, dst)",
     "messages": "messages AS (SELECT conv_id AS session_id, turn AS ord, role, text AS content FROM conversations)",
     "file_events": "file_events AS (SELECT ts, event_id AS seq, 'user-' || user_id || '.md' AS path, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END AS op FROM events)",
-    "text_queries": r"text_queries AS (SELECT item_id AS q, array_to_string(regexp_split_to_array(text, '\s+')[1:3], ' ') AS text FROM benchmark)",
+    "text_queries": r"text_queries AS (SELECT item_id AS q, array_to_string(regexp_split_to_array(text, '\s+'), ' ') AS text FROM benchmark WHERE item_id % 100 = 0)",
     "vector_queries": "vector_queries AS (SELECT vec_id AS q, embedding AS vector FROM embeddings WHERE vec_id % 100 = 0)",
 }
 

@@ -101,14 +101,13 @@ def last_ops(events: DataFrame) -> DataFrame:
 
 def apply_to(store, contents: Callable[[DataFrame], DataFrame]):
     """A function for foreachBatch: of each path's due events the last counts; deletes leave the store, and for upserts
-    contents(paths) gives the current rows (a path without a row is dropped)."""
+    contents(paths) gives the current rows (a path without a row is dropped). A micro-batch is one commit."""
 
     def run(batch: DataFrame, _: int) -> None:
         batch = batch.persist()
         try:
             ops = batch.groupBy("path").agg(F.max_by("op", F.struct("due", "seq")).alias("op"))
-            store.delete(ops.select("path"))
-            store.upsert(contents(ops.where("op = 'upsert'").select("path")))
+            store.apply(contents(ops.where("op = 'upsert'").select("path")), ops.select("path"))
         finally:
             batch.unpersist()
 
@@ -118,3 +117,12 @@ def apply_to(store, contents: Callable[[DataFrame], DataFrame]):
 def transitions(steps: DataFrame) -> DataFrame:
     """(path, state, n): the last state of an index's log (path, seq, state) and the number of steps."""
     return steps.groupBy("path").agg(F.max_by("state", "seq").alias("state"), F.count("*").alias("n"))
+
+
+def answered(requests: DataFrame, responses: DataFrame, seconds: float) -> DataFrame:
+    """(id, answer): requests (id, ts) with the answer of responses (id, ts, answer) that comes within `seconds`, else
+    "timeout". Works on a batch, and on two streams with watermarks."""
+    wait = F.expr(f"INTERVAL {seconds} SECONDS")
+    later = responses.select(F.col("id").alias("_id"), F.col("ts").alias("_ts"), "answer")
+    met = requests.join(later, (F.col("id") == F.col("_id")) & (F.col("_ts") >= F.col("ts")) & (F.col("_ts") <= F.col("ts") + wait), "left")
+    return met.select("id", F.coalesce("answer", F.lit("timeout")).alias("answer"))

@@ -63,7 +63,7 @@ def test_intent_bands_and_errors(spark):
     assert [one(spark, T.usage_band, x) for x in (95, 80, 79)] == ["danger", "warning", "normal"]
     assert one(spark, lambda m: T.percentage(F.lit(5), m), 0) == 0
     assert one(spark, T.error_type, "401 Unauthorized") == "config"
-    assert one(spark, lambda n: T.tool_label(n, F.lit("x" * 31)), "vault.read") == "vault/read: " + "x" * 30 + "…"
+    assert one(spark, lambda n: T.tool_label(n, F.lit("x" * 31), F.lit(False)), "grep") == "grep " + "x" * 30 + "…"
     assert one(spark, lambda m: T.attachment_error(m, F.lit(6_000_000), F.lit(1)), "image/png") == "size"
     assert one(spark, lambda w: T.image_tokens(w, F.lit(750)), 2) == 2 and one(spark, lambda w: T.image_tokens(w, F.lit(750)), 0) == 0
     assert one(spark, T.escape_html, "<a&b>") == "&lt;a&amp;b&gt;"
