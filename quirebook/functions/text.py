@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -191,3 +192,32 @@ def tool_path(args: Column) -> Column:
 def parse_args(args: Column) -> Column:
     """JSON text, or {"raw": ...} around what can't be parsed."""
     return F.when(F.try_parse_json(args).isNotNull(), args).otherwise(F.to_json(F.struct(args.alias("raw"))))
+
+
+def chat_error(code: Column, message: Column) -> Column:
+    """The kind of an error in a chat: a cancelled answer is no failure of the settings or the network."""
+    return F.when(code == "CANCELLED", "runtime").otherwise(error_type(message, None, code))
+
+
+def command_matches(typed: Column, name: Column) -> Column:
+    """Whether a command's name starts with what was typed: a slash and no space, in either case."""
+    return typed.startswith("/") & ~F.contains(typed, F.lit(" ")) & F.startswith(F.lower(name), F.lower(typed))
+
+
+def merge_settings(defaults: Column, saved: Column, dropped: tuple[str, ...] = ()) -> Column:
+    """Maps of settings: saved ones count before defaults, and dropped names go."""
+    kept = F.map_filter(defaults, lambda k, _: ~F.array_contains(F.map_keys(F.coalesce(saved, F.create_map().cast("map<string,string>"))), k))
+    every = F.map_concat(kept, F.coalesce(saved, F.create_map().cast("map<string,string>")))
+    return F.map_filter(every, lambda k, _: ~k.isin(*dropped)) if dropped else every
+
+
+def diagnostic_k(k: Column) -> Column:
+    """Neighbours asked for: five unless given, at least 1 and at most 50."""
+    return F.least(F.greatest(F.coalesce(k, F.lit(5)), F.lit(1)), F.lit(50))
+
+
+def strip_accents(text: Column) -> Column:
+    """Letters of the Latin-1 and Latin Extended-A blocks that are a base letter with an accent lose it."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0xC0, 0x180)]
+    pairs = [(a, b[0]) for a, b in pairs if len(b) == 2]
+    return F.translate(text, "".join(a for a, _ in pairs), "".join(b for _, b in pairs))

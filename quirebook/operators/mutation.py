@@ -62,6 +62,11 @@ def unchanged(notes: DataFrame, stored: DataFrame) -> DataFrame:
     return now.join(stored.select("path", F.col("hash").alias("_had")), "path", "left").select("path", "hash", (F.col("_had").isNull() | (F.col("_had") != F.col("hash"))).alias("changed"))
 
 
+def contents(table: DataFrame, keys: DataFrame, key: str = "path") -> DataFrame:
+    """(key, content) for each of keys; null where the table has none."""
+    return keys.select(key).distinct().join(table.select(key, "content"), key, "left")
+
+
 class Store:
     """A keyed Parquet table in buckets of its key. An upsert or delete writes the buckets that it touches, each to a
     new folder; a version file names the folders that count. Versions are numbered, and creating the next number, which only

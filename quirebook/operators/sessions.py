@@ -132,10 +132,86 @@ def any_reranked(results: DataFrame) -> DataFrame:
     return results.groupBy("q").agg(F.bool_or("reranked").alias("any_reranked"))
 
 
+#: What a tool does to a note: with its path ({}), and without. Fixed values.
+SUMMARIES = {
+    "write_note": ("创建或覆盖笔记 {}", "写入笔记"),
+    "append_note": ("追加内容到 {}", "追加笔记"),
+    "edit_note": ("精确替换 {} 中的文本", "编辑笔记"),
+    "delete_note": ("将 {} 移到回收站", "删除笔记"),
+}
+
+
 def summary(tool: Column, path: Column) -> Column:
-    """One line on a tool call."""
-    verb = F.when(tool == "write_note", "write").when(tool == "append_note", "append to").when(tool == "edit_note", "edit").when(tool == "delete_note", "delete").otherwise(tool)
-    return F.concat_ws(" ", verb, path)
+    """One line on a tool call; other tools show their name."""
+    lines = {t: F.when(F.coalesce(path, F.lit("")) == "", without).otherwise(F.concat(*(F.lit(x) for x in with_.split("{}")[:1]), path, F.lit(with_.split("{}")[1]))) for t, (with_, without) in SUMMARIES.items()}
+    other = F.when(F.coalesce(path, F.lit("")) == "", tool).otherwise(F.concat(tool, F.lit(" → "), path))
+    return F.coalesce(*(F.when(tool == t, line) for t, line in lines.items()), other)
+
+
+def opened(stored: DataFrame, ids: DataFrame, now: int) -> DataFrame:
+    """Sessions (session_id, title, created_at, updated_at) of ids; those not stored are new, without a title."""
+    met = ids.select("session_id").distinct().join(stored, "session_id", "left")
+    return met.select("session_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("created_at", F.lit(now)).alias("created_at"), F.coalesce("updated_at", F.lit(now)).alias("updated_at"))
+
+
+def append_messages(sessions: DataFrame, messages: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sessions, messages and refusals after new messages (session_id, ts, role, content) were put at the end of messages
+    (session_id, ord, role, content), in the order of ts. updated_at becomes the last ts; messages for sessions that
+    aren't open are refused."""
+    known = sessions.select("session_id")
+    taken, refused = new.join(known, "session_id", "left_semi"), new.join(known, "session_id", "left_anti")
+    ends = messages.groupBy("session_id").agg(F.max("ord").alias("_end"))
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("ts", "role", "content"))
+    added = taken.withColumn("_n", place).join(ends, "session_id", "left").select("session_id", (F.coalesce("_end", F.lit(-1)) + F.col("_n")).alias("ord"), "role", "content")
+    last = taken.groupBy("session_id").agg(F.max("ts").alias("_last"))
+    bumped = sessions.join(last, "session_id", "left").withColumn("updated_at", F.coalesce("_last", "updated_at")).select(sessions.columns)
+    return bumped, messages.select("session_id", "ord", "role", "content").unionByName(added), refused
+
+
+def request_body(messages: DataFrame, model: str, options: dict[str, float] | None = None) -> DataFrame:
+    """(session_id, body): the JSON of a streamed chat request from messages (session_id, ord, role, content, call_id, tool,
+    args). A call's text is null where it is empty, its arguments are JSON text; a tool's answer names its call."""
+    nulls = {"ignoreNullFields": "false"}
+    call = F.struct(F.col("call_id").alias("id"), F.lit("function").alias("type"), F.struct(F.coalesce("tool", F.lit("")).alias("name"), F.coalesce("args", F.lit("{}")).alias("arguments")).alias("function"))
+    said = F.when(F.col("content") != "", F.col("content"))
+    one = (
+        F.when((F.col("role") == "assistant") & F.col("call_id").isNotNull(), F.to_json(F.struct("role", said.alias("content"), F.array(call).alias("tool_calls")), nulls))
+        .when((F.col("role") == "tool") & F.col("call_id").isNotNull(), F.to_json(F.struct("role", "content", F.col("call_id").alias("tool_call_id")), nulls))
+        .otherwise(F.to_json(F.struct("role", "content"), nulls))
+    )
+    joined = messages.withColumn("_one", one).groupBy("session_id").agg(F.expr("listagg(_one, ',') WITHIN GROUP (ORDER BY ord)").alias("_all"))
+    head = F.to_json(F.struct(F.lit(model).alias("model")))
+    tail = F.to_json(F.struct(F.lit(True).alias("stream"), *(F.lit(v).alias(k) for k, v in (options or {}).items())))
+    body = F.concat(F.substr(head, F.lit(1), F.length(head) - 1), F.lit(',"messages":['), "_all", F.lit("],"), F.substr(tail, F.lit(2)))
+    return joined.select("session_id", body.alias("body"))
+
+
+def fold_deltas(deltas: DataFrame) -> DataFrame:
+    """(session_id, segment, kind, name, text, status, result) from deltas (session_id, ord, kind, name, text). Neighbours of
+    kind text or think are joined. A call is a segment of kind tool; a result or failure closes the latest open call of its
+    name. A result without one is a segment of its own, a failure without one is left out.
+
+    Calls and closings nest like brackets, so a closing meets the call of the same depth before it: within a depth the two
+    take turns."""
+    order = "ORDER BY ord ROWS UNBOUNDED PRECEDING"
+    tools = deltas.where("kind IN ('call', 'result', 'failed')")
+    step = tools.withColumn("_sum", F.expr(f"sum(CASE kind WHEN 'call' THEN 1 ELSE -1 END) OVER (PARTITION BY session_id, name {order})"))
+    low = step.withColumn("_low", F.expr(f"least(0, min(_sum) OVER (PARTITION BY session_id, name {order}))"))
+    low = low.withColumn("_lone", F.expr("kind <> 'call' AND _sum = _low AND _sum < coalesce(least(0, min(_sum) OVER (PARTITION BY session_id, name ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 0)"))
+    depth = F.col("_sum") - F.col("_low") + F.when(F.col("kind") == "call", 0).otherwise(1)
+    by = Window.partitionBy("session_id", "name", "_depth").orderBy("ord")
+    met = low.where("NOT _lone").withColumn("_depth", depth).withColumn("_kind", F.lead("kind").over(by)).withColumn("_text", F.lead("text").over(by))
+    status = F.when(F.col("_kind") == "result", "done").when(F.col("_kind") == "failed", "failed").otherwise("calling")
+    none = F.lit(None).cast("string")
+    calls = met.where("kind = 'call'").select("session_id", "ord", F.lit("tool").alias("kind"), "name", "text", status.alias("status"), F.col("_text").alias("result"))
+    lone = low.where("_lone AND kind = 'result'").select("session_id", "ord", F.lit("tool").alias("kind"), "name", none.alias("text"), F.lit("done").alias("status"), F.col("text").alias("result"))
+    said = deltas.where("kind IN ('text', 'think')").select("session_id", "ord", "kind", none.alias("name"), "text", none.alias("status"), none.alias("result"))
+    rows = said.unionByName(calls).unionByName(lone)
+    along = Window.partitionBy("session_id").orderBy("ord")
+    starts = F.when((F.col("kind") != "tool") & (F.lag("kind").over(along) == F.col("kind")), 0).otherwise(1)
+    numbered = rows.withColumn("segment", F.sum(starts).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    only = lambda c: F.max(c).alias(c)  # noqa: E731  a tool's segment is one row
+    return numbered.groupBy("session_id", "segment", "kind").agg(only("name"), F.expr("listagg(text, '') WITHIN GROUP (ORDER BY ord)").alias("text"), only("status"), only("result"))
 
 
 def attachment_sums(attached: DataFrame) -> DataFrame:

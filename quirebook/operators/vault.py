@@ -33,6 +33,12 @@ def exists(notes: DataFrame, path: str) -> bool:
     return bool(notes.where(F.col("path") == path).limit(1).count())
 
 
+def existing(paths: DataFrame, notes: DataFrame) -> DataFrame:
+    """paths with `found`: whether there is a note of the path; of a null path there is none."""
+    known = notes.select("path", F.lit(True).alias("found")).distinct()
+    return paths.join(known, "path", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def metadata(notes: DataFrame) -> DataFrame:
     """(path, frontmatter, tags, links): what the text itself says; null where there is nothing."""
     block = F.regexp_extract("content", r"(?s)\A---\n(.*?)\n---(?:\n|\z)", 1)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
@@ -94,6 +96,19 @@ def debounce_stream(events: DataFrame, seconds: float = 5, watermark: str = WATE
     return keyed.transformWithStateInPandas(statefulProcessor=Debouncer(seconds), outputStructType=DUE, outputMode="append", timeMode="eventTime")
 
 
+def drained(stream: DataFrame, spark: SparkSession) -> DataFrame:
+    """All that a stream gives up to the present end of its sources, from files below spark.checkpoint.dir, which every
+    executor sees; without that setting, a local session takes a folder of its own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="quirebook-")
+    folder = f"{shared.rstrip('/')}/quirebook-{uuid.uuid4().hex}"
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start(f"{folder}/rows").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
 def last_ops(events: DataFrame) -> DataFrame:
     """(path, op, first_seq): the queue's content: the last op of each path, in the place of its first."""
     return events.groupBy("path").agg(F.max_by("op", F.struct("ts", "seq")).alias("op"), F.min("seq").alias("first_seq"))

@@ -1,6 +1,6 @@
 import pytest
 
-from quirebook.plans import catalog
+from quirebook.plans import catalog, upkeep  # noqa: F401  upkeep adds to the catalogue
 from tests.differential import differences, duck
 
 SF = "/root/testdata/sf0.001"
