@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and DuckDB SQL for those that SQL can express."""
 
-from quirebook.llm import bpe, chat, decontam, langid, lm, pii, quality, secrets, simhash, urlfilter
+from quirebook.llm import bpe, chat, clusters, decontam, langid, lm, negatives, pii, quality, secrets, simhash, toxicity, urlfilter
 
 QUERIES = {
     "op1_bpe": bpe.query,
@@ -14,10 +14,15 @@ QUERIES = {
     "op8_simhash": simhash.query,
     "op9_urlfilter": urlfilter.query,
     "op10_pii": pii.query,
+    "op11_toxicity": toxicity.query,
+    "op12_clusters": clusters.query,
+    "op13_negatives": negatives.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontam": decontam.SQL,
     "op6_quality": quality.SQL,
     "op7_chat": chat.SQL,
+    "op12_clusters": clusters.SQL,
+    "op13_negatives": negatives.SQL,
 }
