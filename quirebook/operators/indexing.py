@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirebook.functions import text as T
-from quirebook.operators import chunking
+from quirebook.operators import chunking, vectors
+from quirebook.operators.store import Store, observed
 
 SCHEMA = "path string, chunk_index int, chunk_id string, chunk string, vector array<double>, error string"
 TYPES = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.float64()), pa.string())
@@ -64,6 +66,72 @@ def refresh(table: DataFrame, notes: DataFrame, indexed: DataFrame) -> DataFrame
     return table.join(done, "path", "left_anti").select(table.columns).unionByName(fresh)
 
 
+class NoteIndex:
+    """An index of notes that is kept: chunks and vectors in a Store, a note's rows under its path. The model is called once
+    a note; what it gives is written before it is used, so that rows and counts come of the same answers."""
+
+    ROWS = "path string, chunk_index int, chunk_id string, chunk string, vector array<double>"
+
+    def __init__(self, spark: SparkSession, root: str, model: Callable[[list[str]], list[list[float]]], dimension: int, size: int = chunking.SIZE, overlap: int = chunking.OVERLAP, buckets: int = 16):
+        self.spark, self.root, self.model, self.dimension, self.size, self.overlap = spark, root.rstrip("/"), model, dimension, size, overlap
+        self.store = Store(spark, f"{self.root}/store", self.ROWS, buckets=buckets)
+
+    def _made(self, notes: DataFrame) -> tuple[DataFrame, dict, str]:
+        """The rows of notes, written; how many notes have errors, and how many of them are indexed (blank ones are)."""
+        folder = f"{self.root}/staged-{uuid.uuid4().hex}"
+        rows, seen = observed(index(notes, self.model, self.dimension, self.size, self.overlap), errors=F.count("error"), chunks=F.count("chunk_id"))
+        rows.write.parquet(folder)
+        counts = seen()
+        return self.spark.read.schema(SCHEMA).parquet(folder), {"errors": counts["errors"], "indexed": notes.select("path").count() - counts["errors"], "chunks": counts["chunks"]}, folder
+
+    def _drop(self, folder: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def reindex(self, notes: DataFrame) -> dict:
+        """The index of notes (path, content) in the place of all rows, in one commit. Rows of notes that aren't there any
+        more go; a note that fails keeps the rows that it had. Gives the counts."""
+        made, counts, folder = self._made(notes)
+        try:
+            failed = made.where("error is not null").select("path")
+            kept = self.store.read().join(failed, "path", "left_semi")
+            fresh = made.where("error is null").select(kept.columns)
+            self.store.overwrite(fresh.unionByName(kept), lambda: counts)
+        finally:
+            self._drop(folder)
+        return counts
+
+    def update(self, notes: DataFrame, gone: DataFrame | None = None, batch: tuple[str, int] | None = None) -> dict:
+        """The rows of notes (path, content) in the place of their older ones, and none of gone (path), in one commit."""
+        made, counts, folder = self._made(notes)
+        try:
+            failed = made.where("error is not null").select("path")
+            done = notes.select("path").join(failed, "path", "left_anti")
+            fresh = made.where("error is null").select(*(c.split()[0] for c in self.ROWS.split(", ")))
+            self.store.apply(fresh, done if gone is None else done.union(gone.select("path")), batch, lambda: counts)
+        finally:
+            self._drop(folder)
+        return counts
+
+    def delete(self, paths: DataFrame) -> None:
+        self.store.delete(paths)
+
+    def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        """(q, path, chunk_id, score, rank): of queries (q, vector) the k best notes, each by its best chunk."""
+        rows = self.store.read()
+        most = rows.agg(F.max("chunk_index")).first()[0]
+        # so many chunks are of k notes at least
+        found = vectors.knn(queries, rows.select(F.col("chunk_id").alias("key"), "vector"), k * ((most or 0) + 1))
+        best = vectors.best_chunk(found.select("q", F.regexp_replace("key", r"#chunk-\d+$", "").alias("document"), "key", "score"))
+        ranked = vectors.top(best.select("q", F.struct("document", "key").alias("key"), "score"), k)
+        return ranked.select("q", F.col("key.document").alias("path"), F.col("key.key").alias("chunk_id"), "score", "rank")
+
+    def status(self) -> dict:
+        """Chunks and the time of the last commit (milliseconds), as the version's file has them."""
+        state = self.store.state()
+        return {"chunks": sum(f["rows"] for f in state["files"]), "last_index_time": state["at"] or None, "ready": state["version"] > 0}
+
+
 def held(log: DataFrame) -> DataFrame:
     """(index, due, path, op): what the queue hands on, from a log (index, seq, kind, path, op) of events, pauses and
     resumes. An event is due at its own seq, or while its index is paused at the next resume (null: still held); the last

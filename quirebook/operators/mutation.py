@@ -1,10 +1,8 @@
-"""Changes to keyed tables, as new tables: Parquet has no row updates. Store writes them by bucket and swaps folders."""
+"""Changes to keyed tables, as new tables: Parquet has no row updates. See store for tables that are kept."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirebook.functions import text as T
@@ -65,80 +63,3 @@ def unchanged(notes: DataFrame, stored: DataFrame) -> DataFrame:
 def contents(table: DataFrame, keys: DataFrame, key: str = "path") -> DataFrame:
     """(key, content) for each of keys; null where the table has none."""
     return keys.select(key).distinct().join(table.select(key, "content"), key, "left")
-
-
-class Store:
-    """A keyed Parquet table in buckets of its key. An upsert or delete writes the buckets that it touches, each to a
-    new folder; a version file names the folders that count. Versions are numbered, and creating the next number, which only
-    one writer can, is the commit: readers see the version before it or after it, and a writer that comes second fails."""
-
-    def __init__(self, spark: SparkSession, root: str, schema: str, key: str = "path", buckets: int = 16):
-        self.spark, self.root, self.schema, self.key, self.buckets = spark, root.rstrip("/"), schema, key, buckets
-        self._fs = spark.sparkContext._jvm.org.apache.hadoop.fs
-        self._system = self._fs.Path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def version(self) -> int:
-        """The number of the last commit; 0 before the first."""
-        found = self._system.globStatus(self._fs.Path(f"{self.root}/version-*"))
-        return max((int(f.getPath().getName().removeprefix("version-")) for f in found or ()), default=0)
-
-    def _folders(self, version: int | None = None) -> dict[int, str]:
-        version = self.version() if version is None else version
-        if not version:
-            return {}
-        lines = [r["value"] for r in self.spark.read.text(f"{self.root}/version-{version:08d}").collect()]
-        return {int(a): b for a, b in (x.split("\t") for x in lines)}
-
-    def read(self, buckets: list[int] | None = None, version: int | None = None) -> DataFrame:
-        folders = [f"{self.root}/{f}" for b, f in self._folders(version).items() if buckets is None or b in buckets]
-        reader = self.spark.read.schema(self.schema)
-        return reader.parquet(*folders) if folders else self.spark.createDataFrame([], self.schema)
-
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets))
-
-    def _commit(self, folders: dict[int, str], version: int) -> None:
-        if self.version() >= version:
-            raise OSError(f"version {version} was committed by another writer")
-        out = self._system.create(self._fs.Path(f"{self.root}/version-{version:08d}"), False)
-        out.write(bytearray("\n".join(f"{b}\t{f}" for b, f in sorted(folders.items())).encode()))
-        out.close()
-
-    def _change(self, touched: DataFrame, change) -> None:
-        buckets = sorted(r[0] for r in touched.select(self._bucket()).distinct().collect())  # `buckets` numbers at most
-        if not buckets:
-            return
-        before, version = self.version(), uuid.uuid4().hex
-        after = change(self.read(buckets, before)).withColumn("_bucket", self._bucket())
-        after.repartition(len(buckets), "_bucket").write.partitionBy("_bucket").parquet(f"{self.root}/{version}")
-        folders = self._folders(before)
-        for b in buckets:
-            folder = f"{version}/_bucket={b}"
-            folders.pop(b, None)
-            if self._system.exists(self._fs.Path(f"{self.root}/{folder}")):
-                folders[b] = folder
-        self._commit(folders, before + 1)
-
-    def upsert(self, rows: DataFrame) -> None:
-        self.apply(rows, rows.select(self.key).limit(0))
-
-    def delete(self, keys: DataFrame) -> None:
-        self._change(keys, lambda table: delete(table, keys, self.key))
-
-    def apply(self, rows: DataFrame, gone: DataFrame) -> None:
-        """Deletes the keys of gone and puts rows in, in one commit. Of rows with one key the greatest counts."""
-        rest = [c for c in rows.columns if c != self.key]
-        rows = rows.groupBy(self.key).agg(F.max(F.struct(*rest)).alias("last")).select(self.key, "last.*") if rest else rows.distinct()
-        touched = rows.select(self.key).union(gone.select(self.key))
-        self._change(touched, lambda table: upsert(delete(table, gone, self.key), rows, self.key))
-
-    def get(self, key) -> DataFrame:
-        bucket = self.spark.range(1).select(F.pmod(F.xxhash64(F.lit(key)), F.lit(self.buckets)).alias("b")).first()["b"]
-        return self.read([bucket]).where(F.col(self.key) == key)
-
-    def by_prefix(self, prefix: str) -> DataFrame:
-        return self.read().where(F.col(self.key).startswith(prefix))
-
-    def recent(self, column: str, limit: int | None = None) -> DataFrame:
-        rows = self.read().orderBy(F.desc(column), self.key)
-        return rows.limit(limit) if limit else rows

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirebook.functions import text as T
-from quirebook.operators import chunking, fusion, grep, lexical, mutation, search, sessions, tokenizer, vault, vectors
-from quirebook.sources import files
+from quirebook.operators import chunking, fusion, grep, lexical, mutation, search, sessions, store, tokenizer, vault, vectors
+from quirebook.sources import files, scratch
 from quirebook.sources import tables as S
 from quirebook.streaming import events as E
 
@@ -406,7 +406,9 @@ def ignore_rules(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{S.sql('notes')} SELECT path, length(content)::BIGINT AS n FROM notes WHERE starts_with(path, 'src5/en/doc-1')")
 def prefix_scan(spark: SparkSession, d: str) -> DataFrame:
-    return S.notes(spark, d).where(F.col("path").startswith("src5/en/doc-1")).select("path", F.length("content").cast("long").alias("n"))
+    kept = store.Store(spark, scratch.folder(spark), "path string, content string")
+    kept.overwrite(S.notes(spark, d).select("path", "content"))
+    return kept.by_prefix("src5/en/doc-1").select("path", F.length("content").cast("long").alias("n"))
 
 
 # --- links -----------------------------------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quirebook.functions import text as T
 from quirebook.operators import grep, indexing, mutation, sessions, tokenizer, vault, vectors
 from quirebook.plans.catalog import CHUNKS, query
+from quirebook.sources import scratch
 from quirebook.sources import tables as S
 from quirebook.streaming import events as E
 
@@ -74,8 +75,9 @@ INDEXED = f"{CHUNKS}, bad AS (SELECT DISTINCT path FROM chunked WHERE length(chu
 
 @query(f"{INDEXED} SELECT chunk_id, length::DOUBLE AS length, (length - length(replace(chunk, 'a', '')))::DOUBLE AS a FROM (SELECT path || '#chunk-' || chunk_index AS chunk_id, chunk, length(chunk) AS length FROM chunked WHERE path NOT IN (SELECT path FROM bad))")
 def full_index(spark: SparkSession, d: str) -> DataFrame:
-    made = indexing.index(S.notes(spark, d), measures, 2).where("error is null")
-    return made.select("chunk_id", F.col("vector")[0].alias("length"), F.col("vector")[1].alias("a"))
+    kept = indexing.NoteIndex(spark, scratch.folder(spark), measures, 2)
+    kept.reindex(S.notes(spark, d))
+    return kept.store.read().select("chunk_id", F.col("vector")[0].alias("length"), F.col("vector")[1].alias("a"))
 
 
 @query(f"{INDEXED} SELECT path, (path IN (SELECT path FROM chunked) AND path NOT IN (SELECT path FROM bad))::BIGINT AS indexed, (path IN (SELECT path FROM bad))::BIGINT AS errors FROM notes")
@@ -90,12 +92,32 @@ CHANGED = "notes AS (SELECT doc_id, source || '/' || lang || '/doc-' || doc_id |
 @query(f"{CHUNKS.replace(S.SQL['notes'], CHANGED)} SELECT path || '#chunk-' || chunk_index AS chunk_id, sha256(chunk) AS hash FROM chunked")
 def reindex_changed(spark: SparkSession, d: str) -> DataFrame:
     notes = S.notes(spark, d)
-    lengths = lambda texts: [[float(len(t))] for t in texts]
-    columns = ("path", "chunk_id", "chunk", "vector")
-    table = indexing.index(notes, lengths, 1).select(*columns)
-    changed = notes.where("tag = 'de'").withColumn("content", F.concat("content", F.lit(" and more.")))
-    after = indexing.refresh(table, changed, indexing.index(changed, lengths, 1))
-    return after.select("chunk_id", F.sha2("chunk", 256).alias("hash"))
+    kept = indexing.NoteIndex(spark, scratch.folder(spark), lengths, 1)
+    kept.reindex(notes)
+    kept.update(notes.where("tag = 'de'").withColumn("content", F.concat("content", F.lit(" and more."))))
+    return kept.store.read().select("chunk_id", F.sha2("chunk", 256).alias("hash"))
+
+
+def lengths(texts: list[str]) -> list[list[float]]:
+    return [[float(len(t))] for t in texts]
+
+
+#: What is left when the French notes were removed and those in German grew; notes that the model refuses then keep the
+#: rows of before.
+LATER = S.SQL["notes"].replace("AS content", "|| CASE WHEN lang = 'de' THEN ' and more.' ELSE '' END AS content").replace("FROM documents", "FROM documents WHERE lang <> 'fr'")
+
+
+@query(f"""WITH a AS ({INDEXED} SELECT path, path || '#chunk-' || chunk_index AS chunk_id, sha256(chunk) AS hash FROM chunked WHERE path NOT IN (SELECT path FROM bad)),
+b AS ({INDEXED.replace(S.SQL['notes'], LATER)} SELECT path, path || '#chunk-' || chunk_index AS chunk_id, sha256(chunk) AS hash, path IN (SELECT path FROM bad) AS failed FROM chunked),
+c AS (SELECT count(DISTINCT path) AS errors FROM b WHERE failed)
+SELECT chunk_id, hash, (SELECT count(*) FROM documents WHERE lang <> 'fr') - errors AS indexed, errors FROM (
+  SELECT chunk_id, hash FROM b WHERE NOT failed UNION ALL SELECT chunk_id, hash FROM a WHERE path IN (SELECT path FROM b WHERE failed)), c""")
+def reindex_all(spark: SparkSession, d: str) -> DataFrame:
+    kept, notes = indexing.NoteIndex(spark, scratch.folder(spark), measures, 2), S.notes(spark, d)
+    kept.reindex(notes)
+    later = notes.where("tag <> 'fr'").withColumn("content", F.concat("content", F.when(F.col("tag") == "de", " and more.").otherwise("")))
+    counts = kept.reindex(later)
+    return kept.store.read().select("chunk_id", F.sha2("chunk", 256).alias("hash"), F.lit(counts["indexed"]).cast("long").alias("indexed"), F.lit(counts["errors"]).cast("long").alias("errors"))
 
 
 #: An index's steps from events: (index, seq, step, pending)

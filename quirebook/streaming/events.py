@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
 
@@ -13,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
 
+from quirebook.sources import scratch
+
 DELAY, WATERMARK = "5 seconds", "10 seconds"
 
 
@@ -97,14 +97,8 @@ def debounce_stream(events: DataFrame, seconds: float = 5, watermark: str = WATE
 
 
 def drained(stream: DataFrame, spark: SparkSession) -> DataFrame:
-    """All that a stream gives up to the present end of its sources, from files below spark.checkpoint.dir, which every
-    executor sees; without that setting, a local session takes a folder of its own."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        shared = tempfile.mkdtemp(prefix="quirebook-")
-    folder = f"{shared.rstrip('/')}/quirebook-{uuid.uuid4().hex}"
+    """All that a stream gives up to the present end of its sources, from files below spark.checkpoint.dir."""
+    folder = scratch.folder(spark)
     stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start(f"{folder}/rows").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
@@ -114,15 +108,16 @@ def last_ops(events: DataFrame) -> DataFrame:
     return events.groupBy("path").agg(F.max_by("op", F.struct("ts", "seq")).alias("op"), F.min("seq").alias("first_seq"))
 
 
-def apply_to(store, contents: Callable[[DataFrame], DataFrame]):
+def apply_to(store, contents: Callable[[DataFrame], DataFrame], name: str):
     """A function for foreachBatch: of each path's due events the last counts; deletes leave the store, and for upserts
-    contents(paths) gives the current rows (a path without a row is dropped). A micro-batch is one commit."""
+    contents(paths) gives the current rows (a path without a row is dropped). A micro-batch is one commit under the
+    stream's name and the batch's id, so that one which is run again after a failure isn't a second commit."""
 
-    def run(batch: DataFrame, _: int) -> None:
+    def run(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         try:
             ops = batch.groupBy("path").agg(F.max_by("op", F.struct("due", "seq")).alias("op"))
-            store.apply(contents(ops.where("op = 'upsert'").select("path")), ops.select("path"))
+            store.apply(contents(ops.where("op = 'upsert'").select("path")), ops.select("path"), (name, number))
         finally:
             batch.unpersist()
 

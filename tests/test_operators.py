@@ -140,18 +140,6 @@ def test_edits_and_trash(spark):
     assert left.count() == 2 and moved.first().path == "a"
 
 
-def test_store(spark, tmp_path):
-    store = mutation.Store(spark, str(tmp_path / "s"), "path string, content string", buckets=4)
-    assert store.read().count() == 0
-    store.upsert(vault_of(spark, [(f"n/{i}", "v1") for i in range(30)]))
-    store.upsert(vault_of(spark, [("n/3", "v2"), ("m/1", "v1")]))
-    store.delete(vault_of(spark, [("n/4", ""), ("missing", "")]))
-    rows = {r.path: r.content for r in store.read().collect()}
-    assert len(rows) == 30 and rows["n/3"] == "v2" and "n/4" not in rows
-    assert store.get("m/1").first().content == "v1" and store.by_prefix("m/").count() == 1
-    assert store.recent("path", 2).first().path == "n/9"
-
-
 def test_history_and_context(spark):
     rows = [("s", i, "user", "x" * 100) for i in range(5)] + [("t", 0, "user", "y" * 4000)]
     messages = spark.createDataFrame(rows, "session_id string, ord int, role string, content string")

@@ -2,7 +2,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from quirebook.operators.mutation import Store
+from quirebook.operators.store import Store
 from quirebook.streaming import events as E
 
 T0 = datetime(2024, 1, 1)
@@ -66,5 +66,8 @@ def test_due_events_reach_the_store(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"), "path string, content string", buckets=3)
     store.upsert(spark.createDataFrame([("gone", "old"), ("foo", "old"), ("kept", "old")], "path string, content string"))
     now = spark.createDataFrame([("foo", "new"), ("bar", "new")], "path string, content string")
-    E.apply_to(store, lambda paths: now.join(paths, "path", "left_semi"))(E.debounce(frame(spark)), 0)
+    run = E.apply_to(store, lambda paths: now.join(paths, "path", "left_semi"), "events")
+    run(E.debounce(frame(spark)), 0)
+    run(E.debounce(frame(spark)), 0)  # the same batch again
+    assert store.version() == 2
     assert {r.path: r.content for r in store.read().collect()} == {"foo": "new", "bar": "new", "kept": "old"}
