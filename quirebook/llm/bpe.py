@@ -66,11 +66,19 @@ class MergeList:
         symbols = byte_symbols()
         self.inner = [self.ids[s] for s in symbols]
         self.final = [self.ids[s + self.end] for s in symbols]
+        of, marks = {s: b for b, s in enumerate(symbols)}, set(self.special.values())
+        #: The bytes that a token stands for, a space for a word's end; control tokens have none.
+        self.bytes = {i: self._bytes(t, of) for i, t in self.strings.items() if i not in marks}
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, (a, b) in enumerate(map(tuple, model["merges"])):
             self.merges[self.ids[a], self.ids[b]] = (rank, self.ids[a + b])
         self.lookahead = self._lookahead()
 
+    def _bytes(self, token: str, of: dict[str, int]) -> bytes:
+        ends = bool(self.end) and token.endswith(self.end)
+        token = token[: -len(self.end)] if ends else token
+        return bytes(map(of.__getitem__, token)) + b" " * ends
+
     def length(self, token: int) -> int:
         text = self.strings[token]
         return len(text) - (len(self.end) if self.end and text.endswith(self.end) and len(text) > len(self.end) else 0)
@@ -192,37 +200,38 @@ class Decoder:
     def __init__(self, merges: MergeList, pieces: bool = False):
         self.merges, self.pieces, self.first = merges, pieces, True
         self.bytes = codecs.getincrementaldecoder("utf-8")(errors="replace")
-        self.of = {s: b for b, s in enumerate(byte_symbols())}
 
     def feed(self, ids: Sequence[int]) -> str:
         if self.pieces:
             text = " ".join(map(self.merges.strings.__getitem__, ids))
             text, self.first = (text if self.first or not len(ids) else " " + text), self.first and not len(ids)
             return text
-        return "".join(map(self._text, ids))
+        try:
+            return self.bytes.decode(b"".join(map(self.merges.bytes.__getitem__, ids)))
+        except KeyError:  # a control token is among them
+            return "".join(map(self._text, ids))
 
     def _text(self, i: int) -> str:
-        token = self.merges.strings[i]
-        if i in self.merges.special.values():
-            text = self.bytes.decode(b"", True) + token
-            self.bytes.reset()
-            return text
-        ends = bool(self.merges.end) and token.endswith(self.merges.end)
-        token = token[: -len(self.merges.end)] if ends else token
-        return self.bytes.decode(bytes(map(self.of.__getitem__, token))) + (" " if ends else "")
+        if i in self.merges.bytes:
+            return self.bytes.decode(self.merges.bytes[i])
+        text = self.bytes.decode(b"", True) + self.merges.strings[i]
+        self.bytes.reset()
+        return text
 
     def finish(self) -> str:
         return "" if self.pieces else self.bytes.decode(b"", True)
 
 
-def decoded_digest(merges: MergeList, packed: bytes) -> str:
-    """The digest of what packed ids decode to, PIECE ids at a time."""
-    decoder, digest = Decoder(merges, pieces=True), hashlib.sha256()
-    ids = np.frombuffer(packed, "<u4")
-    for at in range(0, len(ids), PIECE):
-        digest.update(decoder.feed(ids[at : at + PIECE].tolist()).encode())
-    digest.update(decoder.finish().encode())
-    return digest.hexdigest()
+def decoded_digests(merges: MergeList, packed: bytes) -> tuple[str, str]:
+    """Digests of what packed ids decode to, PIECE ids at a time: as the tokenizer's own decode, and as text."""
+    ids, made = np.frombuffer(packed, "<u4"), []
+    for pieces in (True, False):
+        decoder, digest = Decoder(merges, pieces), hashlib.sha256()
+        for at in range(0, len(ids), PIECE):
+            digest.update(decoder.feed(ids[at : at + PIECE].tolist()).encode())
+        digest.update(decoder.finish().encode())
+        made.append(digest.hexdigest())
+    return made[0], made[1]
 
 
 def _loaded(df: DataFrame, path: str | None):
@@ -232,8 +241,8 @@ def _loaded(df: DataFrame, path: str | None):
 
 
 def encode(docs: DataFrame, path: str | None = None, ids: bool = True, digests: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids array<int>) for each row of docs, and with digests also ids_sha256 and decoded_sha256,
-    the latter of the text that decoding the ids gives."""
+    """(doc_id, n_tokens, ids array<int>) for each row of docs, and with digests also ids_sha256, decoded_sha256 (of the
+    text that the tokenizer's own decode gives) and text_sha256 (of the text that the byte-to-text decoder gives)."""
     config = _loaded(docs, path)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -251,10 +260,11 @@ def encode(docs: DataFrame, path: str | None = None, ids: bool = True, digests:
                     columns["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
                 if digests:
                     columns["ids_sha256"] = pa.array([hashlib.sha256(p).hexdigest() for p in found])
-                    columns["decoded_sha256"] = pa.array([decoded_digest(merges, p) for p in found])
+                    both = [decoded_digests(merges, p) for p in found]
+                    columns["decoded_sha256"], columns["text_sha256"] = (pa.array([b[i] for b in both], pa.string()) for i in (0, 1))
                 yield pa.RecordBatch.from_pydict(columns)
 
-    schema = f"doc_id {kind}, n_tokens long" + ", ids array<int>" * ids + ", ids_sha256 string, decoded_sha256 string" * digests
+    schema = f"doc_id {kind}, n_tokens long" + ", ids array<int>" * ids + ", ids_sha256 string, decoded_sha256 string, text_sha256 string" * digests
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 

@@ -68,7 +68,7 @@ def learn(labelled: DataFrame) -> tuple[dict[str, bytes], dict[str, int]]:
     priors = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not priors:
         return {}, {}
-    drawn = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    drawn = F.pmod(F.xxhash64(F.lit(1), "doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
     share = F.create_map(*(F.lit(x) for name, n in priors.items() for x in (name, min(1.0, SAMPLE_DOCS / n))))
     place = F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.greatest(F.length("text") - SLICE, F.lit(0)) + 1)
     sample = rows.where(drawn < share[F.col("lang")]).select("lang", F.substr("text", place.cast("int") + 1, F.lit(SLICE)).alias("part"), drawn.alias("drawn"))

@@ -4,7 +4,9 @@ Three base patterns always count. Beyond them, the text is read as source and co
 name and a literal: assignments with or without a type (name = literal, name: str = literal, name: literal, "name":
 literal, name := literal, name => literal), options (--name=literal), calls with a name and a default (getenv("NAME",
 literal)), XML elements (<name>literal</name>), indented blocks after name: | or name: >, and strings over several lines
-(triple quotes, backticks). Passwords in URLs and private keys between their BEGIN and END lines are literals of a
+(triple quotes, backticks). Where a value begins with a bracket, a call or a condition, or on the next line, its tokens are
+read with their brackets up to its end, and all strings in it are literals of the name, or of the names that arguments
+and elements have themselves. Passwords in URLs and private keys between their BEGIN and END lines are literals of a
 sensitive name by themselves. Literals joined with + are read as one.
 
 Names that hold a literal are constants; an assignment from a constant (X, $X, ${X}, or ${X} inside a string) passes its
@@ -25,6 +27,7 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +53,9 @@ _TYPE = r"(?:[ \t]*+:[ \t]*+[A-Za-z_][A-Za-z0-9_.\[\]|, \t]*+(?==))?"
 #: A bare value: a reference or an unquoted literal.
 _BARE = r"""[^\s"'`;,(){}\[\]<>#]++"""
 _PAIR = re.compile(rf"""(?s)(?<![A-Za-z0-9_.$-])(?:--)?["']?({_NAME})["']?{_TYPE}[ \t]*(?::=|=>|==?|:(?!//))[ \t]*((?:{_STRING}|\$\{{{_NAME}\}}|{_BARE})(?:[ \t]*\+[ \t]*(?:{_STRING}|{_NAME}))*)""")
+#: A name whose value begins with a bracket, with a call, with a condition of up to 200 characters, or on the next line.
+_OPENING = re.compile(rf"""(?<![A-Za-z0-9_.$-])["']?({_NAME})["']?{_TYPE}[ \t]*+(?::=|=>|=(?!=)|:(?!//))[ \t]*+(?=[(\[\n]|[A-Za-z_$][A-Za-z0-9_.$]*+[ \t]*+[(\[]|[^\n"'`?]{{1,200}}+\?)""")
+_TOKEN = re.compile(rf"""(?s)(?P<string>{_STRING})|(?P<name>{_NAME})|(?P<assign>:=|=>|=(?!=)|:)|(?P<more>[+?])|(?P<open>[(\[])|(?P<close>[)\]])|(?P<line>\n)|(?P<comma>,)|(?P<end>[;{{}}])|[^\S\n]++|.""")
 _CALL = re.compile(rf"""(?s)\(\s*+["']({_NAME})["']\s*+,\s*+({_STRING})""")
 _BLOCK = re.compile(rf"""(?m)^([ \t]*+)["']?({_NAME})["']?[ \t]*+:[ \t]*+[|>][+-]?[ \t]*+\n((?:\1[ \t]++[^\n]*+(?:\n|\Z))++)""")
 _XML = re.compile(rf"<({_NAME})>([^<>\n]++)</\1>")
@@ -106,11 +112,62 @@ def _pairs(text: str) -> list[tuple[str, int, str]]:
     if "=" in text or ":" in text:
         found += [(m[1], m.start(2), m[2]) for m in _PAIR.finditer(text)]
         found += [(m[2], m.start(3), f'"{m[3]}"') for m in _BLOCK.finditer(text)] if "|" in text or ">" in text else []
+        found += _expressions(text) if any(q in text for q in "\"'`") else []
     found += [(m[1], m.start(2), m[2]) for m in _CALL.finditer(text)] if "(" in text else []
     found += [(m[1], m.start(2), f'"{m[2]}"') for m in _XML.finditer(text)] if "</" in text else []
     return found
 
 
+def _expressions(text: str) -> list[tuple[int, int, str]]:
+    """(name, place, value) of the strings, and of the names that aren't called, in values that brackets, calls or
+    conditions hold. A bracket's content belongs to the name that it is the value of, up to a name of its own in it; a
+    value ends with its line, but within brackets, after + or ?, and before anything was read. Read once from left to right."""
+    found, done = [], 0
+    for opening in _OPENING.finditer(text):
+        if opening.start() < done:
+            continue
+        names, held, last, asked = [opening[1]], None, None, False
+        for m in _TOKEN.finditer(text, opening.end()):
+            kind, done = m.lastgroup, m.end()
+            if kind is None and m[0].isspace():
+                continue
+            if kind == "string":
+                if held and last in ("string", "line", "more") and found and found[-1][0] == names[-1]:
+                    found[-1] = (names[-1], held, text[held : m.end()])  # strings that follow each other are one
+                else:
+                    held = m.start()
+                    found.append((names[-1], held, m[0]))
+                last = kind
+                continue
+            if kind == "line":
+                if len(names) == 1 and last not in (None, "more"):
+                    break
+                continue
+            if kind == "name" and len(names) > 1 and not text[m.end() : m.end() + 1] == "(":
+                found.append((names[-1], m.start(), m[0]))
+            elif kind == "assign" and len(names) == 1 and not asked or kind == "end":
+                break
+            elif kind == "assign" and len(names) > 1 and last == "name":
+                if found and found[-1][1:] == (before.start(), before[0]):
+                    found.pop()
+                names[-1] = before[0]
+            elif kind == "open":
+                names.append(names[-1])
+            elif kind == "close":
+                if len(names) == 1:
+                    break
+                names.pop()
+            elif kind == "comma":
+                if len(names) == 1:
+                    break
+                names[-1] = names[-2]
+            asked |= m[0] == "?"
+            if kind != "more":
+                held = None
+            before, last = m, kind
+    return found
+
+
 def literal_spans(text: str) -> list[tuple[int, int]]:
     """Literals that are scored at THRESHOLD or more, by the most sensitive name that they reach."""
     held: dict[tuple[int, str], list[tuple[int, int, str]]] = {}  # literals of a name in its scope
@@ -162,7 +219,10 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     """Base spans and all spans, as (start, number of kind, end) in order."""
     text = text or ""
     base = base_spans(text)
-    more = [(a, 3, b) for a, b in literal_spans(text) if not any(s <= a and b <= e for s, _, e in base)]
+    starts, furthest = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
+    # of the base spans that begin at a literal's start or before, the one that ends last
+    inside = lambda a, b: (i := bisect_right(starts, a)) and furthest[i - 1] >= b
+    more = [(a, 3, b) for a, b in literal_spans(text) if not inside(a, b)]
     return base, sorted(base + more)
 
 

@@ -1,7 +1,7 @@
-import time
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,3 +123,45 @@ def test_long_and_broken_syntax_takes_time_in_proportion():
         began = time.monotonic()
         secrets.scan(text)
         assert time.monotonic() - began < 10, text[:20]
+
+
+def test_many_base_spans_and_literals_in_one_text_take_linear_time():
+    line = 'secret: value77\ncredential = "kR8#vQ2!mZ5@tW9$"\n'
+    took = []
+    for n in (5_000, 50_000):
+        began = time.perf_counter()
+        base, spans = secrets.scan(line * n)
+        took.append(time.perf_counter() - began)
+        assert len(base) == n and len(spans) == 2 * n
+    assert took[1] < 25 * took[0]
+
+
+@pytest.mark.parametrize("text", [
+    'credential = f("{x}")', 'credential := getenv("X", "{x}")', 'credential = ok ? "{x}" : null', 'credential = (\n  "{x}"\n)', 'credential:\n  "{x}"\n',
+    'keys = ["{x}", "b"]\ncredential = keys', 'run(credential=g("{x}"), other=1)', 'credential = wrap(decode("{x}"), 3)', 'credential = [\n "a",\n "{x}",\n]', 'raw = f("{x}")\ncredential = decode(raw)',
+])
+def test_values_in_brackets_calls_and_conditions(text):
+    value = "kR8#vQ2!mZ5@tW9$"
+    text = text.replace("{x}", value)
+    at = text.index(value)
+    assert (at, at + len(value)) in secrets.literal_spans(text)
+
+
+def test_strings_that_follow_each_other_are_one():
+    text = 'credential = (\n  "kR8#vQ2!"\n  "mZ5@tW9$"\n)'
+    assert secrets.literal_spans(text) == [(text.index("kR8"), text.index("9$") + 2)]
+
+
+@pytest.mark.parametrize("text", ['title = f("kR8#vQ2!mZ5@tW9$")', 'credential: see below\ntitle: "kR8#vQ2!mZ5@tW9$"', 'credential = f(x)\n"kR8#vQ2!mZ5@tW9$"', 'run(credential=1, title="kR8#vQ2!mZ5@tW9$")', 'credential = {}\nf("kR8#vQ2!mZ5@tW9$")'])
+def test_values_end(text):
+    assert secrets.literal_spans(text) == []
+
+
+def test_brackets_take_linear_time():
+    took = []
+    for n in (5_000, 50_000):
+        began = time.perf_counter()
+        for text in ("a = (" * n, "a = f(" * n + '"x"', "a:\n" * n, 'f(a = g("v' + 'w" ' * n, "a = b ? " * n, "x = [" + '"s", ' * n):
+            secrets.literal_spans(text)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 30 * took[0]
