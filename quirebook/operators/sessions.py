@@ -86,7 +86,11 @@ def parse_sse(streams: DataFrame) -> DataFrame:
     """(stream_id, ord, content, reasoning, tool_calls, finish, usage) for each data line of streams (stream_id, raw):
     frames are parted by blank lines; what isn't JSON is skipped, and [DONE] ends a frame."""
     lines = F.filter(F.split("raw", "\n"), lambda x: x.startswith("data: ") & (T.trim(x) != "data: [DONE]"))
-    each = streams.select("stream_id", F.posexplode(F.transform(lines, lambda x: F.substr(x, F.lit(7)))).alias("ord", "line"))
+    return parsed_lines(streams.select("stream_id", F.posexplode(F.transform(lines, lambda x: F.substr(x, F.lit(7)))).alias("ord", "line")))
+
+
+def parsed_lines(each: DataFrame) -> DataFrame:
+    """The same for the lines of data themselves (stream_id, ord, line), in a batch or a stream."""
     parsed = each.where(F.try_parse_json("line").isNotNull()).withColumn("e", F.from_json("line", SSE))
     first = F.get(F.col("e.choices"), F.lit(0))
     return parsed.select("stream_id", F.col("ord").cast("long").alias("ord"), first["delta"]["content"].alias("content"), first["delta"]["reasoning_content"].alias("reasoning"), first["delta"]["tool_calls"].alias("tool_calls"), first["finish_reason"].alias("finish"), F.col("e.usage").alias("usage"))

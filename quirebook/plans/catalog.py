@@ -12,6 +12,7 @@ from quirebook.operators import chunking, fusion, grep, lexical, mutation, searc
 from quirebook.sources import files, scratch
 from quirebook.sources import tables as S
 from quirebook.streaming import events as E
+from quirebook.streaming import flows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -611,11 +612,14 @@ def context_block(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH e AS (SELECT event_id, user_id % 50 AS stream_id, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) - 1 AS pos, event_type FROM events)
 SELECT stream_id, pos AS ord, event_type AS content, CASE WHEN event_id % 10 = 0 THEN 'stop' END AS finish FROM e WHERE event_id % 7 <> 0""")
 def sse_parse(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.parse_sse(sse_streams(spark, d)).select("stream_id", "ord", "content", "finish")
+
+
+def sse_streams(spark: SparkSession, d: str) -> DataFrame:
     finish = F.when(F.col("event_id") % 10 == 0, F.lit(',"finish_reason":"stop"')).otherwise(F.lit(""))
     line = F.when(F.col("event_id") % 7 == 0, F.lit("data: {broken")).otherwise(F.concat(F.lit('data: {"choices":[{"delta":{"content":"'), "event_type", F.lit('"}'), finish, F.lit("}]}")))
     lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", line.alias("line")))), lambda x: x["line"]), "\n\n")
-    streams = S.table(spark, d, "events").groupBy((F.col("user_id") % 50).alias("stream_id")).agg(F.concat(lines, F.lit("\n\ndata: [DONE]")).alias("raw"))
-    return sessions.parse_sse(streams).select("stream_id", "ord", "content", "finish")
+    return S.table(spark, d, "events").groupBy((F.col("user_id") % 50).alias("stream_id")).agg(F.concat(lines, F.lit("\n\ndata: [DONE]")).alias("raw"))
 
 
 MODELS = (("chat-large", 64000), ("chat-", 32000), ("chat-large-2", 128000))
@@ -688,10 +692,28 @@ def set_difference(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH q AS (SELECT event_id AS id, user_id, ts, event_type FROM events WHERE event_id % 2 = 0), r AS (SELECT event_id - 1 AS id, ts, event_type FROM events WHERE event_id % 6 = 1)
 SELECT q.id, CASE WHEN r.id IS NULL THEN 'timeout' WHEN r.ts < q.ts OR r.ts > q.ts + INTERVAL 60 SECONDS THEN 'timeout' ELSE r.event_type END AS answer FROM q LEFT JOIN r USING (id)""")
 def request_response(spark: SparkSession, d: str) -> DataFrame:
-    events = S.table(spark, d, "events")
+    return E.answered(*asked_and_answered(spark, d), 60)
+
+
+def asked_and_answered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    events = S.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     asked = events.where("event_id % 2 = 0").select(F.col("event_id").alias("id"), "ts")
-    answered = events.where("event_id % 6 = 1").select((F.col("event_id") - 1).alias("id"), "ts", F.col("event_type").alias("answer"))
-    return E.answered(asked, answered, 60)
+    return asked, events.where("event_id % 6 = 1").select((F.col("event_id") - 1).alias("id"), "ts", F.col("event_type").alias("answer"))
+
+
+@query(ORACLE_SQL["request_response"])
+def request_response_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same from two streams in several micro-batches, run until the watermark has passed all."""
+    asked, answers = (flows.replayed(flows.closed(x, -1 - i), "ts") for i, x in enumerate(asked_and_answered(spark, d)))
+    return E.drained(flows.answered_stream(asked, answers, 60), spark).where("id >= 0")
+
+
+@query(ORACLE_SQL["sse_parse"])
+def sse_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The frames of sse_parse, from a stream of pieces of 1 to 40 bytes."""
+    flows.rocks(spark)
+    lines = flows.sse_lines(flows.replayed(flows.chunked(sse_streams(spark, d)), "seq"))
+    return E.drained(sessions.parsed_lines(lines).select("stream_id", "ord", "content", "finish"), spark)
 
 
 @query("""WITH c AS (SELECT event_id, user_id AS session_id, CASE event_type WHEN 'click' THEN 'read_note' WHEN 'view' THEN 'write_note' ELSE 'custom' END AS tool, 'n-' || user_id AS path FROM events)

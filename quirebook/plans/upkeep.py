@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from quirebook.functions import text as T
 from quirebook.operators import grep, indexing, mutation, sessions, tokenizer, vault, vectors
-from quirebook.plans.catalog import CHUNKS, query
+from quirebook.plans.catalog import CHUNKS, ORACLE_SQL, query
 from quirebook.sources import scratch
 from quirebook.sources import tables as S
 from quirebook.streaming import events as E
+from quirebook.streaming import flows
 
 # --- notes -----------------------------------------------------------------------------------------------------------
 
@@ -142,9 +143,20 @@ def index_states(spark: SparkSession, d: str) -> DataFrame:
 w AS (SELECT *, CASE WHEN (SELECT max_by(b.kind, b.seq) FROM q b WHERE b.index = q.index AND b.kind <> 'event' AND b.seq < q.seq) = 'pause' THEN (SELECT min(a.seq) FROM q a WHERE a.index = q.index AND a.kind = 'resume' AND a.seq > q.seq) ELSE seq END AS due FROM q WHERE kind = 'event')
 SELECT index, due, path, max_by(op, seq) AS op FROM w GROUP BY index, due, path""")
 def queue_paused(spark: SparkSession, d: str) -> DataFrame:
+    return indexing.held(queue_log(spark, d))
+
+
+@query(f"SELECT * FROM ({ORACLE_SQL['queue_paused']}) WHERE due IS NOT NULL")
+def queue_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same from a stream in several micro-batches; what waits for a resume at its end isn't given."""
+    flows.rocks(spark)
+    return E.drained(flows.queue_stream(flows.replayed(queue_log(spark, d), "seq")), spark).select("index", "due", "path", "op")
+
+
+def queue_log(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("step").isin("pause", "resume"), F.col("step")).otherwise("event")
     rows = log(spark, d).select("index", "seq", kind.alias("kind"), F.concat(F.lit("n-"), (F.col("seq") % 5).cast("string")).alias("path"), F.when(F.col("step") == "failed", "delete").otherwise("upsert").alias("op"))
-    return indexing.held(rows)
+    return rows
 
 
 @query("SELECT event_id, CASE WHEN event_type = 'view' AND user_id % 2 = 0 THEN NULL ELSE 'INDEX_NOT_READY' END AS error FROM events")
@@ -164,7 +176,7 @@ def index_progress(spark: SparkSession, d: str) -> DataFrame:
 SELECT path, seq, op FROM e WHERE op = 'delete' OR (following IS NULL OR following > ts + INTERVAL 1 HOUR) AND ts + INTERVAL 1 HOUR + INTERVAL 10 SECONDS < (SELECT max(ts) FROM events)""")
 def stream_debounce(spark: SparkSession, d: str) -> DataFrame:
     """The stateful stream over the events' file, run to its end; upserts not yet due at the last watermark still wait."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    flows.rocks(spark)
     events = spark.readStream.schema(S.table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet*").parquet(d)
     ops = events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.concat(F.lit("user-"), F.col("user_id").cast("string"), F.lit(".md")).alias("path"), F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("op"))
     return E.drained(E.debounce_stream(ops, 3600), spark).select("path", "seq", "op")

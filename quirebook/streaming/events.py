@@ -116,6 +116,7 @@ def apply_to(store, contents: Callable[[DataFrame], DataFrame], name: str):
     def run(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         try:
+            batch.count()  # a stateful stream's batch has to be worked out whole, also where the store passes it over
             ops = batch.groupBy("path").agg(F.max_by("op", F.struct("due", "seq")).alias("op"))
             store.apply(contents(ops.where("op = 'upsert'").select("path")), ops.select("path"), (name, number))
         finally:
