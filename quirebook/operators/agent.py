@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import math
+import time
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark import InheritableThread
+from pyspark.sql import SparkSession
+
+#: Seconds that work which was told to stop is waited for.
+GRACE = 10
 MOST_STEPS = 50
 READ_ONLY = {"read_note", "list_files", "glob", "grep", "search_vault"}
 #: Reads are allowed, changes are asked for.
@@ -80,9 +88,52 @@ def hooks_deny(hooks: Iterable[Callable[[str, dict], str | None]], name: str, ar
     return None
 
 
-def run(model: Callable[[list[dict]], dict], tools: Tools, message: str, gate: Gate | None = None, hooks: Iterable[Callable] = (), steps: int = MOST_STEPS, cancelled: Callable[[], bool] = lambda: False) -> Iterator[dict]:
+class Cancelled(RuntimeError):
+    pass
+
+
+def limited(spark: SparkSession, seconds: float | None = None, cancelled: Callable[[], bool] = lambda: False, every: float = 0.05) -> Callable[[Callable[[], Any]], Any]:
+    """A function that runs work() and stops its Spark jobs after `seconds` (TimeoutError) or when cancelled() is true
+    (Cancelled). Jobs are known by a tag, also those that work starts after it was stopped; other work goes on."""
+    context = spark.sparkContext
+
+    def within(work: Callable[[], Any]) -> Any:
+        tag, made, until = f"quirebook-{uuid.uuid4().hex}", {}, time.monotonic() + (seconds if seconds is not None else math.inf)
+
+        def tagged() -> None:
+            context.addJobTag(tag)
+            try:
+                made["result"] = work()
+            except BaseException as error:  # noqa: BLE001  is raised below
+                made["error"] = error
+            finally:
+                context.removeJobTag(tag)
+
+        thread = InheritableThread(target=tagged, daemon=True)
+        thread.start()
+        stopped = None
+        while thread.is_alive():
+            thread.join(every)
+            now = time.monotonic()
+            if thread.is_alive() and stopped is None and (cancelled() or now > until):
+                stopped, until = Cancelled("cancelled") if cancelled() else TimeoutError(f"stopped after {seconds} seconds"), now + GRACE
+            if thread.is_alive() and stopped:
+                context.cancelJobsWithTag(tag)
+                if now > until:
+                    break  # work outside of Spark can't be stopped, but isn't waited for
+        if stopped:
+            raise stopped
+        if "error" in made:
+            raise made["error"]
+        return made["result"]
+
+    return within
+
+
+def run(model: Callable[[list[dict]], dict], tools: Tools, message: str, gate: Gate | None = None, hooks: Iterable[Callable] = (), steps: int = MOST_STEPS, cancelled: Callable[[], bool] = lambda: False, within: Callable[[Callable[[], Any]], Any] = lambda work: work()) -> Iterator[dict]:
     """Events of one answer. model(messages) gives {"text", "calls": [(id, name, args)], "finish"}; calls run in order,
-    and their results go back to it until it asks for none. There is always one last `end`, with the messages to save."""
+    and their results go back to it until it asks for none. There is always one last `end`, with the messages to save.
+    Model and tools run by within(work), see `limited`."""
     gate, messages = gate or Gate(), [{"role": "user", "content": message}]
     yield {"type": "start"}
     for step in range(steps + 1):
@@ -94,7 +145,13 @@ def run(model: Callable[[list[dict]], dict], tools: Tools, message: str, gate: G
             yield {"type": "error", "code": "STEP_LIMIT"}
             break
         try:
-            answer = model(messages)
+            answer = within(lambda: model(messages))
+        except Cancelled:
+            yield {"type": "error", "code": "CANCELLED"}
+            break
+        except TimeoutError as error:
+            yield {"type": "error", "code": "TIMEOUT", "message": str(error)}
+            break
         except Exception as error:  # noqa: BLE001
             yield {"type": "error", "code": "LLM_ERROR", "message": str(error)}
             break
@@ -118,7 +175,10 @@ def run(model: Callable[[list[dict]], dict], tools: Tools, message: str, gate: G
                 result = {"error": denied}
             else:
                 try:
-                    result = tools.execute(name, args)
+                    result = within(lambda name=name, args=args: tools.execute(name, args))
+                except TimeoutError as error:
+                    yield {"type": "error", "code": "TIMEOUT", "message": str(error)}
+                    result = {"error": str(error)}
                 except Exception as error:  # noqa: BLE001
                     yield {"type": "error", "code": getattr(error, "code", "TOOL_ERROR"), "message": str(error)}
                     result = {"error": str(error)}

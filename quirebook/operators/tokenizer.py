@@ -36,19 +36,41 @@ def basic_tokens(text: str) -> list[str]:
     return re.findall("[㐀-䶿一-龥]|[A-Za-z0-9_]+", plain)
 
 
-def word_pieces(word: str, vocabulary: dict[str, int], unknown: int) -> list[int]:
-    """Greedy longest pieces; where none fits, one unknown token ends the word, after the pieces so far."""
-    out, at = [], 0
-    while at < len(word):
-        for end in range(len(word), at, -1):
-            piece = vocabulary.get(word[at:end] if not at else "##" + word[at:end])
-            if piece is not None:
-                out.append(piece)
-                at = end
-                break
-        else:
-            return [*out, unknown]
-    return out
+class Pieces:
+    """A vocabulary as two tries, of the pieces that begin a word and of those that go on (##). Finding a word's pieces
+    takes at most the longest piece's length a character."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        self.first: dict = {}
+        self.later: dict = {}
+        for token, number in vocabulary.items():
+            self._add(self.first, token, number)
+            if token.startswith("##"):
+                self._add(self.later, token[2:], number)
+        self.unknown = vocabulary.get("[UNK]", SPECIAL["[UNK]"])
+
+    @staticmethod
+    def _add(node: dict, token: str, number: int) -> None:
+        for character in token:
+            node = node.setdefault(character, {})
+        node[""] = number
+
+    def of(self, word: str) -> list[int]:
+        """Greedy longest pieces; where none fits, one unknown token ends the word, after the pieces so far."""
+        out, at = [], 0
+        while at < len(word):
+            node, found, end = self.later if at else self.first, None, at
+            for i in range(at, len(word)):
+                node = node.get(word[i])
+                if node is None:
+                    break
+                if "" in node:
+                    found, end = node[""], i + 1
+            if found is None:
+                return [*out, self.unknown]
+            out.append(found)
+            at = end
+        return out
 
 
 def tokenize(texts: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
@@ -57,10 +79,9 @@ def tokenize(texts: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
     kind = texts.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
-        unknown = words.get("[UNK]", SPECIAL["[UNK]"])
+        pieces = Pieces(shared.value)
         for batch in batches:
-            ids = [[i for w in basic_tokens(t.as_py() or "") for i in word_pieces(w, words, unknown)] for t in batch.column(1)]
+            ids = [[i for w in basic_tokens(t.as_py() or "") for i in pieces.of(w)] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["key", "ids"])
 
     return texts.select("key", "content").mapInArrow(run, f"key {kind}, ids array<int>")

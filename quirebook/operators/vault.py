@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirebook.functions import text as T
+from quirebook.operators import vectors
 
 
 def glob(notes: DataFrame, pattern: str, folder: str = "") -> DataFrame:
@@ -75,3 +76,19 @@ def within_two_steps(links: DataFrame) -> DataFrame:
     two = one.alias("a").join(one.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
     every = one.withColumn("steps", F.lit(1)).union(two.withColumn("steps", F.lit(2))).where("src <> dst")
     return every.groupBy("src", "dst").agg(F.min("steps").cast("long").alias("steps"))
+
+
+#: Suggested links of a note, and the cosine of one at least.
+SUGGESTIONS, CONFIDENCE = 5, 0.75
+
+
+def suggest_links(vectors_: DataFrame, links: DataFrame, k: int = SUGGESTIONS, least: float = CONFIDENCE) -> DataFrame:
+    """An extra: (path, other, confidence, rank): notes (path, vector) that a note is most like and has no link to among
+    links (src, dst)."""
+    linked = links.select("src", "dst").distinct()
+    most = linked.groupBy("src").count().agg(F.max("count")).first()[0] or 0
+    # so many more are looked for that those linked already can be left out
+    found = vectors.similar_pairs(vectors_.select(F.col("path").alias("key"), "vector"), k + most, least)
+    fresh = found.join(linked, (F.col("key") == F.col("src")) & (F.col("other") == F.col("dst")), "left_anti")
+    order = Window.partitionBy("key").orderBy("rank")
+    return fresh.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select(F.col("key").alias("path"), "other", F.col("score").alias("confidence"), F.col("place").cast("long").alias("rank"))

@@ -126,3 +126,53 @@ def in_asked_order(answers: DataFrame) -> DataFrame:
     """(batch, pos, value): the parts (index, value) of each batch's answer in the order of their index, which a
     service need not keep."""
     return answers.select("batch", F.posexplode(F.transform(F.array_sort("parts"), lambda p: p["value"])).alias("pos", "value"))
+
+
+def similar_pairs(items: DataFrame, k: int, least: float, size: int = 2048, groups: int = 8) -> DataFrame:
+    """(key, other, score, rank): of each item (key, vector) the k others of the highest cosine, those of `least` or more;
+    scores are rounded to nine digits, equal ones go by key. Null vectors have no partner.
+
+    Items are packed into blocks of up to `size` vectors, and blocks into groups. A grid of groups x groups cells gets each
+    block once a row and once a column of cells, and a cell multiplies its blocks pair by pair: a row is a pair of blocks,
+    and of its products only the k best of each item leave it. More data want more groups."""
+    kind = items.schema["key"].dataType.simpleString()
+    key_type = to_arrow_type(items.schema["key"].dataType)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                keys = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+                yield pa.RecordBatch.from_arrays([keys, pa.array([x.tobytes()])], ["keys", "x"])
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                keys, others = batch.column(0)[row].values, batch.column(2)[row].values
+                x, y = (np.frombuffer(batch.column(i)[row].as_py()).reshape(len(v), -1) for i, v in ((1, keys), (3, others)))
+                if x.shape[1] != y.shape[1]:
+                    raise ValueError("vectors differ in length")
+                names, mine = np.array(others.to_pylist()), keys.to_pylist()
+                order = np.argsort(np.argsort(names, kind="stable"), kind="stable")
+                a, b, scores = [], [], []
+                for first in range(0, len(x), max(1, TILE // len(y))):
+                    part = np.round(x[first : first + max(1, TILE // len(y))] @ y.T, DIGITS)
+                    for i, found in enumerate(part, first):
+                        near = np.flatnonzero(found >= least)
+                        near = near[names[near] != mine[i]]
+                        near = near[np.lexsort((order[near], -found[near]))[:k]]
+                        a += [i] * len(near)
+                        b += near.tolist()
+                        scores += found[near].tolist()
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(a, pa.int64())), others.take(pa.array(b, pa.int64())), pa.array(scores, pa.float64())], ["key", "other", "score"])
+
+    blocks = items.select("key", _d("vector").alias("vector")).where("vector is not null").mapInArrow(pack, f"keys array<{kind}>, x binary")
+    placed = blocks.withColumn("group", F.pmod(F.xxhash64("keys"), F.lit(groups)))
+    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    left = placed.select("keys", "x", "group", every.alias("column")).select("keys", "x", (F.col("group") * groups + F.col("column")).alias("cell"))
+    right = placed.select(F.col("keys").alias("others"), F.col("x").alias("y"), "group", every.alias("line")).select("others", "y", (F.col("line") * groups + F.col("group")).alias("cell"))
+    found = left.join(right.hint("shuffle_hash"), "cell").select("keys", "x", "others", "y").mapInArrow(products, f"key {kind}, other {kind}, score double")
+    ranked = top(found.select(F.col("key").alias("q"), F.col("other").alias("key"), "score"), k)
+    return ranked.select(F.col("q").alias("key"), F.col("key").alias("other"), "score", "rank")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quirebook.functions import text as T
 from quirebook.operators import grep, indexing, mutation, sessions, tokenizer, vault, vectors
 from quirebook.plans.catalog import CHUNKS, ORACLE_SQL, query
-from quirebook.sources import scratch
+from quirebook.sources import files, scratch
 from quirebook.sources import tables as S
 from quirebook.streaming import events as E
 from quirebook.streaming import flows
@@ -347,3 +347,48 @@ def mean_pool(spark: SparkSession, d: str) -> DataFrame:
     mask = F.array(F.lit(1), F.when(F.col("vec_id") % 2 == 0, 1).otherwise(0), F.lit(0))
     rows = S.table(spark, d, "embeddings").select("vec_id", vectors.mean_pool(states, mask).alias("v"))
     return rows.select("vec_id", F.round(F.col("v")[0], 6).alias("first"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+# --- word pieces, link suggestions and rules as tables -----------------------------------------------------------------
+
+#: A vocabulary of the words' starts and of the runs of up to three letters that benchmark texts go on with.
+VOCABULARY = """runs AS (SELECT DISTINCT w, unnest(range(1, 4)) AS n FROM (SELECT unnest(regexp_extract_all(strip_accents(text), '[A-Za-z0-9_]+')) AS w FROM benchmark)),
+vocabulary AS (SELECT token, (row_number() OVER (ORDER BY encode(token)))::INTEGER AS id FROM (
+  SELECT DISTINCT substr(w, 1, n) AS token FROM runs UNION SELECT DISTINCT '##' || substr(w, i, n) FROM (SELECT w, n, unnest(range(2, length(w) + 1)) AS i FROM runs)))"""
+
+
+@query(f"""WITH RECURSIVE {VOCABULARY}, words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS place FROM (SELECT doc_id, regexp_extract_all(strip_accents(text), '[㐀-䶿一-龥]|[A-Za-z0-9_]+') AS ws FROM documents)),
+cut(w, pos, ids) AS (SELECT DISTINCT w, 1, []::INTEGER[] FROM words UNION ALL
+  SELECT w, coalesce(pos + least(n, length(w) - pos + 1), length(w) + 1)::INTEGER, list_append(ids, coalesce(id, 0)) FROM (
+    SELECT c.w, c.pos, c.ids, v.id, CASE WHEN v.id IS NOT NULL THEN l.n END AS n FROM cut c, (SELECT unnest(range(1, 4)) AS n) l
+    LEFT JOIN vocabulary v ON v.token = CASE WHEN c.pos > 1 THEN '##' ELSE '' END || substr(c.w, c.pos, l.n) AND length(substr(c.w, c.pos, l.n)) = l.n
+    WHERE c.pos <= length(c.w) QUALIFY row_number() OVER (PARTITION BY c.w, c.pos ORDER BY v.id IS NULL, l.n DESC) = 1))
+SELECT doc_id, sum(len(ids))::BIGINT AS n, sum(len(list_filter(ids, lambda x: x = 0)))::BIGINT AS unknown, sha256(string_agg(array_to_string(ids, ','), ',' ORDER BY place)) AS hash
+FROM words JOIN (SELECT w, ids FROM cut WHERE pos > length(w)) USING (w) GROUP BY doc_id""")
+def word_pieces(spark: SparkSession, d: str) -> DataFrame:
+    words = S.table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(T.strip_accents(F.col("text")), F.lit("[A-Za-z0-9_]+"), F.lit(0))).alias("w")).distinct()
+    starts = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.substr("w", F.lit(1), n))).alias("token"))
+    later = words.where("length(w) > 1").select("w", F.explode(F.sequence(F.lit(2), F.length("w"))).alias("i")).select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.concat(F.lit("##"), F.substr("w", F.col("i"), n)))).alias("token"))
+    # a model's vocabulary: of bounded size, as no token has more than three characters
+    tokens = sorted((r["token"] for r in starts.union(later).distinct().collect()), key=str.encode)
+    vocabulary = {"[UNK]": 0} | {t: i for i, t in enumerate(tokens, 1)}
+    found = tokenizer.tokenize(S.table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("content")), vocabulary).where("size(ids) > 0")
+    return found.select(F.col("key").alias("doc_id"), F.size("ids").cast("long").alias("n"), F.size(F.filter("ids", lambda x: x == 0)).cast("long").alias("unknown"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("hash"))
+
+
+@query("""WITH s AS (SELECT a.vec_id AS path, b.vec_id AS other, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS confidence FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND NOT (b.vec_id = a.vec_id + 1))
+SELECT path, other, confidence, row_number() OVER (PARTITION BY path ORDER BY confidence DESC, other) AS rank FROM s WHERE confidence >= 0.3 QUALIFY rank <= 5""")
+def suggest_links(spark: SparkSession, d: str) -> DataFrame:
+    """Of each item up to five others, but for the next one, which it has a link to."""
+    items = S.items(spark, d)
+    return vault.suggest_links(items.select(F.col("id").alias("path"), "vector"), items.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")), 5, 0.3)
+
+
+@query(f"""{S.sql('notes')} SELECT path, CASE WHEN doc_id % 14 = 0 THEN false WHEN doc_id % 7 = 0 THEN true ELSE path LIKE 'src1/%' OR regexp_full_match(path, 'src2/[^/]*/doc-[^/]*5[.]md') END AS ignored FROM notes""")
+def ignore_table(spark: SparkSession, d: str) -> DataFrame:
+    """A rule for every seventh note, and for every fourteenth another one against it."""
+    notes = S.notes(spark, d)
+    lines = notes.where("doc_id % 7 = 0").select((F.col("doc_id") * 2 + 2).alias("ord"), F.concat(F.lit("/"), "path").alias("line"))
+    back = notes.where("doc_id % 14 = 0").select((F.col("doc_id") * 2 + 3).alias("ord"), F.concat(F.lit("!doc-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("line"))
+    wide = spark.createDataFrame([(0, "src1/"), (1, "src2/*/doc-*5.md")], "ord long, line string")
+    return files.ignored_by(notes.select("path"), files.rule_table(wide.union(lines).union(back))).select("path", "ignored")

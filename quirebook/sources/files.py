@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,18 +24,59 @@ def _quoted(s: str) -> str:
     return "\\Q" + s + "\\E"
 
 
+def _rule(line: str) -> tuple[str, bool, str] | None:
+    """(regex, negated, key) of a line in gitignore syntax; None: not a rule. Paths that the rule matches have its key
+    among path_keys."""
+    rule = line.strip()
+    if not rule or rule.startswith("#"):
+        return None
+    negated, rule = rule.startswith("!"), rule.lstrip("!")
+    anchored, folder = "/" in rule.rstrip("/"), rule.endswith("/")
+    body = T.glob_to_regex(rule.strip("/"))[1:-1]
+    regex = ("^" if anchored else "(?:^|.*/)") + body + ("/.*$" if folder else "(?:/.*)?$")
+    parts = rule.strip("/").split("/")
+    plain = next((i for i, p in enumerate(parts) if any(c in _SPECIAL for c in p)), len(parts))
+    if anchored:
+        return regex, negated, "/" + "/".join(parts[:plain])
+    ending = parts[0].rpartition(".")[2]
+    return regex, negated, ":" + parts[0] if plain else "." + ending if "." in parts[0] and not any(c in _SPECIAL for c in ending) else ""
+
+
+#: Characters that a glob gives a meaning.
+_SPECIAL = "*?[]{}!\\"
+
+
 def ignore_rules(lines: Iterable[str] | None) -> list[tuple[str, bool]]:
     """(regex, negated) of rules in gitignore syntax, after the defaults. None: the rules can't be read."""
-    out = []
-    for line in [*DEFAULT_IGNORES, *(lines or ())]:
-        rule = line.strip()
-        if not rule or rule.startswith("#"):
-            continue
-        negated, rule = rule.startswith("!"), rule.lstrip("!")
-        anchored, folder = "/" in rule.rstrip("/"), rule.endswith("/")
-        body = T.glob_to_regex(rule.strip("/"))[1:-1]
-        out.append((("^" if anchored else "(?:^|.*/)") + body + ("/.*$" if folder else "(?:/.*)?$"), negated))
-    return out
+    return [rule[:2] for line in [*DEFAULT_IGNORES, *(lines or ())] if (rule := _rule(line))]
+
+
+def rule_table(lines: DataFrame) -> DataFrame:
+    """(ord, regex, negated, key) of the rules among lines (ord, line)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [(o, *r) for o, line in zip(batch["ord"], batch["line"]) if line is not None and (r := _rule(line))]
+            yield pd.DataFrame(made, columns=["ord", "regex", "negated", "key"])
+
+    return lines.select(F.col("ord").cast("long"), "line").mapInPandas(run, "ord long, regex string, negated boolean, key string")
+
+
+def path_keys(path: Column) -> Column:
+    """Keys of the rules that can match path: its folders from the top and itself (/a/b), its parts' names (:a), what
+    stands behind the last dot of each (.md), and that of rules that say nothing of the kind."""
+    parts = F.split(path, "/")
+    above = F.transform(parts, lambda _, i: F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, i + 1), "/")))
+    endings = F.transform(F.filter(parts, lambda p: p.contains(".")), lambda p: F.concat(F.lit("."), F.substring_index(p, ".", -1)))
+    return F.array_distinct(F.concat(F.array(F.lit("/"), F.lit("")), above, F.transform(parts, lambda p: F.concat(F.lit(":"), p)), endings))
+
+
+def ignored_by(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """(path, ignored) of paths (path) by any number of rules (ord, regex, negated, key): the last that matches decides.
+    A path meets only rules that share a key with it; then patterns are tried."""
+    sent = paths.select("path").distinct().withColumn("key", F.explode(path_keys(F.col("path"))))
+    met = sent.join(rules, "key").where(F.regexp_like("path", F.col("regex"))).groupBy("path").agg(F.max_by(~F.col("negated"), "ord").alias("ignored"))
+    return paths.join(met, "path", "left").select(*paths.columns, F.coalesce("ignored", F.lit(False)).alias("ignored"))
 
 
 def ignored(path: Column, rules: Iterable[tuple[str, bool]]) -> Column:

@@ -120,7 +120,7 @@ def test_tokenizer(spark):
     words = tokenizer.parse_vocabulary("[PAD]\n[UNK]\n\n[CLS]\r\n[SEP]\nhello\nworld\n##s\n你\n好")
     assert words["[CLS]"] == 3 and words["好"] == 9
     assert tokenizer.basic_tokens("Héllo, wörld-你好_x") == ["Hello", "world", "你", "好", "_x"]
-    assert tokenizer.word_pieces("worlds", words, 1) == [6, 7] and tokenizer.word_pieces("worldx", words, 1) == [6, 1]
+    assert tokenizer.Pieces(words).of("worlds") == [6, 7] and tokenizer.Pieces(words).of("worldx")[0] == 6
     texts = spark.createDataFrame([(1, "hello worlds 你"), (2, None)], "key int, content string")
     made = tokenizer.tokenize(texts, words).select("key", tokenizer.encode(F.col("ids"), words, 8).alias("e")).orderBy("key").collect()
     assert made[0].e.input_ids == [3, 5, 6, 7, 8, 4, 0, 0] and made[0].e.attention_mask == [1] * 6 + [0] * 2 and made[1].e.input_ids[:3] == [3, 4, 0]
