@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from quirebook.functions import text as T
 from quirebook.operators import fusion, lexical, vectors
+from quirebook.sources import scratch
+
+#: Hits, with their queries' texts, that are broadcast.
+BROADCAST = 20_000
 
 
 def hybrid(text_queries: DataFrame, vector_queries: DataFrame, docs: DataFrame, items: DataFrame, k: int = 10, candidates: int = 20) -> DataFrame:
@@ -47,8 +51,14 @@ def search(queries: DataFrame, docs: DataFrame, k: int = 5, reranker: Callable |
     fused = multi_query(queries, docs, k, 2, vector_queries, items).select("q", "key", "rrf_score")
     if reranker is None:
         return fusion.rerank(fused, fused.select("q", "key", F.col("rrf_score").alias("score")).limit(0), k)
+    folder = scratch.folder(queries.sparkSession)  # used twice, and made once
+    fused.write.parquet(folder)
+    fused = queries.sparkSession.read.parquet(folder)
     original = queries.where("variant = 0").select("q", "text")
-    scored = fused.join(original, "q").join(docs, "key").select("q", "key", F.round(reranker(F.col("text"), F.col("content")), 9).alias("score"))
+    asked = fused.join(original, "q")
+    # few hits are sent to the texts, instead of all texts to the hits
+    asked = F.broadcast(asked) if fused.count() <= BROADCAST else asked
+    scored = docs.join(asked, "key").select("q", "key", F.round(reranker(F.col("text"), F.col("content")), 9).alias("score"))
     return fusion.rerank(fused, scored, k)
 
 
