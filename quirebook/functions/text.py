@@ -147,10 +147,15 @@ def error_type(message: Column, status: Column | None = None, code: Column | Non
 
 
 def mermaid_blocks(html: Column) -> Column:
-    """Sources of mermaid code blocks in rendered HTML, with entities resolved."""
-    found = F.regexp_extract_all(html, F.lit(r'(?s)<pre><code class="language-mermaid">(.*?)</code></pre>'), 1)
-    plain = lambda x: F.replace(F.replace(F.replace(F.replace(F.replace(x, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')), F.lit("&#39;"), F.lit("'")), F.lit("&amp;"), F.lit("&"))
-    return F.transform(found, lambda x: trim(plain(x)))
+    """Sources of mermaid code blocks in rendered HTML, as they stand, with entities resolved one kind after the other."""
+    found = F.regexp_extract_all(html, F.lit(r'(?s)<code[^>]*class="[^"]*language-mermaid[^"]*"[^>]*>(.*?)</code>'), 1)
+
+    def plain(x: Column) -> Column:
+        for entity, character in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'")):
+            x = F.replace(x, F.lit(entity), F.lit(character))
+        return x
+
+    return F.transform(found, plain)
 
 
 def escape_html(text: Column) -> Column:
@@ -183,6 +188,24 @@ def status_tone(indexing: Column, error: Column, configured: Column, thinking: C
     return F.when(indexing, "indexing").when(error, "error").when(~configured, "unconfigured").when(thinking, "thinking").otherwise("ready")
 
 
+def index_row(state: Column, scanned: Column, total: Column, pending: Column, path: Column, reason: Column, docs: Column) -> Column:
+    """(index, detail, docs): the row that shows an index's state."""
+    name = F.when(state == "Unloaded", "idle").otherwise(F.lower(state))
+    detail = (
+        F.when(state == "Scanning", F.concat_ws("/", scanned.cast("string"), total.cast("string"))).when(state == "Queueing", F.concat(pending.cast("string"), F.lit(" 待索引")))
+        .when(state == "Processing", path).when(state == "Paused", F.concat(pending.cast("string"), F.lit(" 待处理"))).when(state == "Failed", reason)
+    )
+    return F.struct(name.alias("index"), detail.alias("detail"), F.when(state == "Ready", docs).alias("docs"))
+
+
+def model_row(state: Column, progress: Column, reason: Column, before: Column, after: Column) -> Column:
+    """(model, detail): the row that shows a model's state; progress is from 0 to 1."""
+    name = F.when(state == "NotStarted", "idle").when(state == "Switching", "checking").otherwise(F.lower(state))
+    percent = F.concat(F.floor(progress * 100 + 0.5).cast("long").cast("string"), F.lit("%"))
+    detail = F.when(state == "Downloading", percent).when(state == "Failed", reason).when(state == "Switching", F.concat_ws(" → ", before, after))
+    return F.struct(name.alias("model"), detail.alias("detail"))
+
+
 def tool_path(args: Column) -> Column:
     """The string at $.path of JSON arguments, else null."""
     value = F.try_variant_get(F.try_parse_json(args), "$.path", "variant")

@@ -19,6 +19,26 @@ TYPES = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.float64(
 HELD = 1024
 
 
+class NotReady(RuntimeError):
+    code = "INDEX_NOT_READY"
+
+
+class Model:
+    """A place for an embedding model that comes later: until it's set, a call raises NotReady."""
+
+    def __init__(self, dimension: int, model: Callable[[list[str]], list[list[float]]] | None = None):
+        self.dimension, self.model = dimension, model
+
+    @property
+    def ready(self) -> bool:
+        return self.model is not None
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        if self.model is None:
+            raise NotReady("the embedding model isn't ready")
+        return self.model(texts)
+
+
 def index(notes: DataFrame, model: Callable[[list[str]], list[list[float]]], dimension: int, size: int = chunking.SIZE, overlap: int = chunking.OVERLAP) -> DataFrame:
     """(path, chunk_index, chunk_id, chunk, vector, error) for notes (path, content). The model is called once a note with
     all its chunks. A note that fails has one row, with the error, and none of its chunks; a blank one has no row."""
@@ -78,6 +98,8 @@ class NoteIndex:
 
     def _made(self, notes: DataFrame) -> tuple[DataFrame, dict, str]:
         """The rows of notes, written; how many notes have errors, and how many of them are indexed (blank ones are)."""
+        if not getattr(self.model, "ready", True):
+            raise NotReady("the embedding model isn't ready")  # rather than an error for each note
         folder = f"{self.root}/staged-{uuid.uuid4().hex}"
         rows, seen = observed(index(notes, self.model, self.dimension, self.size, self.overlap), errors=F.count("error"), chunks=F.count("chunk_id"))
         rows.write.parquet(folder)

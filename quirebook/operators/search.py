@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,11 +20,27 @@ BROADCAST = 20_000
 def hybrid(text_queries: DataFrame, vector_queries: DataFrame, docs: DataFrame, items: DataFrame, k: int = 10, candidates: int = 20) -> DataFrame:
     """(q, key, score, index): BM25 over docs (key, content) and cosine over items (key, vector), each with its best
     candidates, fused. A query without a word of the corpus has the vector list alone, and the other way round."""
-    lists = fusion.positions(lexical.bm25(text_queries, docs, candidates), 0).unionByName(fusion.positions(vectors.knn(vector_queries, items, candidates), 1))
+    return _fused([lexical.bm25(text_queries, docs, candidates), vectors.knn(vector_queries, items, candidates)], k)
+
+
+def _fused(ranked: list[DataFrame], k: int) -> DataFrame:
+    lists = reduce(DataFrame.unionByName, (fusion.positions(x, i) for i, x in enumerate(ranked)))
     fused = fusion.rrf(lists, top=k)
     return fused.select("q", "key", F.col("rrf_score").alias("score"), F.col("rank").alias("index"))
 
 
+def hybrid_or_vectors(text_queries: DataFrame, vector_queries: DataFrame, docs: DataFrame, items: DataFrame, k: int = 10, candidates: int = 20) -> tuple[DataFrame, Exception | None]:
+    """hybrid, and None; or where the keyword list can't be made (texts can't be read, say), the vector list alone by its
+    cosine, and the error. The keyword list is made here, so that its errors are met here."""
+    try:
+        folder = scratch.folder(text_queries.sparkSession)
+        lexical.bm25(text_queries, docs, candidates).write.parquet(folder)
+    except Exception as error:  # noqa: BLE001  whatever it is, vectors may still answer
+        warnings.warn(f"searching by vectors alone: {error}", stacklevel=2)
+        return vectors.knn(vector_queries, items, k).withColumnRenamed("rank", "index"), error
+    return _fused([text_queries.sparkSession.read.parquet(folder), vectors.knn(vector_queries, items, candidates)], k), None
+
+
 def variants(queries: DataFrame, answers: DataFrame) -> DataFrame:
     """(q, variant, text): the query itself (variant 0) and up to two rewrites from a model's answers (q, answer)."""
     met = queries.join(answers, "q", "left")

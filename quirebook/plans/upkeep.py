@@ -277,11 +277,22 @@ def attachment_check(spark: SparkSession, d: str) -> DataFrame:
     return S.table(spark, d, "events").select("event_id", T.attachment_error(mime, F.col("event_id") * 1000, F.col("event_id") % 7).alias("error"))
 
 
-@query("SELECT doc_id, text AS source FROM documents WHERE regexp_full_match(text, '[A-Za-z]((.|\n)*[a-z.])?') AND NOT contains(text, '&')")
+@query("""SELECT doc_id, replace(replace(text, '&quot;', '"'), '&#39;', '''') AS source FROM documents""")
 def mermaid_sources(spark: SparkSession, d: str) -> DataFrame:
-    rows = S.table(spark, d, "documents").where(F.col("text").rlike(r"(?s)\A[A-Za-z](.*[a-z.])?\z") & ~F.contains("text", F.lit("&")))
-    html = F.concat(F.lit('<p>x</p><pre><code class="language-mermaid">'), T.escape_html(F.col("text")), F.lit("</code></pre>"))
-    return rows.select("doc_id", F.explode(T.mermaid_blocks(html)).alias("source"))
+    html = F.concat(F.lit('<p>x</p><pre><code class="code language-mermaid" id="x">'), T.escape_html(F.col("text")), F.lit("</code></pre>"))
+    return S.table(spark, d, "documents").select("doc_id", F.explode(T.mermaid_blocks(html)).alias("source"))
+
+
+STATES = ("Idle", "Init", "Scanning", "Queueing", "Processing", "Ready", "Paused", "Failed", "Unloaded")
+
+
+@query(f"""WITH {LOG}, s AS (SELECT index, seq, pending, {list(STATES)}[1 + (seq % 9)::INTEGER] AS state FROM log)
+SELECT index, seq, CASE WHEN state = 'Unloaded' THEN 'idle' ELSE lower(state) END AS name, CASE state WHEN 'Scanning' THEN seq || '/' || index WHEN 'Queueing' THEN pending || ' 待索引' WHEN 'Paused' THEN pending || ' 待处理'
+  WHEN 'Processing' THEN 'n-' || index WHEN 'Failed' THEN 'reason ' || seq END AS detail, CASE WHEN state = 'Ready' THEN index END AS docs FROM s""")
+def status_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = log(spark, d).withColumn("state", F.get(F.array(*map(F.lit, STATES)), (F.col("seq") % 9).cast("int")))
+    row = T.index_row(F.col("state"), F.col("seq"), F.col("index"), F.col("pending"), F.concat(F.lit("n-"), F.col("index").cast("string")), F.concat(F.lit("reason "), F.col("seq").cast("string")), F.col("index"))
+    return rows.select("index", "seq", row.alias("row")).select("index", "seq", F.col("row.index").alias("name"), "row.detail", "row.docs")
 
 
 @query("SELECT doc_id, strip_accents(text) AS plain FROM documents")

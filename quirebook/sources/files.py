@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,30 @@ def read_notes(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.regexp_replace("path", r"^.*?" + _quoted(root.rstrip("/")) + "/", "").alias("path"), F.decode("content", "UTF-8").alias("content"), F.col("modificationTime").alias("mtime"))
 
 
+class CachedNotes:
+    """read_notes, kept in memory and on disk by the executors as long as no file's name, size or time changes. Asking costs
+    a listing, and no content is read again."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root, self.state, self.notes, self.reads = spark, root, None, None, 0
+
+    def _now(self) -> tuple:
+        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(self.root)
+        return tuple(files.select("path", "modificationTime", "length").agg(F.count("*"), F.bit_xor(F.xxhash64("path", "modificationTime", "length"))).first())
+
+    def read(self) -> DataFrame:
+        if (now := self._now()) != self.state:
+            self.drop()
+            self.notes, self.state = read_notes(self.spark, self.root).persist(StorageLevel.MEMORY_AND_DISK), now
+            self.reads += 1
+        return self.notes
+
+    def drop(self) -> None:
+        if self.notes is not None:
+            self.notes.unpersist()
+        self.notes = self.state = None
+
+
 def _quoted(s: str) -> str:
     return "\\Q" + s + "\\E"
 

@@ -67,7 +67,8 @@ def test_intent_bands_and_errors(spark):
     assert one(spark, lambda m: T.attachment_error(m, F.lit(6_000_000), F.lit(1)), "image/png") == "size"
     assert one(spark, lambda w: T.image_tokens(w, F.lit(750)), 2) == 2 and one(spark, lambda w: T.image_tokens(w, F.lit(750)), 0) == 0
     assert one(spark, T.escape_html, "<a&b>") == "&lt;a&amp;b&gt;"
-    assert one(spark, T.mermaid_blocks, '<pre><code class="language-mermaid">a --&gt; b\n</code></pre>') == ["a --> b"]
+    assert one(spark, T.mermaid_blocks, '<pre><code class="language-mermaid">a --&gt; b\n</code></pre>') == ["a --> b\n"]
+    assert one(spark, T.mermaid_blocks, '<pre><code class="hljs language-mermaid">graph TD\n  A--&gt;B</code></pre>') == ["graph TD\n  A-->B"]
     assert one(spark, T.fences_closed, "```a```") is True and one(spark, T.fences_closed, "```") is False
     assert one(spark, T.parse_args, "{bad") == '{"raw":"{bad"}' and one(spark, T.tool_path, '{"path":"a"}') == "a" and one(spark, T.tool_path, '{"path":1}') is None
     assert one(spark, lambda b: T.status_tone(F.lit(False), b, F.lit(False), F.lit(True)), True) == "error"
