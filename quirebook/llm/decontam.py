@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from quirebook.llm.common import Scratch, pack, read, unpack
 
 WINDOW = 10
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 SHARD_BYTES = 6_000_000
 #: A-Z become a-z; of ASCII only letters and digits stay, and all other characters belong to words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))

@@ -28,16 +28,24 @@ from quirebook.llm.common import read
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 MOST_LABELLED, SALTS, VARIANTS = 100_000, 16, 3
 FEATURES, GRAMS = 1 << 13, (3, 4, 5)
-#: What the built-in labelled URLs are made of.
-BLOCKED = "casino poker betting bets slots jackpot roulette viagra pills pharma adult porn escort xxx replica warez torrent crack keygen loan".split()
-ALLOWED = "news library school museum science recipes weather history garden music travel health docs blog wiki forum sports books maps jobs".split()
+#: What the built-in labelled URLs are made of: words of hosts and paths to block, by kind (advertising and tracking, spam,
+#: fraud and malware, gambling, medicines, adult, copies), and of others.
+BLOCKED = (
+    "ads adserver adclick banner popunder popup tracker track tracking pixel affiliate doubleclick sponsor leadgen spam spammer farm linkfarm seo backlink bulkmail phish phishing malware trojan spyware exploit "
+    "hack verify-account free-prize winner lottery casino poker betting bets slots jackpot roulette viagra pills pharma cialis adult porn escort xxx webcam replica warez torrent crack keygen serial loan payday"
+).split()
+ALLOWED = (
+    "news library school museum science recipes weather history garden music travel health docs blog wiki forum sports books maps jobs university college research journal magazine press radio theatre cinema art "
+    "gallery nature animals birds cooking kitchen bakery farmer market shop store bank post mail calendar photo video map city village council parish church hospital clinic doctor law court police fire train bus"
+).split()
 #: What stands beside such a word in a host: before or after it, with or without a hyphen.
 BESIDE = "best free win online my top shop world city club net daily".split()
-#: Harmless names without a meaning are made of two syllables.
+#: Harmless names without a meaning are made of two syllables, or three.
 SYLLABLES = "ter ion men la re th ing con der pa no st".split()
 SHAPES = (
     "https://www.{w}.example.com/", "http://{w}-{b}.example.net/a/{n}", "https://m.{b}{w}.example.org/{w}/page", "http://blog.example.com/{w}-{n}.html", "https://{w}{b}.example.org/index?x={n}",
     "http://the{w}.example.net/en/{n}", "https://www.{b}-{w}.example.com/fr/{n}#top", "http://{b}.example.org/{b}/{w}", "https://{w}.{b}.example.net/{n}/", "http://m.{w}{n}.example.com/{b}/{n}?page={n}",
+    "https://{w}.org/{b}/{n}", "http://www.{b}{w}.co.uk/{w}/{n}.php", "https://cdn.{b}.io/{w}/{n}.js", "http://{w}-{w}.info/de/{n}/", "https://{b}.de/{n}/{w}_{b}", "http://x{n}.{w}.net/es/{n}?utm_source=feed",
 )
 
 
@@ -45,6 +53,7 @@ def labelled_urls() -> list[tuple[str, int, str, str]]:
     """(url, label, word, shape): label 1 for URLs to block. Each word stands in every shape, beside VARIANTS words;
     the syllables' names, too, beside one."""
     words = [(w, 1, VARIANTS) for w in BLOCKED] + [(w, 0, VARIANTS) for w in ALLOWED] + [(a + b, 0, 1) for a in SYLLABLES for b in SYLLABLES]
+    words += [(a + b + c, 0, 1) for i, a in enumerate(SYLLABLES) for j, b in enumerate(SYLLABLES) for c in [SYLLABLES[(5 * i + 7 * j) % len(SYLLABLES)]]]
     out = []
     for i, (w, label, variants) in enumerate(words):
         for j, shape in enumerate(SHAPES):

@@ -70,3 +70,37 @@ def test_query_covers_every_page(spark, sf):
     for r in got.collect():
         assert (r.host, r.path, r.rule) == want[r.page_id][:3]
         assert r.rule is None or r.verdict == want[r.page_id][3]
+
+
+def test_verdicts_on_pages_against_the_coefficients(spark):
+    """The method's verdicts, worked out from n-grams and coefficients in Python."""
+    model = urlfilter.train(spark.createDataFrame(urlfilter.labelled_urls(), "url string, label int, word string, shape string"))
+    hashing, fit = model.stages
+    weights, bias = fit.coefficients.toArray(), fit.intercept
+    places: dict[str, int] = {}
+
+    def blocked(host, path):
+        text = f"^{host}|{path}$"
+        found = {text[i : i + n] for n in urlfilter.GRAMS for i in range(max(1, len(text) - n + 1))}
+        for g in found - places.keys():
+            places[g] = hashing.indexOf(g)
+        return bias + sum(weights[p] for p in {places[g] for g in found}) > 0
+
+    rows = urlfilter.query(spark, "/root/testdata/sf0.01").where("rule is null").collect()
+    assert len(rows) > 50 and all((r.verdict == "block") == blocked(r.host, r.path) for r in rows)
+    spam = [r for r in rows if r.host.startswith(("m.ads", "www.spam", "ads", "spam"))]
+    assert all(r.verdict == "block" for r in spam)
+    assert sum(r.verdict == "block" for r in rows if r not in spam) <= 0.05 * len(rows)
+
+
+def test_words_held_out_of_training(spark):
+    """Every fourth word is left out of the table; a URL that shares n-grams with the rest may still be told, others are
+    allowed."""
+    rows = urlfilter.labelled_urls()
+    words = sorted({w for _, _, w, _ in rows})
+    held = set(words[::4])
+    frame = spark.createDataFrame(rows, "url string, label int, word string, shape string")
+    model = urlfilter.train(frame.where(~F.col("word").isin(held)))
+    got = urlfilter.judge(frame.where(F.col("word").isin(held)), (), model).select("row.label", "verdict").collect()
+    harmless = [r.verdict for r in got if not r.label]
+    assert harmless.count("allow") >= 0.95 * len(harmless)
