@@ -41,7 +41,7 @@ ALLOWED = (
 #: What stands beside such a word in a host: before or after it, with or without a hyphen.
 BESIDE = "best free win online my top shop world city club net daily".split()
 #: Harmless names without a meaning are made of two syllables, or three.
-SYLLABLES = "ter ion men la re th ing con der pa no st".split()
+SYLLABLES = "ter ion men la re th ing con der pa no st an en er ed ou le ti se ar ble nt ho ma do".split()
 SHAPES = (
     "https://www.{w}.example.com/", "http://{w}-{b}.example.net/a/{n}", "https://m.{b}{w}.example.org/{w}/page", "http://blog.example.com/{w}-{n}.html", "https://{w}{b}.example.org/index?x={n}",
     "http://the{w}.example.net/en/{n}", "https://www.{b}-{w}.example.com/fr/{n}#top", "http://{b}.example.org/{b}/{w}", "https://{w}.{b}.example.net/{n}/", "http://m.{w}{n}.example.com/{b}/{n}?page={n}",
@@ -81,14 +81,16 @@ def grams(host: Column, path: Column) -> Column:
 
 
 def train(labelled: DataFrame) -> PipelineModel:
-    """From (url, label) with label 1 for URLs to block."""
+    """From (url, label) with label 1 for URLs to block. Both labels weigh alike, however many rows have them."""
     rows = labelled.limit(MOST_LABELLED + 1)
-    if rows.count() > MOST_LABELLED:
+    counts = {r["label"]: r["count"] for r in rows.groupBy(F.col("label").cast("double").alias("label")).count().collect()}
+    if sum(counts.values()) > MOST_LABELLED:
         raise ValueError(f"the labelled table may have {MOST_LABELLED} rows")
     host, path = host_and_path(F.col("url"))
     hashing = HashingTF(binary=True, numFeatures=FEATURES, inputCol="grams", outputCol="features")
-    fit = LogisticRegression(maxIter=40, regParam=0.001, standardization=False, labelCol="label", featuresCol="features")
-    return Pipeline(stages=[hashing, fit]).fit(rows.select(F.col("label").cast("double").alias("label"), grams(host, path).alias("grams")))
+    fit = LogisticRegression(maxIter=40, regParam=0.001, standardization=False, labelCol="label", featuresCol="features", weightCol="weight")
+    weight = F.when(F.col("label") == 1, 1.0 / counts.get(1.0, 1)).otherwise(1.0 / counts.get(0.0, 1)) * (sum(counts.values()) / 2)
+    return Pipeline(stages=[hashing, fit]).fit(rows.select(F.col("label").cast("double").alias("label"), grams(host, path).alias("grams"), weight.alias("weight")))
 
 
 def _order(host: str, path: str, verdict: str) -> tuple:
