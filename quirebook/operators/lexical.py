@@ -95,30 +95,46 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
 
 
 class Index:
-    """Postings as a Parquet table, partitioned by a hash of the term: a search reads the partitions of its terms."""
+    """Postings as a Parquet table, partitioned by a hash of the term: a search reads the partitions of its terms. A build
+    goes to a folder of its own and counts once it is whole; a search meanwhile, or after a build that failed, reads the
+    one before, which the next build clears."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        self._fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+        self._system = self._fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64("term"), F.lit(self.buckets))
 
+    def _builds(self, whole: bool) -> list[int]:
+        found = self._system.globStatus(self._fs.Path(f"{self.path}/build-*" + "/corpus/_SUCCESS" * whole)) or ()
+        return sorted(int(re.search(r"build-(\d+)", f.getPath().toString())[1]) for f in found)
+
+    def _at(self, build: int) -> str:
+        return f"{self.path}/build-{build:08d}"
+
     def build(self, docs: DataFrame) -> Index:
+        whole, every = self._builds(True), self._builds(False)
+        for old in every:
+            if old not in whole[-1:]:
+                self._system.delete(self._fs.Path(self._at(old)), True)
+        at = self._at(max(every, default=0) + 1)
         made = postings(docs).withColumn("bucket", self._bucket())
-        made.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(SPLIT))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
-        corpus(docs).write.mode("overwrite").parquet(f"{self.path}/corpus")
+        made.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(SPLIT))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{at}/postings")
+        corpus(docs).write.parquet(f"{at}/corpus")  # the last thing: with it the build is whole
         return self
 
     def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
-        terms = query_terms(queries)
+        at, terms = self._at(self._builds(True)[-1]), query_terms(queries)
         asked = terms.select("term", self._bucket().alias("bucket")).distinct().limit(PUSHED + 1).collect()
-        found = self.spark.read.parquet(f"{self.path}/postings")
+        found = self.spark.read.parquet(f"{at}/postings")
         if len(asked) <= PUSHED:  # files are sorted by term, so that most of their row groups are passed over
             found = found.where(F.col("bucket").isin({r["bucket"] for r in asked}) & F.col("term").isin([r["term"] for r in asked]))
         else:
             needed = [r[0] for r in terms.select(self._bucket()).distinct().collect()]  # `buckets` numbers at most
             found = found.where(F.col("bucket").isin(needed)).join(terms.select("term").distinct(), "term", "left_semi")
-        return scored(terms, found.drop("bucket"), self.spark.read.parquet(f"{self.path}/corpus"), k, len(asked) <= PUSHED or None)
+        return scored(terms, found.drop("bucket"), self.spark.read.parquet(f"{at}/corpus"), k, len(asked) <= PUSHED or None)
 
 
 def top(scores: DataFrame, k: int) -> DataFrame:

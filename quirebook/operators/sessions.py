@@ -124,12 +124,11 @@ def first_denial(verdicts: DataFrame) -> DataFrame:
 
 
 def model_context(models: DataFrame, known: DataFrame) -> DataFrame:
-    """(model, context): of known (ord, name, context) the same name, else the first that the model starts with.
-    The table of known models is a setting, so each is a branch of one expression."""
-    rows = sorted(known.collect(), key=lambda r: r["ord"])
-    exact = F.coalesce(*(F.when(F.col("model") == r["name"], r["context"]) for r in rows), F.lit(None))
-    prefix = F.coalesce(*(F.when(F.col("model").startswith(r["name"]), r["context"]) for r in rows), F.lit(None))
-    return models.select("model", F.coalesce(exact, prefix).cast("long").alias("context"))
+    """(model, context): of known (ord, name, context) the same name, else the first that the model starts with."""
+    names = models.select("model").distinct()
+    starts = names.select("model", F.explode(F.transform(F.sequence(F.lit(0), F.length("model")), lambda n: F.substr("model", F.lit(1), n))).alias("name"))
+    met = starts.join(known, "name").groupBy("model").agg(F.min_by("context", F.struct(F.col("model") != F.col("name"), "ord")).cast("long").alias("context"))
+    return models.select("model").join(met, "model", "left")
 
 
 def any_reranked(results: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A batch of queries is one matrix, shipped to the tasks in blocks of at most BLOCK numbers; each Arrow batch of vectors
 is multiplied with it and keeps its own k best for each query, so that what is shuffled is k rows for each query and
-batch, and no pair of query and vector ever becomes a row."""
+batch, and no pair of query and vector ever becomes a row. Of several blocks one is in memory at a time."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quirebook.operators.lexical import top
+from quirebook.sources import scratch
 
 BLOCK = 8_000_000
 #: Scores that a task holds at once.
@@ -81,8 +82,10 @@ def knn(queries: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     different lengths fail."""
     types = {"q": queries.schema["q"].dataType.simpleString(), "key": items.schema["key"].dataType.simpleString()}
     schema = f"q {types['q']}, key {types['key']}, score double"
-    q_type, found = to_arrow_type(queries.schema["q"].dataType), None
-    for ids, matrix in _blocks(queries):
+    q_type, found, blocks = to_arrow_type(queries.schema["q"].dataType), None, _blocks(queries)
+    block = next(blocks, None)
+    while block is not None:
+        (ids, matrix), block = block, next(blocks, None)
         shared = items.sparkSession.sparkContext.broadcast((ids, matrix))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -110,6 +113,11 @@ def knn(queries: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([qs, batch.column(0).take(pa.array(best.ravel())), pa.array(np.take_along_axis(scores, best, 1).ravel())], ["q", "key", "score"])
 
         part = items.select("key", "vector").mapInArrow(run, schema)
+        if found is not None or block is not None:  # of several blocks, each is answered before the next is sent
+            folder = scratch.folder(items.sparkSession)
+            top(part, k).select("q", "key", "score").write.parquet(folder)
+            shared.destroy()
+            part = items.sparkSession.read.schema(schema).parquet(folder)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = items.sparkSession.createDataFrame([], schema)

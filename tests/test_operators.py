@@ -192,3 +192,20 @@ def test_index_gives_what_the_texts_give(spark, tmp_path):
     index = lexical.Index(spark, str(tmp_path / "i"), buckets=5).build(docs)
     assert sorted(map(tuple, index.search(queries).collect())) == sorted(map(tuple, lexical.bm25(queries, docs).collect()))
     assert index.search(queries.where("q = 2")).count() == 0
+    before = sorted(map(tuple, index.search(queries).collect()))
+    with pytest.raises(Exception, match="half way"):  # a build that fails leaves the one before
+        index.build(docs.withColumn("content", F.when(F.col("key") == 5, F.raise_error(F.lit("half way")).cast("string")).otherwise(F.col("content"))))
+    assert sorted(map(tuple, index.search(queries).collect())) == before
+    few = docs.where("key < 50")
+    assert sorted(map(tuple, index.build(few).search(queries).collect())) == sorted(map(tuple, lexical.bm25(queries, few).collect()))
+    many = spark.createDataFrame([(i, f"the of w{i}") for i in range(2500)], "q int, text string")  # more words than are pushed down
+    assert index.search(many).where("q = 1").count() == lexical.bm25(many.where("q = 1"), few).count()
+
+
+def test_several_blocks_of_queries_give_what_one_gives(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    items = spark.createDataFrame([(i, rng.normal(size=5).tolist()) for i in range(300)], "key int, vector array<double>")
+    queries = spark.createDataFrame([(i, rng.normal(size=5).tolist()) for i in range(40)], "q int, vector array<double>")
+    want = sorted(map(tuple, vectors.knn(queries, items, 4).collect()))
+    monkeypatch.setattr(vectors, "BLOCK", 50)
+    assert sorted(map(tuple, vectors.knn(queries, items, 4).collect())) == want and len(want) == 160
