@@ -234,6 +234,18 @@ def decoded_digests(merges: MergeList, packed: bytes) -> tuple[str, str]:
     return made[0], made[1]
 
 
+#: The merge list and the encoder of the file that a worker saw last: the worker's next task finds them, with their words.
+_KEPT: dict[str, tuple[MergeList, Encoder]] = {}
+
+
+def _encoder(config: str) -> tuple[MergeList, Encoder]:
+    if config not in _KEPT:
+        _KEPT.clear()
+        merges = MergeList(json.loads(config))
+        _KEPT[config] = merges, Encoder(merges)
+    return _KEPT[config]
+
+
 def _loaded(df: DataFrame, path: str | None):
     """The tokenizer file's text, for all executors: a file of fixed size, read on the driver."""
     with open(path or default_path(), encoding="utf-8") as f:
@@ -247,8 +259,7 @@ def encode(docs: DataFrame, path: str | None = None, ids: bool = True, digests:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = MergeList(json.loads(config.value))
-        encoder = Encoder(merges)
+        merges, encoder = _encoder(config.value)
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
                 part = batch.slice(first, 512)
@@ -274,7 +285,7 @@ def decode(encoded: DataFrame, path: str | None = None, pieces: bool = False) ->
     kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = MergeList(json.loads(config.value))
+        merges, _ = _encoder(config.value)
         for batch in batches:
             texts = []
             for row in batch.column(1):
