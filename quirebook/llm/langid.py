@@ -5,13 +5,13 @@ with every language's dictionary, and the language with the smallest encoding wi
 text is encoded again by a slower, stronger compressor; if the margin stays below REJECT, the answer is rejected.
 Texts and dictionaries are lower-cased first, as shouting would hide what they share.
 
-The sample is the one bounded thing: SAMPLE_DOCS texts a language (of those drawn by a hash of their id), SLICE
+The sample is the one bounded thing: about SAMPLE_DOCS texts a language (drawn by a hash of id and text), SLICE
 characters from a hashed place of each, DICTIONARY bytes in all, and less where there are more languages than ALL bytes
 have room for, so that the dictionaries' broadcast is bounded. Every text is encoded whole, with every language.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; without labelled texts every text is `und`;
-with one language only, its score is 1; equal sizes go to the language with more labelled texts; repeated rows are
-judged alike; an empty table gives no rows.
+a language none of whose rows is drawn takes no part; with one language only, its score is 1; equal sizes go to the
+language with more labelled texts; repeated rows are judged alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -73,11 +73,12 @@ def learn(labelled: DataFrame) -> tuple[dict[str, bytes], dict[str, int]]:
     place = F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.greatest(F.length("text") - SLICE, F.lit(0)) + 1)
     sample = rows.where(drawn < share[F.col("lang")]).select("lang", F.substr("text", place.cast("int") + 1, F.lit(SLICE)).alias("part"), drawn.alias("drawn"))
     parts: dict[str, dict[str, float]] = {name: {} for name in priors}
-    for r in sample.limit(2 * SAMPLE_DOCS * len(priors)).toLocalIterator():
+    # copies of a row draw the same number and are one, so that about SAMPLE_DOCS rows a language come
+    for r in sample.groupBy("lang", "drawn").agg(F.min("part").alias("part")).toLocalIterator():
         parts[r["lang"]][r["part"].lower()] = r["drawn"]
     # the longest pieces first when short ones abound; equal ones in the order drawn
     ordered = {name: sorted(p, key=lambda x: (len(x) < 200, p[x], x)) for name, p in parts.items()}
-    return {name: "\n".join(p).encode("utf-8", "surrogatepass")[: min(DICTIONARY, ALL // len(priors))] for name, p in ordered.items()}, priors
+    return {name: "\n".join(p).encode("utf-8", "surrogatepass")[: min(DICTIONARY, ALL // len(priors))] for name, p in ordered.items() if p}, priors
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], priors: dict[str, int]) -> DataFrame:
