@@ -21,8 +21,10 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import struct
 import unicodedata
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +74,8 @@ class MergeList:
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, (a, b) in enumerate(map(tuple, model["merges"])):
             self.merges[self.ids[a], self.ids[b]] = (rank, self.ids[a + b])
+        self.ranks = {pair: rank for pair, (rank, _) in self.merges.items()}
+        self.made = dict(self.merges.values())
         self.lookahead = self._lookahead()
 
     def _bytes(self, token: str, of: dict[str, int]) -> bytes:
@@ -102,19 +106,19 @@ class MergeList:
 
     def merged(self, symbols: list[int]) -> list[int]:
         """The merges of lowest rank first, the leftmost of equal ones."""
-        get, tokens = self.merges.get, list(symbols)
-        ranks = [get(pair, (_NONE, 0))[0] for pair in zip(tokens, tokens[1:])]
+        get, made, tokens = self.ranks.get, self.made, list(symbols)
+        ranks = list(map(get, zip(tokens, tokens[1:]), repeat(_NONE)))
         while ranks:
             best = min(ranks)
             if best == _NONE:
                 break
             i = ranks.index(best)
-            tokens[i : i + 2] = [get((tokens[i], tokens[i + 1]))[1]]
-            del ranks[i]
+            tokens[i] = made[best]
+            del tokens[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = get((tokens[i - 1], tokens[i]), (_NONE, 0))[0]
+                ranks[i - 1] = get((tokens[i - 1], tokens[i]), _NONE)
             if i < len(ranks):
-                ranks[i] = get((tokens[i], tokens[i + 1]), (_NONE, 0))[0]
+                ranks[i] = get((tokens[i], tokens[i + 1]), _NONE)
         return tokens
 
 
@@ -149,22 +153,24 @@ class Encoder(dict):
 
     def __init__(self, merges: MergeList, most: int = 400_000, longest: int = 48):
         super().__init__()
-        self.merges, self.most, self.longest = merges, most, longest
+        self.merges, self.most, self.longest, self.room = merges, most, longest, Transducer(merges).room
         self.words: dict[str, bytes] = {}
         self.special = regex.compile("|".join(map(regex.escape, merges.special)) or r"(?!)")
 
     def word(self, word: str) -> bytes:
         raw, merges = word.encode("utf-8"), self.merges
         symbols = [*map(merges.inner.__getitem__, raw[:-1]), merges.final[raw[-1]]]
+        if len(symbols) < self.room:
+            ids = merges.merged(symbols)
+            return struct.pack(f"<{len(ids)}I", *ids)
         transducer = Transducer(merges)
-        if len(symbols) < transducer.room:
-            return np.array(merges.merged(symbols), "<u4").tobytes()
         return np.array([*transducer.feed(symbols), *transducer.finish()], "<u4").tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
         plain = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
         packed = []
-        for word in _WORD.findall(plain.lower()):
+        lower = plain.lower()
+        for word in (lower,) if lower.isalpha() and lower.isascii() else _WORD.findall(lower):
             if (ids := self.words.get(word)) is None:
                 ids = self.word(word)
                 if len(word) <= self.longest:
