@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from quirebook.llm.common import read
 
 #: (host, path, verdict): the rules of the query.
-RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
+RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 MOST_LABELLED, SALTS, VARIANTS = 100_000, 16, 3
 FEATURES, GRAMS = 1 << 13, (3, 4, 5)
 #: What the built-in labelled URLs are made of: words of hosts and paths to block, by kind (advertising and tracking, spam,
