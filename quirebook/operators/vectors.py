@@ -43,9 +43,14 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.coalesce(size, F.when(n == 0, 0.0).otherwise(dot(a, b) / n))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value worked out once a row: what a lambda takes from outside is otherwise worked out again for
+    each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def l2_normalize(a: Column | str) -> Column:
-    n = norm(a)
-    return F.transform(_d(a), lambda x: F.when(n == 0, 0.0).otherwise(x / n))
+    return _let(_d(a), lambda v: _let(norm(v), lambda n: F.transform(v, lambda x: F.when(n == 0, 0.0).otherwise(x / n))))
 
 
 def checked(a: Column | str, size: int) -> Column:
@@ -57,9 +62,13 @@ def checked(a: Column | str, size: int) -> Column:
 def mean_pool(states: Column, mask: Column) -> Column:
     """The normalised mean of the token vectors whose mask is not 0."""
     kept = F.transform(F.filter(F.arrays_zip(states.alias("v"), mask.alias("m")), lambda t: t["m"] != 0), lambda t: _d(t["v"]))
-    total = F.aggregate(kept, F.transform(_d(F.get(states, F.lit(0))), lambda x: x * 0), lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
-    n = F.size(kept)
-    return l2_normalize(F.transform(total, lambda x: F.when(n == 0, 0.0).otherwise(x / n)))
+    zero = F.transform(_d(F.get(states, F.lit(0))), lambda x: x * 0)
+
+    def mean(vs: Column) -> Column:
+        total = F.aggregate(vs, zero, lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
+        return F.transform(total, lambda x: F.when(F.size(vs) == 0, 0.0).otherwise(x / F.size(vs)))
+
+    return l2_normalize(_let(kept, mean))
 
 
 def _blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:

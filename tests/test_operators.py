@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -209,3 +211,15 @@ def test_several_blocks_of_queries_give_what_one_gives(spark, monkeypatch):
     want = sorted(map(tuple, vectors.knn(queries, items, 4).collect()))
     monkeypatch.setattr(vectors, "BLOCK", 50)
     assert sorted(map(tuple, vectors.knn(queries, items, 4).collect())) == want and len(want) == 160
+
+
+def test_mean_pool_takes_one_pass(spark):
+    """Long vectors: work by the square of their length takes minutes here."""
+    size = 20_000
+    rows = spark.range(4).select("id", F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: (i + F.col("id")).cast("double")).alias("v"))
+    pooled = vectors.mean_pool(F.array("v", F.transform("v", lambda x: x * 3), F.transform("v", lambda x: x * 9)), F.array(F.lit(1), F.lit(1), F.lit(0)))
+    begun = time.monotonic()
+    for r in rows.select("id", pooled.alias("v"), vectors.l2_normalize("v").alias("u")).collect():
+        n = sum((i + r.id) ** 2 for i in range(1, size + 1)) ** 0.5
+        assert all(abs(x - (i + r.id) / n) < 1e-12 for i, x in enumerate(r.v, 1)) and max(abs(x - y) for x, y in zip(r.v, r.u)) < 1e-12
+    assert time.monotonic() - begun < 60
