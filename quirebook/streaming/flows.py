@@ -5,7 +5,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -21,17 +23,28 @@ def _schema(**kinds) -> StructType:
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 HANDED = _schema(index=LongType(), due=LongType(), seq=LongType(), path=StringType(), op=StringType())
+#: Rows of a file of a replayed stream, about.
+ROWS = 100_000
 LINES = _schema(stream_id=LongType(), ord=LongType(), line=StringType())
 
 
 def replayed(table: DataFrame, order: str, parts: int = 4) -> DataFrame:
-    """A stream of table's rows in `parts` micro-batches by order, from files in the shared folder."""
+    """A stream of table's rows in `parts` micro-batches by order, from files in the shared folder. The table is worked
+    out once. All parts have one number of files, which grows with the table and is a micro-batch's."""
     spark, folder = table.sparkSession, scratch.folder(table.sparkSession)
-    cuts = table.agg(F.percentile_approx(F.col(order).cast("double"), [i / parts for i in range(1, parts)])).first()[0] or []
+    table.write.parquet(f"{folder}/whole")
+    table = spark.read.schema(table.schema).parquet(f"{folder}/whole")
+    held = table.agg(F.percentile_approx(F.col(order).cast("double"), [i / parts for i in range(1, parts)]).alias("cuts"), F.count("*").alias("n")).first()
+    cuts = held["cuts"] or []
+    n = max(1, min(spark.sparkContext.defaultParallelism, held["n"] // (parts * ROWS)))
     place = sum((F.when(F.col(order).cast("double") > c, 1).otherwise(0) for c in cuts), F.lit(0))
     for i in range(len(cuts) + 1):  # one after the other, as a file source goes by the files' times
-        table.where(place == i).coalesce(1).write.parquet(f"{folder}/part-{i}")
-    return spark.readStream.schema(table.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(folder)
+        path = f"{folder}/parts/{i}"
+        table.where(place == i).coalesce(n).write.parquet(path)
+        # a task without rows writes no file
+        for pad in range(len(spark.read.schema(table.schema).parquet(path).inputFiles()), n):
+            spark.createDataFrame([], table.schema).coalesce(1).write.parquet(f"{path}-{pad}")
+    return spark.readStream.schema(table.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", n).parquet(f"{folder}/parts")
 
 
 # --- requests and responses ------------------------------------------------------------------------------------------
@@ -63,22 +76,28 @@ class Queue(StatefulProcessor):
         self.slots = handle.getMapState("slots", _schema(path=StringType()), _schema(seq=LongType(), op=StringType()))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        paused = bool(self.paused.get()[0]) if self.paused.exists() else False
+        out, before = [], self.paused.get()
+        paused = was = bool(before[0]) if before else False
+        kept, waits = was, {}  # whether slots may be kept from earlier batches; this batch's slots, which go to the state at its end
         every = pd.concat(list(rows)).sort_values("seq")
-        for seq, kind, path, op in zip(every["seq"], every["kind"], every["path"], every["op"]):
+        for seq, kind, path, op in zip(*(every[c].tolist() for c in ("seq", "kind", "path", "op"))):
             if kind == "pause":
                 paused = True
             elif kind == "resume":
                 paused = False
-                for (held,), (at, last) in list(self.slots.iterator()):
-                    out.append((key[0], int(seq), int(at), held, last))
+                slots = {held: slot for (held,), slot in self.slots.iterator()} if kept else {}
+                for held in slots:
                     self.slots.removeKey((held,))
+                out += [(key[0], seq, int(at), held, last) for held, (at, last) in (slots | waits).items()]
+                kept, waits = False, {}
             elif paused:
-                self.slots.updateValue((path,), (int(seq), op))
+                waits[path] = (seq, op)
             else:
-                out.append((key[0], int(seq), int(seq), path, op))
-        self.paused.update((paused,))
+                out.append((key[0], seq, seq, path, op))
+        for path, slot in waits.items():
+            self.slots.updateValue((path,), slot)
+        if before is None or paused != was:
+            self.paused.update((paused,))
         if out:
             yield pd.DataFrame(out, columns=HANDED.names)
 
@@ -105,10 +124,10 @@ class Splitter(StatefulProcessor):
         self.open = handle.getValueState("open", _schema(tail=BinaryType(), next=LongType()))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        tail, number = self.open.get() if self.open.exists() else (b"", 0)
+        tail, number = self.open.get() or (b"", 0)
         every, out = pd.concat(list(rows)).sort_values("seq"), []
         # a line is decoded when it is whole, so that no character is cut
-        parts = b"".join([bytes(tail), *(bytes(c) for c in every["chunk"] if c is not None)]).split(b"\n")
+        parts = b"".join([bytes(tail), *every["chunk"].dropna()]).split(b"\n")
         ended = bool(every["last"].any())
         for raw in parts if ended else parts[:-1]:
             line = raw.decode("utf-8", "replace")
@@ -136,18 +155,21 @@ def sse_lines(chunks: DataFrame) -> DataFrame:
 def chunked(streams: DataFrame, most: int = 40) -> DataFrame:
     """(stream_id, seq, chunk, last) of streams (stream_id, raw): pieces of 1 to `most` bytes."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for stream, raw in zip(batch["stream_id"], batch["raw"]):
-                data, at, seq = (raw or "").encode(), 0, 0
-                while at < len(data) or not seq:
-                    size = 1 + (seq * 7 + stream) % most
-                    out.append((stream, seq, data[at : at + size], at + size >= len(data)))
-                    at, seq = at + size, seq + 1
-            yield pd.DataFrame(out, columns=["stream_id", "seq", "chunk", "last"])
-
-    return streams.select(F.col("stream_id").cast("long"), "raw").mapInPandas(run, "stream_id long, seq long, chunk binary, last boolean")
+            for stream, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = (raw.as_py() or "").encode()
+                cycle = 1 + (np.arange(most) * 7 + stream) % most
+                ends = np.tile(cycle, len(data) // int(cycle.sum()) + 1).cumsum()
+                ends = np.concatenate(([0], np.minimum(ends[: np.searchsorted(ends, len(data)) + 1], len(data))))
+                for first in range(0, len(ends) - 1, ROWS):
+                    cut = ends[first : first + ROWS + 1]
+                    n, at = len(cut) - 1, (cut - cut[0]).astype(np.int32)
+                    chunks = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data[cut[0] : cut[-1]])])
+                    seq = np.arange(first, first + n)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, stream)), pa.array(seq), chunks, pa.array(seq == len(ends) - 2)], ["stream_id", "seq", "chunk", "last"])
+
+    return streams.select(F.col("stream_id").cast("long"), "raw").mapInArrow(run, "stream_id long, seq long, chunk binary, last boolean")
 
 
 def rocks(spark: SparkSession) -> None:

@@ -96,3 +96,30 @@ def test_frames_cut_at_any_byte(spark, tmp_path, most):
     columns = ("stream_id", "ord", "content", "finish")
     assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
     assert want.count() == 4
+
+
+def test_chunks_are_those_of_a_plain_loop(spark):
+    raws = [(0, "abc" * 700), (1, ""), (2, None), (13, "é漢" * 41), (39, "x"), (5, "y" * 820)]
+    got = flows.chunked(spark.createDataFrame(raws, "stream_id long, raw string")).collect()
+    want = []
+    for stream, raw in raws:
+        data, at, seq = (raw or "").encode(), 0, 0
+        while at < len(data) or not seq:
+            size = 1 + (seq * 7 + stream) % 40
+            want.append((stream, seq, data[at : at + size], at + size >= len(data)))
+            at, seq = at + size, seq + 1
+    assert sorted((r.stream_id, r.seq, bytes(r.chunk), r.last) for r in got) == sorted(want)
+
+
+def test_a_part_of_many_files_is_one_micro_batch(spark, tmp_path, monkeypatch):
+    """No task writes a part alone, also where a part's rows are in few of the table's files."""
+    monkeypatch.setattr(flows, "ROWS", 20)
+    rows = log(400, 6)
+    stream = flows.replayed(spark.createDataFrame(rows, LOG).repartitionByRange(4, "seq").union(spark.createDataFrame([], LOG)), "seq")
+    counts = []
+    stream.writeStream.foreachBatch(lambda b, i: counts.append([r.seq for r in b.select("seq").collect()])).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(180)
+    assert [len(c) > 80 for c in counts] == [True] * 4 and sorted(sum(counts, [])) == list(range(400))
+    assert all(max(a) < min(b) for a, b in zip(counts, counts[1:]))
+    got = run(flows.queue_stream(flows.replayed(spark.createDataFrame(rows, LOG), "seq")), tmp_path, "queue")
+    want = indexing.held(spark.createDataFrame(rows, LOG)).where("due is not null")
+    assert sorted(map(tuple, got.select("index", "due", "path", "op").collect())) == sorted(map(tuple, want.select("index", "due", "path", "op").collect()))
