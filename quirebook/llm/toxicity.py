@@ -5,13 +5,15 @@ each is compressed with both, and a window's excess is what it takes longer with
 toxic one. What the numbers and shares of windows over each of THRESHOLDS say of a text is calibrated by logistic
 regression on labelled texts that no dictionary was trained on, and so is the threshold from which a window is reported.
 
-A dictionary is what both share (pieces that are common in ordinary text, so that ordinary language costs the same with
+A dictionary is what both share (pieces that stand in many ordinary texts, so that ordinary language costs the same with
 both) and then the kind's own pieces: runs of bytes that its texts hold and the other kind's don't, by a lower
 bound of their odds ratio, those in a share of at least SUPPORT of its texts only. Near copies count as one text in
 training, else a text that was copied often would be taken for the kind. Texts are lower-cased first.
 
-The sample is the one bounded thing: FIT texts a kind and SLICE characters from a hashed place of each for the
-dictionaries, CALIBRATE whole texts for the threshold. Every text is scored whole.
+All labelled texts are learned from, whole: of ids by hash seven in ten for the dictionaries and the others for threshold
+and weights. Runs and pieces are counted by Spark; the driver gets those that stand in SUPPORT of a kind's texts or more
+(so of runs at most 1 / SUPPORT times as many as a text has on average) and the sums of each step of the regression. Of
+near copies the first by a hash stays; a row of a repeated id is a text like any other.
 
 Defined cases: a text that is null, empty or shorter than a window is one window or none and gets the score that its
 features have; a row of labels without id or label is no row, one id with several labels is toxic if one of them says
@@ -21,19 +23,20 @@ repeated rows are scored alike; an empty table gives no rows.
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirebook.llm.common import crc_mod, read
+from quirebook.llm.common import Scratch, crc_mod, read
 
-FIT, SLICE, CALIBRATE = 3000, 4000, 8000
+#: Labels and keys that are broadcast; more are shuffled. Bytes of text that are counted at once.
+BROADCAST, COUNTED = 2_000_000, 2 << 20
 WINDOW, STEP = 64, 32
 #: Bytes of a piece at least, of what both dictionaries share, and of each kind's own pieces.
 GRAM, SHARED, OWN = 5, 4096, 4096
@@ -56,18 +59,44 @@ def grams(data: bytes, size: int = GRAM) -> np.ndarray:
     return out
 
 
+def copy_runs(text: bytes) -> np.ndarray:
+    """Of the distinct 32-byte runs one in sixteen, by hash."""
+    runs = grams(text, 32)
+    return np.unique(runs[(runs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(60) == 0])
+
+
 def without_near_copies(texts: list[bytes]) -> list[bytes]:
-    """Texts less than half of whose 32-byte runs (one in sixteen of them, by hash) stand in a text before."""
+    """Texts less than half of whose runs stand in a text before. (originals does so for a table.)"""
     kept, seen = [], set()
     for text in texts:
-        runs = grams(text, 32)
-        runs = set(runs[(runs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(60) == 0].tolist())
+        runs = set(copy_runs(text).tolist())
         if not runs or 2 * len(runs & seen) < len(runs):
             kept.append(text)
             seen |= runs
     return kept
 
 
+def lowered(text: str | None) -> bytes:
+    return (text or "").lower().encode("utf-8", "surrogatepass")
+
+
+def originals(texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key) of texts (key, label, text): those less than half of whose runs stand in a text of their label with a lesser
+    hash; of equal texts one. Only counts are gathered, no group of copies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [lowered(t.as_py()) for t in batch.column(2)]
+            h = np.array([xxhash.xxh64_intdigest(d) for d in data], np.uint64).view(np.int64)
+            runs = [r.view(np.int64) if len(r) else h[i : i + 1] for i, r in enumerate(map(copy_runs, data))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(h), pa.array(runs, pa.list_(pa.int64()))], ["key", "label", "h", "runs"])
+
+    marks = scratch.write("marks", texts.select("key", "label", "text").mapInArrow(run, "key long, label int, h long, runs array<long>"))
+    first = marks.select("label", "h", F.explode("runs").alias("run")).groupBy("label", "run").agg(F.min("h").alias("h")).groupBy("label", "h").agg(F.count("*").alias("first"))
+    one = marks.groupBy("label", "h").agg(F.min("key").alias("key"), F.min(F.size("runs")).alias("n"))
+    return scratch.write("originals", one.join(first, ["label", "h"]).where("2 * first > n").select("key"))
+
+
 def counted(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Runs and in how many texts they stand."""
     found = [np.unique(grams(t)) for t in texts]
@@ -80,52 +109,94 @@ def odds(count: np.ndarray, n: int, other: np.ndarray, m: int) -> np.ndarray:
     return np.log(a / b) - np.log(c / d) - 2 * np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
 
 
-def own_pieces(texts: list[bytes], runs: np.ndarray, counts: np.ndarray, strength: np.ndarray) -> list[bytes]:
-    """A kind's own pieces, the strongest first: around the strongest run of each stretch of strong runs, as far as half
-    of its texts reach; those so found in enough texts."""
-    least, found = max(SUPPORT_TEXTS, SUPPORT * len(texts)), {}
-    for i, text in enumerate(texts):
-        at = np.searchsorted(runs, grams(text))
-        strong = np.concatenate(([False], (strength[at] > CONTRAST) & (counts[at] >= least), [False]))
-        edges = np.flatnonzero(strong[1:] != strong[:-1]).tolist()
-        for begin, end in zip(edges[::2], edges[1::2]):
-            peak = begin + int(strength[at[begin:end]].argmax())
-            low = high = peak
-            while low > begin and 2 * counts[at[low - 1]] >= counts[at[peak]]:
-                low -= 1
-            while high + 1 < end and 2 * counts[at[high + 1]] >= counts[at[peak]]:
-                high += 1
-            piece = text[low : high + GRAM]
-            found.setdefault(piece, (float(strength[at[peak]]), set()))[1].add(i)
+def run_counts(texts: DataFrame) -> DataFrame:
+    """(run, toxic, ordinary): in how many of texts (label, text) of each kind a run stands."""
+
+    def rows(held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        for label, data in held.items():
+            runs, n = counted(data)
+            none = np.zeros(len(n), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(runs.view(np.int64)), pa.array(n.astype(np.int64) if label else none), pa.array(none if label else n.astype(np.int64))], ["run", "toxic", "ordinary"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = {}, 0
+        for batch in batches:
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = lowered(text.as_py())
+                held.setdefault(label, []).append(data)
+                size += len(data)
+                if size >= COUNTED:
+                    yield from rows(held)
+                    held, size = {}, 0
+        yield from rows(held)
+
+    every = texts.select("label", "text").mapInArrow(run, "run long, toxic long, ordinary long")
+    return every.groupBy("run").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+
+
+def pieces(text: bytes, runs: np.ndarray, counts: np.ndarray, strength: np.ndarray) -> dict[bytes, float]:
+    """Around the strongest run of each stretch of a text's strong runs (runs, sorted), as far as half of its texts reach."""
+    here, found = grams(text), {}
+    if not len(here) or not len(runs):
+        return found
+    at = np.minimum(np.searchsorted(runs, here), len(runs) - 1)
+    strong = np.concatenate(([False], runs[at] == here, [False]))
+    edges = np.flatnonzero(strong[1:] != strong[:-1]).tolist()
+    for begin, end in zip(edges[::2], edges[1::2]):
+        peak = begin + int(strength[at[begin:end]].argmax())
+        low = high = peak
+        while low > begin and 2 * counts[at[low - 1]] >= counts[at[peak]]:
+            low -= 1
+        while high + 1 < end and 2 * counts[at[high + 1]] >= counts[at[peak]]:
+            high += 1
+        piece = text[low : high + GRAM]
+        found[piece] = max(found.get(piece, -1e9), float(strength[at[peak]]))
+    return found
+
+
+def chosen(found: list[tuple[bytes, float]], most: int) -> list[bytes]:
+    """The strongest pieces that are new by half, of `most` bytes together."""
     kept, seen, size = [], set(), 0
-    for piece in sorted((p for p, (_, where) in found.items() if len(where) >= least), key=lambda p: (-found[p][0], -len(p), p)):
+    for piece, _ in sorted(found, key=lambda p: (-p[1], -len(p[0]), p[0])):
         parts = set(grams(piece).tolist())
-        if 2 * len(parts - seen) > len(parts) and size + len(piece) <= OWN:
+        if 2 * len(parts - seen) > len(parts) and size + len(piece) <= most:
             kept.append(piece)
             seen |= parts
             size += len(piece)
     return kept
 
 
-def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
-    """Of toxic and of ordinary text. zstandard reaches the end of a dictionary with the shortest offsets, so the
-    strongest pieces stand last."""
-    toxic, ordinary = without_near_copies(toxic), without_near_copies(ordinary)
-    (runs, counts), (other_runs, other_counts) = counted(toxic), counted(ordinary)
+def dictionaries(texts: DataFrame) -> tuple[bytes, bytes]:
+    """Of toxic and of ordinary text, from texts (label, text). zstandard reaches the end of a dictionary with the
+    shortest offsets, so the strongest pieces stand last."""
+    n = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    toxic, ordinary = n.get(1, 0), n.get(0, 0)
+    least, least_other = (max(SUPPORT_TEXTS, SUPPORT * x) for x in (toxic, ordinary))
+    often = run_counts(texts).where((F.col("toxic") >= least) | (F.col("ordinary") >= least_other)).orderBy("run").toArrow()
+    runs, a, b = (often.column(c).to_numpy() for c in ("run", "toxic", "ordinary"))
+    runs = runs.astype(np.uint64)
+    own, other = odds(a, toxic, b, ordinary), odds(b, ordinary, a, toxic)
+    # by kind: 1 a toxic text's own, 0 an ordinary one's own, 2 what is common in ordinary texts
+    tables = {}
+    for kind, counts, strength, which in ((1, a, own, (own > CONTRAST) & (a >= least)), (0, b, other, (other > CONTRAST) & (b >= least_other)), (2, b, b / max(ordinary, 1), b >= least_other)):
+        tables[kind] = runs[which], counts[which], strength[which]
+    shared = texts.sparkSession.sparkContext.broadcast(tables)
 
-    def lookup(keys: np.ndarray, among: np.ndarray, values: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(among, keys), len(among) - 1)
-        return np.where(among[at] == keys, values[at], 0) if len(among) else np.zeros(len(keys), int)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for kind in (1,) if label else (0, 2):
+                    for piece, strength in pieces(lowered(text.as_py()), *shared.value[kind]).items():
+                        for column, value in zip(out, (kind, piece, strength)):
+                            column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.float64())], ["kind", "piece", "strength"])
 
-    own = own_pieces(toxic, runs, counts, odds(counts, len(toxic), lookup(runs, other_runs, other_counts), len(ordinary)))
-    others = own_pieces(ordinary, other_runs, other_counts, odds(other_counts, len(ordinary), lookup(other_runs, runs, counts), len(toxic)))
-    parts = [text[i : i + WINDOW] for text in ordinary for i in range(0, len(text) - WINDOW + 1, WINDOW)]
-    random.Random(1).shuffle(parts)
-    try:
-        shared = zstandard.train_dictionary(SHARED, parts[:40_000], k=32, d=6).as_bytes()[-SHARED:]
-    except zstandard.ZstdError:  # too little text to train on
-        shared = b"".join(parts)[-SHARED:]
-    return shared + b" ".join(own[::-1]), shared + b" ".join(others[::-1])
+    found = texts.select("label", "text").mapInArrow(run, "kind int, piece binary, strength double").groupBy("kind", "piece").agg(F.count("*").alias("n"), F.max("strength").alias("strength"))
+    found = found.where(F.col("n") >= F.when(F.col("kind") == 1, least).otherwise(least_other)).collect()
+    kept = {kind: chosen([(bytes(r["piece"]), r["strength"]) for r in found if r["kind"] == kind], OWN if kind < 2 else SHARED) for kind in tables}
+    common, own, others = (b" ".join(kept[kind][::-1]) for kind in (2, 1, 0))
+    return common + own, common + others
 
 
 class Windows:
@@ -174,71 +245,84 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.features(excess) @ np.array(self.weights), -30, 30))))
 
 
-def calibrated(toxic: bytes, ordinary: bytes, counts: np.ndarray, labels: np.ndarray) -> Model:
-    """counts: a row a text, how many of its windows have each excess."""
-    windows = counts[labels == 0].sum(0)
-    reach = windows[::-1].cumsum()[::-1] / max(windows.sum(), 1)
-    # labels are noisy: some ordinary ones stand on toxic texts, so the rule is about a share and not about all
-    model = Model(toxic, ordinary, max(1, int((reach > FALSE_WINDOWS).sum())), [], float(labels.mean()))
-    x = np.array([model.features(np.repeat(np.arange(MOST + 1), c)) for c in counts])
-    weights, ridge = np.zeros(x.shape[1]), np.diag([1e-6] + [0.1] * (x.shape[1] - 1))
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge, x.T @ (labels - p) - ridge @ weights)
-        weights += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
-            break
-    model.weights = weights.tolist()
-    return model
+def _features(rows: DataFrame, toxic: bytes, ordinary: bytes) -> DataFrame:
+    """(label, features, counts) of rows (label, text): counts says how many windows have each excess."""
+    shared = rows.sparkSession.sparkContext.broadcast((toxic, ordinary))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = Windows(*shared.value)
+        for batch in batches:
+            found = [windows.excess(t.as_py()) for t in batch.column(1)]
+            features = pa.array([Model.features(e).tolist() for e in found], pa.list_(pa.float64()))
+            counts = pa.array([np.bincount(e, minlength=MOST + 1).tolist() for e in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), features, counts], ["label", "features", "counts"])
+
+    return rows.select("label", "text").mapInArrow(run, "label int, features array<double>, counts array<long>")
 
 
-def _sample(rows: DataFrame, n: int, seed: int, size: int) -> DataFrame:
-    """size rows at most of n with different ids, by a hash of the id; a share is taken first so that few rows are sorted."""
-    drawn = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    return rows.withColumn("drawn", drawn).where(F.col("drawn") < min(1.0, 2 * size / max(n, 1))).orderBy("drawn", "doc_id").limit(size).select("doc_id", "label")
+def _summed(rows: DataFrame, values: str) -> np.ndarray:
+    """The sums of an array column by place."""
+    found = rows.select(F.posexplode(values).alias("place", "value")).groupBy("place").agg(F.sum("value").alias("value")).collect()
+    return np.array([r["value"] for r in sorted(found, key=lambda r: r["place"])], float)
 
 
-def _counts(docs: DataFrame, toxic: bytes, ordinary: bytes) -> DataFrame:
-    """(label, counts) of rows (label, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast((toxic, ordinary))
+def _step(rows: DataFrame, weights: np.ndarray) -> np.ndarray:
+    """Of the logistic regression's sums over rows (label, features): the gradient, then the second derivatives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(*shared.value)
+        total = np.zeros(len(weights) * (len(weights) + 1))
         for batch in batches:
-            found = [np.bincount(windows.excess(t.as_py()), minlength=MOST + 1).tolist() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["label", "counts"])
+            if batch.num_rows:
+                labels, x = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+                p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+                total += np.concatenate((x.T @ (labels - p), ((x * (p * (1 - p) + 1e-9)[:, None]).T @ x).ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["sums"])
+
+    return _summed(rows.select("label", "features").mapInArrow(run, "sums array<double>"), "sums")
 
-    return docs.select("label", "text").mapInArrow(run, "label int, counts array<long>")
+
+def calibrated(toxic: bytes, ordinary: bytes, rows: DataFrame, base: float) -> Model:
+    """rows as from _features."""
+    windows = _summed(rows.where("label = 0"), "counts")
+    reach = windows[::-1].cumsum()[::-1] / max(windows.sum(), 1)
+    # labels are noisy: some ordinary ones stand on toxic texts, so the rule is about a share and not about all
+    model = Model(toxic, ordinary, max(1, int((reach > FALSE_WINDOWS).sum())), [], base)
+    size = len(Model.features(np.zeros(0, np.int64)))
+    weights, ridge = np.zeros(size), np.diag([1e-6] + [0.1] * (size - 1))
+    for _ in range(50):
+        sums = _step(rows, weights)
+        step = np.linalg.solve(sums[size:].reshape(size, size) + ridge, sums[:size] - ridge @ weights)
+        weights += np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-6:
+            break
+    model.weights = weights.tolist()
+    return model
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """From docs (doc_id, text) and labels (doc_id, toxic)."""
+    scratch = Scratch(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("label"))
-    fits = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(10)) < 7
-    known = known.withColumn("fits", fits)
-    n = {(r["label"], r["fits"]): r["count"] for r in known.groupBy("label", "fits").count().collect()}
+    known = known.withColumn("fits", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(10)) < 7)
+    n = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     total = sum(n.values())
-    base = sum(c for (label, _), c in n.items() if label) / total if total else 0.0
-    size = lambda label: n.get((label, True), 0)
-    drawn = _sample(known.where("fits and label = 1"), size(1), 2, FIT).union(_sample(known.where("fits and label = 0"), size(0), 2, FIT))
-    place = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.greatest(F.length("text") - SLICE, F.lit(0)) + 1)
-    parts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(drawn), "doc_id").select("doc_id", "label", F.substr("text", place.cast("int") + 1, F.lit(SLICE)).alias("part"))
-    found: tuple[set[bytes], set[bytes]] = (set(), set())
-    for r in parts.groupBy("doc_id", "label").agg(F.min("part").alias("part")).toLocalIterator():
-        found[r["label"]].add(r["part"].lower().encode("utf-8", "surrogatepass"))
-    ordinary, toxic = (sorted(x) for x in found)  # sorted: the same texts make the same dictionaries
-    if not toxic or not ordinary:
+    base = n.get(1, 0) / total if total else 0.0
+    met = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(known) if total <= BROADCAST else known, "doc_id")
+    texts = scratch.write("texts", met.select(F.monotonically_increasing_id().alias("key"), "label", "fits", "text"))
+    held = {(r["label"], r["fits"]): r["count"] for r in texts.groupBy("label", "fits").count().collect()}
+    if not {(0, True), (1, True)} <= held.keys():
         return Model(base=base)
-    random.Random(2).shuffle(toxic)
-    random.Random(2).shuffle(ordinary)
-    contents = dictionaries(toxic, ordinary)
-    # with few labels, texts that dictionaries were trained on have to do
-    apart = known.where("not fits") if {label for label, fit in n if not fit} == {0, 1} else known
-    drawn = _sample(apart, sum(c for (_, fit), c in n.items() if not fit) or total, 4, CALIBRATE)
-    rows = _counts(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")), *contents).collect()
-    if not rows:
-        return Model(base=base)
-    return calibrated(*contents, np.array([r["counts"] for r in rows]), np.array([r["label"] for r in rows], float))
+    fit = texts.where("fits").select("key", "label", "text")
+    few = held[0, True] + held[1, True] <= BROADCAST
+    keys = originals(fit, scratch)
+    contents = dictionaries(fit.join(F.broadcast(keys) if few else keys, "key", "left_semi"))
+    # with few labels, texts that dictionaries were made from have to do
+    apart = texts.where("not fits") if {(0, False), (1, False)} <= held.keys() else texts
+    rows = scratch.write("features", _features(apart, *contents))
+    model = calibrated(*contents, rows, base)
+    for name in ("texts", "marks", "originals", "features"):
+        scratch.drop(name)
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quirebook.llm import toxicity
+from quirebook.llm.common import Scratch
 
 WORDS = "the of and river stone garden window letter market winter harbour silver morning paper street forest candle mountain".split()
 WORDS += [a + b for a in WORDS for b in ("ly", "ing", "er", "work", "less", "land")]
@@ -74,3 +75,17 @@ def test_defined_cases(spark):
     assert toxicity.learn(docs, labels.where("toxic = 1")).base == 1.0
     assert toxicity.learn(docs.limit(0), labels).weights == []
     assert toxicity.score(docs.limit(0), none).count() == 0
+
+
+def test_every_labelled_text_counts(spark):
+    """Runs are counted in all texts, however many there are and wherever they stand; of copies one counts."""
+    rng = np.random.default_rng(3)
+    rows = [(i, 0, " ".join(rng.choice(WORDS, 8)) + f" {rng.integers(10**9)}") for i in range(9_000)] + [(9_000, 1, "word " * 3_000 + "zaxxor"), (9_001, 1, "zaxxor " * 9)]
+    texts = spark.createDataFrame(rows, "key long, label int, text string")
+    sums = toxicity.run_counts(texts)
+    run = lambda word: int.from_bytes(word, "big")
+    got = {r.run: (r.toxic, r.ordinary) for r in sums.where(F.col("run").isin(run(b"zaxxo"), run(b"stone"))).collect()}
+    assert got == {run(b"zaxxo"): (2, 0), run(b"stone"): (0, sum("stone" in t for _, _, t in rows))}
+    twins = [(i, 0, t) for i, t in enumerate([" ".join(WORDS * 5)] * 3 + ["quite another text, with nothing of it" * 9, "short", "short"])]
+    kept = toxicity.originals(spark.createDataFrame(twins, "key long, label int, text string"), Scratch(spark))
+    assert sorted(twins[r.key][2] for r in kept.collect()) == sorted({t for _, _, t in twins})
