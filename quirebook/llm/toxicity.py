@@ -5,7 +5,7 @@ each is compressed with both, and a window's excess is what it takes longer with
 toxic one. What the numbers and shares of windows over each of THRESHOLDS say of a text is calibrated by logistic
 regression on labelled texts that no dictionary was trained on, and so is the threshold from which a window is reported.
 
-A dictionary is what both share (pieces that stand in many ordinary texts, so that ordinary language costs the same with
+A dictionary is what both share (pieces that are common in ordinary text, so that ordinary language costs the same with
 both) and then the kind's own pieces: runs of bytes that its texts hold and the other kind's don't, by a lower
 bound of their odds ratio, those in a share of at least SUPPORT of its texts only. Near copies count as one text in
 training, else a text that was copied often would be taken for the kind. Texts are lower-cased first.
@@ -23,6 +23,7 @@ repeated rows are scored alike; an empty table gives no rows.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -166,7 +167,44 @@ def chosen(found: list[tuple[bytes, float]], most: int) -> list[bytes]:
     return kept
 
 
-def dictionaries(texts: DataFrame) -> tuple[bytes, bytes]:
+def trained(parts: list[bytes]) -> bytes:
+    random.Random(1).shuffle(parts)
+    try:
+        return zstandard.train_dictionary(SHARED, parts, k=32, d=6).as_bytes()[-SHARED:]
+    except zstandard.ZstdError:  # too little text to train on
+        return b"".join(parts)[-SHARED:]
+
+
+def common(texts: DataFrame, scratch: Scratch) -> bytes:
+    """Pieces that are common in texts (text): each COUNTED bytes of all texts give a dictionary, and these give one in
+    turn, until they fit one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                data = value if isinstance(value, bytes) else lowered(value)
+                parts += [data[i : i + WINDOW] for i in range(0, len(data) - WINDOW + 1, WINDOW)]
+                size += len(data)
+                if size >= COUNTED:
+                    yield pa.RecordBatch.from_arrays([pa.array([trained(parts)], pa.binary())], ["content"])
+                    parts, size = [], 0
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array([trained(parts)], pa.binary())], ["content"])
+
+    most = COUNTED // SHARED
+    now = scratch.write("common0", texts.select("text").mapInArrow(run, "content binary"))
+    level, n = 1, now.count()
+    while n > most:
+        now = scratch.write(f"common{level}", now.repartition(-(-n // most), F.xxhash64("content")).mapInArrow(run, "content binary"))
+        level, n = level + 1, now.count()
+    found = sorted(bytes(r["content"]) for r in now.collect())
+    for i in range(level):
+        scratch.drop(f"common{i}")
+    return found[0] if len(found) == 1 else trained([c[i : i + WINDOW] for c in found for i in range(0, len(c) - WINDOW + 1, WINDOW)])
+
+
+def dictionaries(texts: DataFrame, scratch: Scratch) -> tuple[bytes, bytes]:
     """Of toxic and of ordinary text, from texts (label, text). zstandard reaches the end of a dictionary with the
     shortest offsets, so the strongest pieces stand last."""
     n = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -176,9 +214,9 @@ def dictionaries(texts: DataFrame) -> tuple[bytes, bytes]:
     runs, a, b = (often.column(c).to_numpy() for c in ("run", "toxic", "ordinary"))
     runs = runs.astype(np.uint64)
     own, other = odds(a, toxic, b, ordinary), odds(b, ordinary, a, toxic)
-    # by kind: 1 a toxic text's own, 0 an ordinary one's own, 2 what is common in ordinary texts
+    # by kind: 1 a toxic text's own, 0 an ordinary one's own
     tables = {}
-    for kind, counts, strength, which in ((1, a, own, (own > CONTRAST) & (a >= least)), (0, b, other, (other > CONTRAST) & (b >= least_other)), (2, b, b / max(ordinary, 1), b >= least_other)):
+    for kind, counts, strength, which in ((1, a, own, (own > CONTRAST) & (a >= least)), (0, b, other, (other > CONTRAST) & (b >= least_other))):
         tables[kind] = runs[which], counts[which], strength[which]
     shared = texts.sparkSession.sparkContext.broadcast(tables)
 
@@ -186,17 +224,17 @@ def dictionaries(texts: DataFrame) -> tuple[bytes, bytes]:
         for batch in batches:
             out: tuple[list, list, list] = ([], [], [])
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for kind in (1,) if label else (0, 2):
-                    for piece, strength in pieces(lowered(text.as_py()), *shared.value[kind]).items():
-                        for column, value in zip(out, (kind, piece, strength)):
-                            column.append(value)
+                for piece, strength in pieces(lowered(text.as_py()), *shared.value[label]).items():
+                    for column, value in zip(out, (label, piece, strength)):
+                        column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.float64())], ["kind", "piece", "strength"])
 
     found = texts.select("label", "text").mapInArrow(run, "kind int, piece binary, strength double").groupBy("kind", "piece").agg(F.count("*").alias("n"), F.max("strength").alias("strength"))
     found = found.where(F.col("n") >= F.when(F.col("kind") == 1, least).otherwise(least_other)).collect()
-    kept = {kind: chosen([(bytes(r["piece"]), r["strength"]) for r in found if r["kind"] == kind], OWN if kind < 2 else SHARED) for kind in tables}
-    common, own, others = (b" ".join(kept[kind][::-1]) for kind in (2, 1, 0))
-    return common + own, common + others
+    kept = {kind: chosen([(bytes(r["piece"]), r["strength"]) for r in found if r["kind"] == kind], OWN) for kind in tables}
+    own, others = (b" ".join(kept[kind][::-1]) for kind in (1, 0))
+    both = common(texts.where("label = 0"), scratch)
+    return both + own, both + others
 
 
 class Windows:
@@ -315,7 +353,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     fit = texts.where("fits").select("key", "label", "text")
     few = held[0, True] + held[1, True] <= BROADCAST
     keys = originals(fit, scratch)
-    contents = dictionaries(fit.join(F.broadcast(keys) if few else keys, "key", "left_semi"))
+    contents = dictionaries(fit.join(F.broadcast(keys) if few else keys, "key", "left_semi"), scratch)
     # with few labels, texts that dictionaries were made from have to do
     apart = texts.where("not fits") if {(0, False), (1, False)} <= held.keys() else texts
     rows = scratch.write("features", _features(apart, *contents))
